@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pixelweave.llm import chat
 from pixelweave.llm.byte_bpe import op9_byte_bpe
+from pixelweave.llm.cover_tree import op2_embedding_dedup
+from pixelweave.llm.language_id import op5_language_id
+from pixelweave.llm.mixing import op6_mixing
 from pixelweave.llm.token_output import op3_token_output
 
-QUERIES = {f.__name__: f for f in (op3_token_output, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (chat.op1_chat, op2_embedding_dedup, op3_token_output, op5_language_id, op6_mixing, op9_byte_bpe)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_chat": chat.OP1_SQL}
