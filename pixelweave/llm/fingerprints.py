@@ -2,8 +2,9 @@
 
 A text's five-word shingles are hashed once. The top 8 bits of a hash choose one of 256 bins, each bin keeps
 its least hash, and an empty bin copies the bin that comes first in its own pseudo-random order of all bins
-(optimal densification), so two texts with nearly the same shingles fill alike. The low four bits of each bin
-make the fingerprint, 256 hex digits. The share of equal digits, less the one in 16 that agree by chance,
+(optimal densification), so two texts with nearly the same shingles fill alike. The low four bits of each
+bin's hash, mixed with the bin's number so that copies are not copies of chance agreements, make the
+fingerprint, 256 hex digits. The share of equal digits, less the one in 16 that agree by chance,
 estimates the Jaccard similarity of the shingle sets.
 
 Defined results: a null text counts as empty; a text without words has the empty fingerprint, which is like
@@ -60,22 +61,22 @@ def shingles(text: Column, n: int = SHINGLE) -> Column:
 def fingerprint(text: Column) -> Column:
     """256 hex digits, or the empty string for a text without words."""
     bin_of = lambda x: F.shiftright(x, 56).cast("int") + BINS // 2
-    digit = lambda x: F.lower(F.hex(x.bitwiseAND(F.lit(15).cast("long"))))
+    digit = lambda x, i: F.lower(F.hex(F.xxhash64(x, i).bitwiseAND(F.lit(15).cast("long"))))
     tables = [F.lit(t) for t in first_tries()]
 
     def least(h: Column) -> Column:  # of sorted hashes the first of each bin
         return F.filter(h, lambda x, i: (i == 0) | (F.shiftright(x, 56) != F.shiftright(F.get(h, i - 1), 56)))
 
-    def spread(f: Column) -> Column:  # digits by bin, null where a bin is empty
-        gap = lambda n: F.array_repeat(F.lit(None).cast("string"), n)
-        parts = F.transform(f, lambda x, k: F.concat(gap(bin_of(x) - F.when(k == 0, F.lit(-1)).otherwise(bin_of(F.get(f, k - 1))) - 1), F.array(digit(x))))
+    def spread(f: Column) -> Column:  # least hashes by bin, null where a bin is empty
+        gap = lambda n: F.array_repeat(F.lit(None).cast("bigint"), n)
+        parts = F.transform(f, lambda x, k: F.concat(gap(bin_of(x) - F.when(k == 0, F.lit(-1)).otherwise(bin_of(F.get(f, k - 1))) - 1), F.array(x)))
         return F.concat(F.flatten(parts), gap(BINS - 1 - bin_of(F.element_at(f, -1))))
 
     def dense(f: Column) -> Column:
         def fill(a: Column) -> Column:
             def one(i: Column) -> Column:
-                far = F.array_min(F.transform(f, lambda x: F.struct(order_key(i.cast("long"), bin_of(x).cast("long")).alias("k"), bin_of(x).alias("j"), digit(x).alias("d"))))
-                return F.coalesce(F.get(a, i), *[F.get(a, F.get(t, i)) for t in tables], far["d"])
+                far = F.array_min(F.transform(f, lambda x: F.struct(order_key(i.cast("long"), bin_of(x).cast("long")).alias("k"), bin_of(x).alias("j"), x.alias("x"))))
+                return digit(F.coalesce(F.get(a, i), *[F.get(a, F.get(t, i)) for t in tables], far["x"]), i)
 
             return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), one), "")
 
