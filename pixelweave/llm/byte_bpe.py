@@ -132,13 +132,13 @@ class ByteBPE:
         """Packed ids of a run of text that no piece reaches over."""
         out = []
         for p in self.find(unit):
-            if self.pieces.knows(p):
-                out.append(self.pieces[p])
-                continue
-            k = self.encode_piece(p.encode())
-            out.append(struct.pack(f"<{len(k)}I", *k))
-            if len(p) <= 64:
-                self.pieces.keep(p, out[-1])
+            ids = self.pieces.find(p)
+            if ids is None:
+                k = self.encode_piece(p.encode())
+                ids = struct.pack(f"<{len(k)}I", *k)
+                if len(p) <= 64:
+                    self.pieces.keep(p, ids)
+            out.append(ids)
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:

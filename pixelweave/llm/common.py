@@ -80,12 +80,11 @@ class Recent(dict):
         super().__init__()
         self.limit, self.old = limit, {}
 
-    def knows(self, key) -> bool:
-        return key in self or key in self.old
-
-    def __missing__(self, key):
-        value = self.old[key]
-        self.keep(key, value)
+    def find(self, key):
+        """The value, or None."""
+        value = self.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.keep(key, value)
         return value
 
     def keep(self, key, value) -> None:
@@ -157,7 +156,7 @@ def components(nodes: DataFrame | None, edges: DataFrame, a: str, b: str) -> Dat
     while True:
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select("v", "m", "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(down.select("u", F.col("m").alias("v"))).distinct()

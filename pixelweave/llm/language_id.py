@@ -146,11 +146,10 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 11) -> La
     return fit(x[order], [found[i]["lang"] for i in order])
 
 
-def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score and ambiguous; only the text is looked at. The model is a few hundred KB at most for a few hundred languages."""
+def predict(docs: DataFrame, model: LanguageModel, text: str = "text", names: tuple = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """docs with language, score and ambiguity under `names` (which replace columns of docs so called); only the text is looked at. The model is a few hundred KB at most for a few hundred languages."""
     from pyspark.sql import types as T
 
-    at = docs.columns.index(text)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,10 +157,10 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
             for lo in range(0, len(batch), 512):
                 part = batch.slice(lo, 512)
                 langs, score, unclear = held.value.predict(part.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(score), pa.array(unclear)], [*part.schema.names, "lang_pred", "score", "ambiguous"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(score), pa.array(unclear)], [*part.schema.names, *names])
 
-    more = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
-    kept = docs.drop("lang_pred", "score", "ambiguous")
+    more = [T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)]
+    kept = docs.drop(*names)
     at = kept.columns.index(text)
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *more]))
 

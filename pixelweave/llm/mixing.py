@@ -77,6 +77,11 @@ def sainte_lague(votes: list[float], seats: int, most: list[int] | None = None)
     return got
 
 
+def row_key(doc_id: str, text: str, seed: int = 17) -> F.Column:
+    """The seeded hash that orders documents within a shard."""
+    return F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))
+
+
 def mix_sources(
     docs: DataFrame, weights: tuple = (5, 2, 1), seed: int = 17, limit: int = 3, block: int = 64, shard_words: int = 500_000, max_shards: int = 16_384, source: str = "source"
 ) -> DataFrame:
@@ -92,7 +97,7 @@ def mix_sources(
         "doc_id",
         name.alias("name"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("key"),
+        row_key("doc_id", "text", seed).alias("key"),
     )
     rows = stage(rows, "mix")
     sums = rows.groupBy("name").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()

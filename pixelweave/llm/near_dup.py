@@ -10,7 +10,7 @@ A bucket links nothing by itself. Its heaviest member (the one in the fullest bu
 star, and only star edges become candidates, so candidates grow with bucket entries and not with their
 square. Candidates whose signatures agree much less than the limit asks for (more than five standard errors)
 go; the others are confirmed on full shingle sets. Members that are still not in one component get further
-rounds with new centres, twice as many each time, until every pair in a bucket is compared or known to be in
+rounds with new centres, eight times as many each time, until every pair in a bucket is compared or known to be in
 one component. So a group of copies costs one round, and no link inside a bucket is lost. At a similarity of
 0.8 a pair shares none of the 32 buckets once in 2 * 10^7 times, at 0.85 once in 10^10.
 
@@ -114,7 +114,7 @@ def sets_of(texts: list[bytes | None], shingle: int) -> list[np.ndarray]:
 
 
 def text_sketches(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, node, keys, low) for docs(doc_id, text): node is a hash of the shingle set, null where it is empty."""
+    """(doc_id, text_key, n, node, keys, low) for docs(doc_id, text): node is a hash of the shingle set, null where it is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,10 +125,10 @@ def text_sketches(docs: DataFrame, shingle: int, num: int, den: int) -> DataFram
                 ends = np.cumsum([0] + [len(k) for k, _ in made]).astype(np.int32)
                 keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([k for k, _ in made]).view(np.int64)))
                 node = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), node, keys, pa.array([x for _, x in made], pa.binary())], ["doc_id", "n", "node", "keys", "low"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), node, keys, pa.array([x for _, x in made], pa.binary())], ["doc_id", "text_key", "n", "node", "keys", "low"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, node long, keys array<long>, low binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), text_key("doc_id", "text").alias("text_key"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, n long, node long, keys array<long>, low binary")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -196,20 +196,24 @@ def stars(live: DataFrame, each: int, num: int, den: int) -> tuple[DataFrame, Da
     return pairs, centre.select("key", F.explode("c.node").alias("node"))
 
 
+def text_key(doc_id: str, text: str) -> F.Column:
+    """A hash of a document's id and text, by which results find their rows again."""
+    return F.xxhash64(F.lit(8), F.col(doc_id).cast("long"), F.col(text).cast("binary"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for docs(doc_id, text), linked at similarity num/den of shingle sets."""
+    """(doc_id, n_shingles, component_id, kept, text_key) for docs(doc_id, text), linked at similarity num/den of shingle sets."""
     made = stage(text_sketches(docs, shingle, num, den), "sketches")
     some = made.where("node is not null")
     classes = stage(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("keys").alias("keys")), "classes")
 
-    entries = stage(classes.select("node", "n", F.explode("keys").alias("key")), "entries")
+    entries = classes.select("node", "n", F.explode("keys").alias("key"))
     shared = stage(entries.join(entries.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "key"), "entries")
-    unstage(entries)
     weight = shared.groupBy("node").agg(F.sum("members").alias("weight"))
     live = stage(shared.join(weight, "node").select("key", "node", "n", "weight"), "live")
     unstage(shared)
 
-    asked, links, have, sets, comp, each = None, None, None, None, None, 1
+    links, have, sets, comp, each = None, None, None, None, 1
     while live.limit(1).count():
         pairs, centres = stars(live, each, num, den)
         if comp is not None:
@@ -217,38 +221,37 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
             b = comp.select(F.col("node").alias("b"), F.col("component").alias("cb"))
             apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
             pairs = pairs.join(a, "a", "left").join(b, "b", "left").where(apart).select("a", "b")
-        if asked is not None:
-            pairs = pairs.join(asked, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "asked")
-        asked = pairs if asked is None else asked.union(pairs)
         likely = stage(plausible(pairs, classes, num, den), "likely")
-        need = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        if have is not None:
-            need = need.join(have, "node", "left_anti")
         if likely.limit(1).count():
+            need = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            if have is not None:
+                need = need.join(have, "node", "left_anti")
             more = stage(full_sets(docs, classes.join(need, "node").select("node", "rep"), shingle), "sets")
             sets = more if sets is None else sets.union(more)
             have = sets.select("node")
             found = stage(confirmed(likely, sets, num, den), "links")
             links = found if links is None else links.union(found)
-            comp = stage(components(None, links, "a", "b"), "components")
-        # a centre has met every member of its bucket; a bucket whose other members are in one component is done
+            if comp is None:
+                comp = stage(components(None, links, "a", "b"), "components")
+        # a centre has met every member of its bucket; a bucket whose other members are known to be in one component is done
         rest = live.join(centres, ["key", "node"], "left_anti")
         with_comp = rest.join(comp, "node", "left") if comp is not None else rest.withColumn("component", F.lit(None).cast("long"))
         with_comp = with_comp.withColumn("component", F.coalesce("component", "node"))
         still = with_comp.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
         live = stage(rest.join(still, "key", "left_semi"), "live")
-        each *= 2
+        each *= 8
     if comp is None:
         named = classes.select("node", F.col("rep").alias("component_id"))
     else:
+        if each > 8:  # later rounds may have found links between the components of the first
+            comp = stage(components(None, links, "a", "b"), "components")
         named = classes.select("node", "rep").join(comp, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
         named = named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("node", "component_id")
-    out = made.select("doc_id", "n", "node").join(named, "node", "left")
+    out = made.select("doc_id", "n", "node", "text_key").join(named, "node", "left")
     comp_id = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), comp_id.alias("component_id"), (F.col("doc_id") == comp_id).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), comp_id.alias("component_id"), (F.col("doc_id") == comp_id).alias("kept"), "text_key")
 
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: three-word shingles, similarity at least 0.85."""
-    return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 85, 100)
+    return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 85, 100).drop("text_key")

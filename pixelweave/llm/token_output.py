@@ -13,8 +13,10 @@ closes after the document that fills it.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,18 +120,30 @@ class ChunkEncoder:
 
     The tokenizer lower-cases, drops white space and parts letters from other signs before it merges
     anything, so a text's ids are those of its chunks in order, and a chunk's are those of its leading marks,
-    its core and its trailing marks. The library sees each core that is not remembered, many in one string
-    with a bar between them.
+    its core and its trailing marks. The library sees each core that is not remembered, many in one string.
+    Where words end in a suffix of the vocabulary, cores of lower-case letters go to a copy of the tokenizer
+    that neither normalises nor cuts (there is nothing to do), and the suffix tells them apart; other cores
+    have a bar between them.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 350_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.bar = self.ids("|")
-        self.chunks, self.cores = Recent(limit), Recent(limit)
+        self.chunks, self.cores = Recent(limit), Recent(limit // 2)
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.bare = None
+        if suffix:
+            self.bare = Tokenizer.from_file(path)
+            self.bare.encode_special_tokens = True
+            self.bare.normalizer = None
+            self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            for token, i in self.tokenizer.get_vocab().items():
+                self.last[i] = token.endswith(suffix)
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -147,11 +161,28 @@ class ChunkEncoder:
         at = low.index(core)
         return low[:at], core, low[at + len(core) :]
 
+    @staticmethod
+    def plain(core: bytes) -> bool:
+        """Nothing but letters that the tokenizer would leave as they are."""
+        if core.isalpha():
+            return core.islower()
+        text = core.decode()
+        return text.isalpha() and text.lower() == text and unicodedata.is_normalized("NFC", text)
+
     def learn(self, cores: list[bytes]) -> dict[bytes, bytes]:
         out = {}
-        plain = [c for c in cores if b"|" not in c] if len(self.bar) == 1 else []
-        for lo in range(0, len(plain), 200):
-            part = plain[lo : lo + 200]
+        letters = [c for c in cores if self.plain(c)] if self.bare else []
+        for lo in range(0, len(letters), 1000):
+            part = letters[lo : lo + 1000]
+            ids = np.array(self.bare.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) != len(part):
+                raise ValueError("a word of letters is not one run of tokens")
+            raw, begin = ids.tobytes(), [0, *ends]
+            out.update((c, raw[4 * i : 4 * j]) for c, i, j in zip(part, begin, ends))
+        others = [c for c in cores if c not in out and b"|" not in c] if len(self.bar) == 1 else []
+        for lo in range(0, len(others), 200):
+            part = others[lo : lo + 200]
             ids = np.array(self.ids(" | ".join([c.decode() for c in part])), "<u4")
             cuts = np.flatnonzero(ids == self.bar[0])
             if len(cuts) != len(part) - 1:
@@ -165,20 +196,26 @@ class ChunkEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
+        get = self.chunks.get
         split = [t.split() for t in texts]
-        new = [(w, self.cut(w)) for w in set().union(*split) if not self.chunks.knows(w)] if split else []
-        fresh = self.learn([c for c in {p for _, cut in new for p in cut if p} if not self.cores.knows(c)])
-        parts = {w: b"".join([fresh[p] if p in fresh else self.cores[p] for p in cut if p]) for w, cut in new}
-        for key, value in fresh.items():
-            if len(key) <= 64:
-                self.cores.keep(key, value)
-        out = []
-        for words in split:
-            out.append(b"".join([parts[w] if w in parts else self.chunks[w] for w in words] if parts else map(self.chunks.__getitem__, words)))
-        for key, value in parts.items():
-            if len(key) <= 64:
-                self.chunks.keep(key, value)
-        return out
+        coded = [list(map(get, words)) for words in split]
+        missing = {w for words, ids in zip(split, coded) if None in ids for w, x in zip(words, ids) if x is None}
+        if missing:
+            found = {w: self.chunks.find(w) for w in missing}
+            new = [(w, self.cut(w)) for w, ids in found.items() if ids is None]
+            cores = {p: self.cores.find(p) for _, cut in new for p in cut if p}
+            fresh = self.learn([c for c, ids in cores.items() if ids is None])
+            cores |= fresh
+            for w, cut in new:
+                found[w] = b"".join([cores[p] for p in cut if p])
+            for memo, rows in ((self.cores, fresh.items()), (self.chunks, [(w, found[w]) for w, _ in new])):
+                for key, ids in rows:
+                    if len(key) <= 64:
+                        memo.keep(key, ids)
+            for words, ids in zip(split, coded):
+                if None in ids:
+                    ids[:] = [found[w] if x is None else x for w, x in zip(words, ids)]
+        return [b"".join(ids) for ids in coded]
 
 
 _encoders: dict[str, ChunkEncoder] = {}
