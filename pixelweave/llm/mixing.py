@@ -38,7 +38,7 @@ def targets(sizes: list[int], weights: list[float], limit: float = 3.0) -> list[
                 out[i] = each * weights[i]
             break
         for i in full:
-            out[i] = limit * sizes[i]
+            out[i] = float(limit * sizes[i])
             left -= out[i]
         free = [i for i in free if i not in set(full)]
     return out
