@@ -116,16 +116,17 @@ def with_next(docs: DataFrame, columns: list[str], run_rows: int = RUN_ROWS) ->
         held += rows
     # at most MAX_RUNS rows each
     run_table = F.broadcast(spark.createDataFrame(runs, "cell long, run long"))
-    also = [(first, [(r - 1, 0)] if r else [], 0) for r, first in enumerate(firsts)]
-    also[0] = (firsts[0], [(len(firsts) - 1, 1)], 0)
-    also_table = F.broadcast(spark.createDataFrame([(k, [{"run": a, "wrap": b} for a, b in x]) for k, x, _ in also], "id_key long, also array<struct<run:long,wrap:int>>"))
-    rows = docs.withColumn("id_key", key).withColumn("cell", cell).join(run_table, "cell").join(also_table, "id_key", "left")
+    also = [(first, [(r - 1, 0)] if r else [(len(firsts) - 1, 1)]) for r, first in enumerate(firsts)]
+    also_table = F.broadcast(spark.createDataFrame([(k, [{"run": a, "wrap": b} for a, b in x]) for k, x in also], "id_key long, also array<struct<run:long,wrap:int>>"))
+    # the columns of docs travel in a struct, so that their names cannot clash with these
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), key.alias("id_key"), cell.alias("cell"), F.xxhash64("text").alias("tie"))
+    rows = rows.join(run_table, "cell").join(also_table, "id_key", "left")
     own = F.struct("run", F.lit(0).alias("wrap"), F.lit(True).alias("own"))
     more = F.transform(F.coalesce("also", F.array().cast("array<struct<run:bigint,wrap:int>>")), lambda s: F.struct(s["run"].alias("run"), s["wrap"].alias("wrap"), F.lit(False).alias("own")))
-    rows = rows.withColumn("at", F.explode(F.concat(F.array(own), more)))
-    order = Window.partitionBy("at.run").orderBy("at.wrap", "id_key", F.col("at.own").desc(), F.xxhash64("text"))
-    rows = rows.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
-    return rows.where("at.own").select(*docs.columns, *[f"next_{c}" for c in columns])
+    rows = rows.select("doc", "id_key", "tie", F.explode(F.concat(F.array(own), more)).alias("at"))
+    order = Window.partitionBy("at.run").orderBy("at.wrap", "id_key", F.col("at.own").desc(), "tie")
+    rows = rows.select("doc", "at", *[F.lead(F.col(f"doc.{c}")).over(order).alias(f"next_{c}") for c in columns]).where("at.own")
+    return rows.select("doc.*", *[f"next_{c}" for c in columns])
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
