@@ -53,17 +53,25 @@ class CoverTree:
             far = self.radius[me]
             while reach / 2 >= far > 0:
                 reach /= 2
-            groups, rest, near = [], idx, apart
-            while len(rest):
-                inside = near <= reach / 2 if far > 0 else np.arange(len(rest)) == 0
-                inside[0] = True
-                groups.append(rest[inside])
-                rest = rest[~inside]
-                if len(rest):
-                    near = self.distance(rest[0], rest)
+            groups = self.cover(idx, reach / 2) if far > 0 else np.split(idx, len(idx))
             self.children[me] = np.array([self.add(g, reach / 2) for g in groups])
         return me
 
+    def cover(self, idx: np.ndarray, radius: float) -> list[np.ndarray]:
+        """Points split among centres: from the front each point that no centre covers yet becomes one. Candidates are compared by blocks."""
+        groups, points = [], self.x[idx]
+        while len(idx):
+            near = np.sqrt(np.maximum(0, 2 - 2 * (points[:64] @ points.T))) <= radius
+            free = np.ones(len(idx), bool)
+            for j in range(len(near)):
+                if free[j]:
+                    inside = near[j] & free
+                    inside[j] = True
+                    groups.append(idx[inside])
+                    free &= ~inside
+            idx, points = idx[free], points[free]
+        return groups
+
     def distance(self, i: int, idx: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(0, 2 - 2 * (self.x[idx] @ self.x[i])))
 
