@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,16 +112,19 @@ def simple8b_decode(words: np.ndarray) -> np.ndarray:
     return values
 
 
-#: Marks that the tokenizer always parts from a letter beside them.
-MARKS = b",.;:!?"
+#: Marks that the tokenizer always parts from a letter before them, and chunks that end in a letter once these are gone.
+MARKS = ",.;:!?"
+TRAILING = "^.*?([,.;:!?]*)$"
+LETTERS_AT_ENDS = "^[a-zß-öø-ÿ](?:.*[a-zß-öø-ÿ])?$"
 
 
 class ChunkEncoder:
-    """Token ids of whole texts by the tokenizers library, remembered for each run of non-space bytes.
+    """Token ids of whole texts by the tokenizers library, remembered by runs of non-space bytes.
 
     The tokenizer lower-cases, drops white space and parts letters from other signs before it merges
-    anything, so a text's ids are those of its chunks in order, and a chunk's are those of its leading marks,
-    its core and its trailing marks. The library sees each core that is not remembered, many in one string.
+    anything, so a text's ids are those of its chunks in order, and a chunk's are those of its core and of its
+    trailing marks. Arrow splits texts and finds the distinct chunks and parts of a batch; the library sees each
+    part that is not remembered, many in one string.
     Where words end in a suffix of the vocabulary, cores of lower-case letters go to a copy of the tokenizer
     that neither normalises nor cuts (there is nothing to do), and the suffix tells them apart; other cores
     have a bar between them.
@@ -133,7 +137,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.bar = self.ids("|")
-        self.chunks, self.cores = Recent(limit), Recent(limit // 2)
+        self.cores = Recent(limit)
         suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
         self.bare = None
         if suffix:
@@ -148,19 +152,6 @@ class ChunkEncoder:
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    @staticmethod
-    def cut(chunk: bytes) -> tuple[bytes, bytes, bytes]:
-        """Leading marks, core, trailing marks; all is core unless a letter stands at both its ends."""
-        low = chunk.lower()
-        core = low.strip(MARKS)
-        if len(core) == len(low):
-            return b"", low, b""
-        text = core.decode()
-        if not text or not text[0].isalpha() or not text[-1].isalpha():
-            return b"", low, b""
-        at = low.index(core)
-        return low[:at], core, low[at + len(core) :]
-
     @staticmethod
     def plain(core: bytes) -> bool:
         """Nothing but letters that the tokenizer would leave as they are."""
@@ -194,28 +185,42 @@ class ChunkEncoder:
                 out[c] = np.array(self.ids(c.decode()), "<u4").tobytes()
         return out
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def parts(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray, pa.StringArray]:
+        """For each chunk the numbers of its core and of its trailing marks among distinct parts; and these."""
+        low = pc.ascii_lower(chunks)
+        core = pc.ascii_rtrim(low, characters=MARKS)
+        cut = pc.match_substring_regex(core, LETTERS_AT_ENDS)
+        core = pc.if_else(cut, core, low)
+        tail = pc.if_else(cut, pc.replace_substring_regex(low, pattern=TRAILING, replacement="\\1"), "")
+        both = pa.concat_arrays([core, tail]).dictionary_encode()
+        numbers = both.indices.to_numpy()
+        return numbers[: len(chunks)], numbers[len(chunks) :], both.dictionary
+
+    def encode(self, texts: pa.StringArray) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        get = self.chunks.get
-        split = [t.split() for t in texts]
-        coded = [list(map(get, words)) for words in split]
-        missing = {w for words, ids in zip(split, coded) if None in ids for w, x in zip(words, ids) if x is None}
-        if missing:
-            found = {w: self.chunks.find(w) for w in missing}
-            new = [(w, self.cut(w)) for w, ids in found.items() if ids is None]
-            cores = {p: self.cores.find(p) for _, cut in new for p in cut if p}
-            fresh = self.learn([c for c, ids in cores.items() if ids is None])
-            cores |= fresh
-            for w, cut in new:
-                found[w] = b"".join([cores[p] for p in cut if p])
-            for memo, rows in ((self.cores, fresh.items()), (self.chunks, [(w, found[w]) for w, _ in new])):
-                for key, ids in rows:
-                    if len(key) <= 64:
-                        memo.keep(key, ids)
-            for words, ids in zip(split, coded):
-                if None in ids:
-                    ids[:] = [found[w] if x is None else x for w, x in zip(words, ids)]
-        return [b"".join(ids) for ids in coded]
+        split = pc.ascii_split_whitespace(texts)
+        at = split.offsets.to_numpy()
+        distinct = split.values.slice(int(at[0]), int(at[-1] - at[0])).dictionary_encode()
+        core, tail, names = self.parts(distinct.dictionary)
+        keys = names.cast(pa.binary()).to_pylist()
+        ids = [self.cores.find(k) if k else b"" for k in keys]
+        new = [i for i, x in enumerate(ids) if x is None]
+        fresh = self.learn([keys[i] for i in new])
+        for i in new:
+            ids[i] = fresh[keys[i]]
+            if len(keys[i]) <= 64:
+                self.cores.keep(keys[i], ids[i])
+        # the ids of all parts in one array, then those of each part of each chunk in order
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        begin = np.cumsum(size) - size
+        numbers = distinct.indices.to_numpy()
+        order = np.stack([core[numbers], tail[numbers]], axis=1).ravel()
+        n = size[order]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        out = flat[np.repeat(begin[order] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        cuts = (ends[2 * (at - at[0])] * 4).tolist()
+        return [out[i:j] for i, j in zip(cuts, cuts[1:])]
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -276,9 +281,9 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id:
             return out
 
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                rows = batch.slice(lo, 256)
-                texts = [t or b"" for t in rows.column(1).to_pylist()]
+            for lo in range(0, len(batch), 1024):
+                rows = batch.slice(lo, 1024)
+                texts = pc.fill_null(rows.column(1), "")
                 for d, ids in zip(rows.column(0).to_pylist(), enc.encode(texts), strict=True):
                     doc_ids.append(d)
                     held.append(ids + end)
@@ -288,7 +293,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id:
         if doc_ids:
             yield close()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     coded = dealt.mapInArrow(encode, "block binary").select(F.col("block").cast("string").alias("value"))
