@@ -34,7 +34,7 @@ def prj04(spark, sf):
     return views.boxes(spark, sf).select("box_id", *[v.alias(f"b{k}") for k, v in b.items()])
 
 
-@query("PRJ05_pixel_to_world", with_views("prob", "SELECT DISTINCT r, c, 1000.0 + 0.5 * (c + 0.5) AS x, 2000.0 - 0.5 * (r + 0.5) AS y FROM prob"))
+@query("PRJ05_pixel_to_world", with_views("prob", "SELECT DISTINCT r, c, CAST(1000.0 + 0.5 * (c + 0.5) AS DOUBLE) AS x, CAST(2000.0 - 0.5 * (r + 0.5) AS DOUBLE) AS y FROM prob"))
 def prj05(spark, sf):
     x, y = grid.pixel_to_world(F.col("r"), F.col("c"), GT)
     return views.prob(spark, sf).select("r", "c", x.alias("x"), y.alias("y")).distinct()
@@ -119,12 +119,12 @@ def prj17(spark, sf):
     return catalog.with_class_info(views.labelled(spark, sf).withColumnRenamed("gt", "cls"), colours).groupBy("cls", "red").agg(F.count("*").alias("n"))
 
 
-@query("PRJ18_blend", with_views("rgb", "SELECT y, x, round(r * 0.8 + g * 0.2, 4) AS v FROM rgb"))
+@query("PRJ18_blend", with_views("rgb", "SELECT y, x, round(CAST(r * 0.8 + g * 0.2 AS DOUBLE), 4) AS v FROM rgb"))
 def prj18(spark, sf):
     return views.rgb(spark, sf).select("y", "x", F.round(imagery.blend(F.col("r"), F.col("g"), 0.2), 4).alias("v"))
 
 
-@query("PRJ19_slice_shift", with_views("orthos", "SELECT ortho_id, 2000.0 - 0.5 * (height // 2) AS f, 1000.0 AS c FROM orthos"))
+@query("PRJ19_slice_shift", with_views("orthos", "SELECT ortho_id, CAST(2000.0 - 0.5 * (height // 2) AS DOUBLE) AS f, CAST(1000.0 AS DOUBLE) AS c FROM orthos"))
 def prj19(spark, sf):
     _, y = grid.pixel_to_world(F.floor(F.col("height") / 2) - 0.5, F.lit(-0.5), GT)
     return views.orthos(spark, sf).select("ortho_id", y.alias("f"), F.lit(1000.0).alias("c"))

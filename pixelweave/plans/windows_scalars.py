@@ -153,7 +153,7 @@ def set03(spark, sf):
     return d.select("zone", F.col("gt").alias("label")).subtract(d.select("zone", F.lit(0)))
 
 
-@query("SET04_concat_zones", with_views("labelled", "SELECT gt, pred, NULL AS extra, count(*) AS n FROM labelled WHERE zone < 2 GROUP BY 1, 2"))
+@query("SET04_concat_zones", with_views("labelled", "SELECT gt, pred, CAST(NULL AS INT) AS extra, count(*) AS n FROM labelled WHERE zone < 2 GROUP BY 1, 2"))
 def set04(spark, sf):
     d = views.labelled(spark, sf)
     both = catalog.stack_layers(d.where("zone = 0").select("gt", "pred"), d.where("zone = 1").select("pred", "gt").withColumn("extra", F.lit(None).cast("int")))
