@@ -106,47 +106,43 @@ class Links:
 
 
 def dual(s: CoverTree, t: CoverTree, links: Links, shift_s: int, shift_t: int, cosine: float) -> None:
-    """Link all pairs of cosine at least `cosine` between two trees, or within one if they are the same."""
-    r, same = np.sqrt(2 - 2 * cosine), s is t
-    todo = [(0, 0)] if s.centre and t.centre else []
+    """Link all pairs of cosine at least `cosine` between two trees, or within one if they are the same.
+
+    A step takes two lists of nodes and settles all pairs between them at once. Pairs left open are grouped
+    by the node whose children come next, so the steps are as many as the nodes opened, not as the pairs.
+    """
+    if not s.centre or not t.centre:
+        return
+    r, same, root = np.sqrt(2 - 2 * cosine), s is t, np.array([0])
+    cs, ct, rs, rt = np.array(s.centre), np.array(t.centre), np.array(s.radius), np.array(t.radius)
+    fine_s, fine_t = (np.array([c is None for c in x.children]) for x in (s, t))
+    todo = [(root, root, same)]
     while todo:
-        p, q = todo.pop()
-        cp, cq = s.children[p], t.children[q]
-        # the side with the wider ball is opened; leaves stay as they are
-        if cp is None or (cq is not None and t.radius[q] > s.radius[p] and p != q):
-            a, b = np.array([p]), np.array([q]) if cq is None else cq
-        else:
-            a, b = cp, np.array([q])
-        if same and p == q:
-            if cp is None:
-                continue
-            a = b = cp
-        for lo in range(0, len(a), 512):
-            part = a[lo : lo + 512]
-            cos = s.x[[s.centre[i] for i in part]] @ t.x[[t.centre[j] for j in b]].T
+        all_a, b, diagonal = todo.pop()
+        for lo in range(0, len(all_a), 512):
+            a = all_a[lo : lo + 512]
+            cos = s.x[cs[a]] @ t.x[ct[b]].T
             apart = np.sqrt(np.maximum(0, 2 - 2 * cos))
-            both = np.array([s.radius[i] for i in part])[:, None] + np.array([t.radius[j] for j in b])[None]
-            leaf = np.array([s.children[i] is None for i in part])[:, None] & np.array([t.children[j] is None for j in b])[None]
-            once = np.ones_like(leaf)
-            if same and p == q:
-                once = (np.arange(lo, lo + len(part))[:, None] < np.arange(len(b))[None])
-            hit = once & leaf & (cos >= cosine)
-            for i, j in zip(*np.nonzero(hit), strict=True):
-                links.block(s.members[part[i]] + shift_s, t.members[b[j]] + shift_t)
+            both = rs[a][:, None] + rt[b][None]
+            leaf = fine_s[a][:, None] & fine_t[b][None]
+            once = np.arange(lo, lo + len(a))[:, None] < np.arange(len(b))[None] if diagonal else np.ones((1, 1), bool)
             whole = once & ~leaf & (apart + both <= r - SLACK)
-            for i, j in zip(*np.nonzero(whole), strict=True):
-                links.block(s.members[part[i]] + shift_s, t.members[b[j]] + shift_t)
+            for i, j in zip(*np.nonzero(whole | (once & leaf & (cos >= cosine))), strict=True):
+                links.block(s.members[a[i]] + shift_s, t.members[b[j]] + shift_t)
             opened = once & ~leaf & ~whole & (apart - both <= r + SLACK)
-            todo += [(int(part[i]), int(b[j])) for i, j in zip(*np.nonzero(opened), strict=True)]
-            if same and p == q:
-                for i in part.tolist():
-                    if s.radius[i] * 2 <= r - SLACK and s.children[i] is not None:
-                        m = s.members[i] + shift_s
-                        links.n[m] += links.mult[m].sum() - links.mult[m]
-                        for j in m.tolist():
-                            links.join(int(m[0]), j)
-                    elif s.children[i] is not None:
-                        todo.append((i, i))
+            for i in np.flatnonzero(opened.any(axis=1) & ~fine_s[a]):
+                todo.append((s.children[a[i]], b[opened[i]], False))
+            opened &= fine_s[a][:, None]
+            for j in np.flatnonzero(opened.any(axis=0)):
+                todo.append((a[opened[:, j]], t.children[b[j]], False))
+            for i in a[~fine_s[a]].tolist() if diagonal else ():
+                if 2 * rs[i] <= r - SLACK:
+                    m = s.members[i] + shift_s
+                    links.n[m] += links.mult[m].sum() - links.mult[m]
+                    for j in m.tolist():
+                        links.join(int(m[0]), j)
+                else:
+                    todo.append((s.children[i], s.children[i], True))
 
 
 def link_chunks(vectors: np.ndarray, mult: np.ndarray, side: np.ndarray, within: bool, cosine: float) -> Links:
