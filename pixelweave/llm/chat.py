@@ -98,7 +98,7 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         jump, reach = jump.join(further, ["tree", "anc"]).select("tree", "node", F.col("next").alias("anc")), 2 * reach
 
     paths = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
-    for far, jump in jumps:
+    for far, jump in reversed(jumps):  # the longest first: most paths are short and stay one row until the last steps
         here = F.struct("node", "up")
         there = F.struct(F.col("anc").alias("node"), (F.col("up") + far).alias("up"))
         both = F.when(F.col("anc").isNotNull(), F.array(here, there)).otherwise(F.array(here))
