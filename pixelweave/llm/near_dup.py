@@ -10,7 +10,7 @@ A bucket links nothing by itself. Its heaviest member (the one in the fullest bu
 star, and only star edges become candidates, so candidates grow with bucket entries and not with their
 square. Candidates whose signatures agree much less than the limit asks for (more than five standard errors)
 go; the others are confirmed on full shingle sets. Members that are still not in one component get further
-rounds with new centres, eight times as many each time, until every pair in a bucket is compared or known to be in
+rounds with new centres, twice as many each time, until every pair in a bucket is compared or known to be in
 one component. So a group of copies costs one round, and no link inside a bucket is lost. At a similarity of
 0.8 a pair shares none of the 32 buckets once in 2 * 10^7 times, at 0.85 once in 10^10.
 
@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
             have = sets.select("node")
             found = stage(confirmed(likely, sets, num, den), "links")
             links = found if links is None else links.union(found)
-            if comp is None:
+            if found.limit(1).count():
                 comp = stage(components(None, links, "a", "b"), "components")
         # a centre has met every member of its bucket; a bucket whose other members are known to be in one component is done
         rest = live.join(centres, ["key", "node"], "left_anti")
@@ -239,12 +239,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         with_comp = with_comp.withColumn("component", F.coalesce("component", "node"))
         still = with_comp.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
         live = stage(rest.join(still, "key", "left_semi"), "live")
-        each *= 8
+        each *= 2
     if comp is None:
         named = classes.select("node", F.col("rep").alias("component_id"))
     else:
-        if each > 8:  # later rounds may have found links between the components of the first
-            comp = stage(components(None, links, "a", "b"), "components")
         named = classes.select("node", "rep").join(comp, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
         named = named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("node", "component_id")
     out = made.select("doc_id", "n", "node", "text_key").join(named, "node", "left")
