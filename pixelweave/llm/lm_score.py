@@ -6,10 +6,10 @@ until one is missing: overestimates die off geometrically. The filter also holds
 and the mass that its pairs leave to the words alone. The model interpolates by absolute discounting:
 P(w | v) = max(c(vw) - D, 0) / c(v) + left(v) / c(v) * (c(w) + 1) / (N + V + 1), all counts from probes.
 
-The filter is broadcast and has a fixed bound, FILTER_BYTES. Every n-gram is counted; those kept have at least
-MIN_COUNT and, where these don't fit at BITS_PER_ENTRY, at least the lowest level that fits. What is not kept
-is unseen to the model and smoothed like any unseen pair. It is built by segments, each from its own
-entries, so no task sees more than its share.
+Every n-gram is counted; those of at least MIN_COUNT are kept, whatever the size of the corpus: the filter has
+BITS_PER_ENTRY for each entry. It is never in one place. N-grams are dealt by hash to parts, one for each PART_BYTES
+of text, and each part has a filter of its own in the shared folder. Texts are handled by chunks: a chunk asks each
+part for the levels of its distinct n-grams, packed in one row, and the answer is one byte for each, in order.
 
 The base score needs exact counts. The most frequent tokens (at most HEAD of them) are broadcast; any other
 token of a text is looked up by a join on the token, where by construction no token is frequent.
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from pixelweave.llm.common import WordHashes, mix64, read_table, stage, training_rows, word_hashes
 
-FILTER_BYTES = 32 << 20
+#: Bytes of training text to one part of the filter.
+PART_BYTES = 8 << 20
 BITS_PER_ENTRY = 10
 PROBES = 4
 SEGMENTS = 256
@@ -42,6 +43,8 @@ DISCOUNT = 0.75
 HEAD = 150_000
 #: Tokens gathered before a task sums them up and passes them on.
 FLUSH = 600_000
+#: More levels than any count has.
+TOP = 120
 
 START = np.uint64(0x243F6A8885A308D3)
 END = np.uint64(0x13198A2E03707344)
@@ -83,40 +86,77 @@ def pair(before: np.ndarray, h: np.ndarray) -> np.ndarray:
 COUNTS = "h long, token binary, c long"
 
 
-def ngram_counts(docs: DataFrame) -> DataFrame:
-    """(h, token, c) of docs(text): all tokens with their text (empty: end), all pairs without. A start has no token and the hash START."""
+def pack(u: np.ndarray) -> bytes:
+    """Sorted hashes as differences, byte by byte, so that the compression of shuffles and files finds the zeros."""
+    return np.diff(u, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(b: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(b, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def deal(u: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts sorted hashes by part, and where each part starts in it."""
+    part = ((u >> np.uint64(8)) & np.uint64(parts - 1)).astype(np.int32)
+    return np.argsort(part, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(part, minlength=parts))))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(h, token, c) of docs(text): all tokens with their text (empty: end). The starts have no token and the hash START."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, starts = [], 0, 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, size, starts
+        def flush() -> pa.RecordBatch:
             h = np.concatenate([x[0] for x in held])
             u, first, c = np.unique(h, return_index=True, return_counts=True)
-            flat = [w for x in held for w in x[2]]
-            words = [flat[i] for i in first.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(words, pa.binary()), pa.array(c.astype(np.int64))], ["h", "token", "c"])
-            u, c = np.unique(np.concatenate([x[1] for x in held]), return_counts=True)
-            u, c = np.append(u, START), np.append(c, starts)
-            for lo in range(0, len(u), 200_000):
-                part = u[lo : lo + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.nulls(len(part), pa.binary()), pa.array(c[lo : lo + 200_000].astype(np.int64))], ["h", "token", "c"])
-            held, size, starts = [], 0, 0
+            flat = [w for x in held for w in x[1]]
+            words = [*(flat[i] for i in first.tolist()), None]
+            return pa.RecordBatch.from_arrays([pa.array(np.append(u, START).view(np.int64)), pa.array(words, pa.binary()), pa.array(np.append(c, starts).astype(np.int64))], ["h", "token", "c"])
 
         for batch in batches:
             for lo in range(0, len(batch), 512):
-                h, before, first, flat = hash_texts(batch.column(0).slice(lo, 512).to_pylist())
-                held.append((h, pair(before, h), flat))
+                h, _, first, flat = hash_texts(batch.column(0).slice(lo, 512).to_pylist())
+                held.append((h, flat))
                 size, starts = size + len(h), starts + len(first)
                 if size >= FLUSH:
-                    yield from flush()
+                    yield flush()
+                    held, size, starts = [], 0, 0
         if size:
-            yield from flush()
+            yield flush()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a task has summed up already, so rows are dealt by hash and summed once, after the shuffle
-    parts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, COUNTS).repartition(n, "h")
-    return parts.groupBy("h", "token").agg(F.sum("c").alias("c"))
+    found = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, COUNTS).repartition(n, "h")
+    return found.groupBy("h", "token").agg(F.sum("c").alias("c"))
+
+
+def pair_parts(docs: DataFrame, parts: int) -> DataFrame:
+    """(part, h, c) of docs(text): for each chunk and part the packed pairs and how often each occurs in the chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            u, c = np.unique(np.concatenate(held), return_counts=True)
+            order, at = deal(u, parts)
+            u, c = u[order], c[order].astype(np.uint32)
+            some = [i for i in range(parts) if at[i] < at[i + 1]]
+            rows = [(pack(u[at[i] : at[i + 1]]), c[at[i] : at[i + 1]].tobytes()) for i in some]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([x for x, _ in rows], pa.binary()), pa.array([x for _, x in rows], pa.binary())], ["part", "h", "c"])
+
+        for batch in batches:
+            for lo in range(0, len(batch), 512):
+                h, before, _, _ = hash_texts(batch.column(0).slice(lo, 512).to_pylist())
+                held.append(pair(before, h))
+                size += len(h)
+                if size >= FLUSH:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "part int, h binary, c binary")
 
 
 def level(c) -> F.Column:
@@ -124,6 +164,10 @@ def level(c) -> F.Column:
     return (F.floor(F.log(c / F.lit(float(MIN_COUNT)) * (1 + 1e-12)) / float(np.log(BASE))) + 1).cast("int")
 
 
+def levels_of(c: np.ndarray) -> np.ndarray:
+    return (np.log(c / float(MIN_COUNT)) * (1 + 1e-12) / np.log(BASE)).astype(np.int64) + 1
+
+
 def count_of(q: np.ndarray) -> np.ndarray:
     """The count that a level stands for: the middle of its range, on the log scale."""
     return np.where(q > 0, MIN_COUNT * BASE ** (q - 0.5), 0.0)
@@ -159,13 +203,22 @@ class LogBloom:
             out[alive] = q
         return out
 
-    def counts(self, h: np.ndarray, kind: np.uint64, shift: int) -> np.ndarray:
-        q = self.levels(h, kind)
-        return count_of(np.where(q > 0, q + shift, 0))
+
+def make_filter(h: np.ndarray, kind: np.ndarray, q: np.ndarray) -> tuple[int, bytes]:
+    """Bits by segment, and the filter of one part."""
+    # segments of few entries are filled unevenly, so none is small
+    bits = -(-max(1024, int(q.sum()) * BITS_PER_ENTRY // SEGMENTS) // 64) * 64
+    data = np.zeros(SEGMENTS * bits, np.uint8)
+    for j in range(1, int(q.max(initial=0)) + 1):
+        some = q >= j
+        base = (h[some] & np.uint64(SEGMENTS - 1)) * np.uint64(bits)
+        for p in positions(h[some], j, kind[some], bits):
+            data[base + p] = 1
+    return bits, np.packbits(data, bitorder="little").tobytes()
 
 
 def build_filter(entries: DataFrame, bits: int) -> np.ndarray:
-    """The bits of entries(kind, h, q) by segments. SEGMENTS rows of bits / 8 bytes come to the driver: FILTER_BYTES at most."""
+    """The bits of entries(kind, h, q) by segments. For a single part, as make_filter() makes it of arrays."""
 
     def run(key, group: pd.DataFrame) -> pd.DataFrame:
         data = np.zeros(bits, np.uint8)
@@ -184,98 +237,172 @@ def build_filter(entries: DataFrame, bits: int) -> np.ndarray:
 
 
 class Model:
-    """What a scoring task needs; its size is bounded by FILTER_BYTES and HEAD."""
-
-    def __init__(self, bloom: LogBloom, shift: int, n: int, v: int, head: np.ndarray, head_counts: np.ndarray):
-        self.bloom, self.shift, self.n, self.v, self.head, self.head_counts = bloom, shift, n, v, head, head_counts
-
-    def log_probs(self, h: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log10 of P(token | token before it)."""
-        space = self.n + self.v + 1.0
-        u, at = np.unique(h, return_inverse=True)
-        p = ((self.bloom.counts(u, WORDS, 0) + 1) / space)[at]
-        u, at = np.unique(before, return_inverse=True)
-        ctx = context(u)
-        total = self.bloom.counts(ctx, CONTEXTS, 0)
-        left = np.minimum(self.bloom.counts(ctx, LEFT, 0), total)
-        total, left = total[at], left[at]
-        known = np.flatnonzero((total > 0) & (left > 0))
-        u, at = np.unique(pair(before[known], h[known]), return_inverse=True)
-        c = np.maximum(self.bloom.counts(u, PAIRS, self.shift)[at] - DISCOUNT, 0)
-        total, left = total[known], left[known]
-        p[known] = np.minimum(1.0, np.minimum(c, total) / total + left / total * p[known])
-        return np.log10(np.minimum(1.0, p))
+    """The staged filters of all parts, totals, and the most frequent tokens (HEAD at most)."""
+
+    def __init__(self, filters: DataFrame, parts: int, n: int, v: int, head: np.ndarray, head_counts: np.ndarray):
+        self.filters, self.parts, self.n, self.v, self.head, self.head_counts = filters, parts, n, v, head, head_counts
 
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model of docs(text) and the staged counts of all its tokens (token, c)."""
-    spark = docs.sparkSession
-    counted = ngram_counts(docs).where((F.col("c") >= MIN_COUNT) | F.col("token").isNotNull() | (F.col("h") == int(START.view(np.int64))))
-    counts = stage(counted, "counts")
+    counts = stage(word_counts(docs), "counts")
     words = counts.where("token is not null")
     n, v = (x or 0 for x in words.agg(F.sum("c"), F.count("*")).first())
-    start = int(START.view(np.int64))
-    pairs = counts.where(F.col("token").isNull() & (F.col("h") != start))
-
-    # how many entries there are of each level, to see which pairs fit
-    by_level = {r["q"]: r["n"] for r in pairs.groupBy(level(F.col("c")).alias("q")).agg(F.count("*").alias("n")).collect()}
-    word_levels = {r["q"]: r["n"] for r in words.where(F.col("c") >= MIN_COUNT).groupBy(level(F.col("c")).alias("q")).agg(F.count("*").alias("n")).collect()}
-    # words and contexts come in three kinds at most; their lowest levels go first if they alone are too many
-    most = FILTER_BYTES * 8 // BITS_PER_ENTRY
-    rest = lambda table, low: sum((q - low + 1) * k for q, k in table.items() if q >= low)
-    low_word = next(q for q in range(1, 200) if 3 * sum(q2 * k for q2, k in word_levels.items() if q2 >= q) <= most * 2 // 3)
-    used = 3 * sum(q * k for q, k in word_levels.items() if q >= low_word)
-    low_pair = next(q for q in range(1, 200) if rest(by_level, q) <= most - used)
-    entries_n = max(used + rest(by_level, low_pair), 1)
-    bits = min(FILTER_BYTES * 8 // SEGMENTS, max(64, -(-entries_n * BITS_PER_ENTRY // SEGMENTS))) // 64 * 64
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = 1 << max(0, -(-size // PART_BYTES) - 1).bit_length()
+
+    def pair_filters(key, group: pd.DataFrame) -> pd.DataFrame:
+        h, at = np.unique(np.concatenate([unpack(b) for b in group["h"]]), return_inverse=True)
+        c = np.bincount(at, np.concatenate([np.frombuffer(b, np.uint32) for b in group["c"]]))
+        h, c = h[c >= MIN_COUNT], c[c >= MIN_COUNT]
+        bits, data = make_filter(h, np.full(len(h), PAIRS), levels_of(c))
+        # what each context's pairs take, for the parts of the contexts
+        ctx, at = np.unique(h >> np.uint64(36), return_inverse=True)
+        mass = np.bincount(at, c - DISCOUNT, len(ctx)) if len(ctx) else np.empty(0)
+        order, cut = deal(ctx, parts)
+        ctx, mass = ctx[order], mass[order]
+        rows = [(int(key[0]), bits, data, None, None)]
+        rows += [(i, None, None, pack(ctx[cut[i] : cut[i + 1]]), mass[cut[i] : cut[i + 1]].tobytes()) for i in range(parts) if cut[i] < cut[i + 1]]
+        return pd.DataFrame(rows, columns=["part", "bits", "data", "ctx", "mass"]).astype({"bits": "Int32"})
+
+    made = stage(pair_parts(docs, parts).groupBy("part").applyInPandas(pair_filters, "part int, bits int, data binary, ctx binary, mass binary"), "pairs")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(context(h).astype(np.int64)), batch.column(1)], ["ctx", "c"])
-
-    kept = pairs.withColumn("q", level(F.col("c"))).where(F.col("q") >= low_pair)
-    as_context = counts.where((F.col("token").isNotNull() & (F.col("h") != int(END.view(np.int64)))) | (F.col("h") == start)).select("h", "c")
-    ctx = as_context.mapInArrow(contexts, "ctx long, c long").groupBy("ctx").agg(F.sum("c").alias("c"))
-    mass = kept.groupBy(F.shiftrightunsigned("h", 36).alias("ctx")).agg(F.sum(F.col("c") - DISCOUNT).alias("mass"))
-    ctx = ctx.join(mass, "ctx").withColumn("left", F.greatest(F.lit(float(MIN_COUNT)), F.col("c") - F.col("mass"))).where((F.col("c") >= MIN_COUNT) & (level(F.col("c")) >= low_word))
+            yield pa.RecordBatch.from_arrays([pa.array(context(h).astype(np.int64)), batch.column(1)], ["h", "c"])
+
+    def word_filters(key, group: pd.DataFrame, masses: pd.DataFrame) -> pd.DataFrame:
+        h, c, kind = group["h"].to_numpy().view(np.uint64), group["c"].to_numpy(), group["kind"].to_numpy().astype(np.uint64)
+        is_word = kind == WORDS
+        order = np.argsort(h[~is_word])
+        ctx, total = h[~is_word][order], c[~is_word][order]
+        taken = np.zeros(len(ctx))
+        for x, m in zip(masses["ctx"], masses["mass"], strict=True):
+            taken[np.searchsorted(ctx, unpack(x))] += np.frombuffer(m)
+        known = (taken > 0) & (total >= MIN_COUNT)
+        ctx, total, left = ctx[known], total[known], np.maximum(MIN_COUNT, total - taken)[known]
+        h, c = h[is_word & (c >= MIN_COUNT)], c[is_word & (c >= MIN_COUNT)]
+        kinds = np.repeat(np.array([WORDS, CONTEXTS, LEFT]), [len(h), len(ctx), len(ctx)])
+        bits, data = make_filter(np.concatenate([h, ctx, ctx]), kinds, levels_of(np.concatenate([c, total, left])))
+        return pd.DataFrame({"part": [key[0]], "bits": [bits], "data": [data]})
+
+    as_context = counts.where(F.col("token").isNull() | (F.col("h") != int(END.view(np.int64)))).select("h", "c")
+    ctx = as_context.mapInArrow(contexts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     kind = lambda k: F.lit(int(k)).alias("kind")
-    entries = (
-        words.where(F.col("c") >= MIN_COUNT).select(kind(WORDS), "h", level(F.col("c")).alias("q")).where(F.col("q") >= low_word)
-        .union(kept.select(kind(PAIRS), "h", (F.col("q") - (low_pair - 1)).alias("q")))
-        .union(ctx.select(kind(CONTEXTS), F.col("ctx").alias("h"), level(F.col("c")).alias("q")))
-        .union(ctx.select(kind(LEFT), F.col("ctx").alias("h"), level(F.col("left")).alias("q")))
-    )
-    top = max([*by_level, *word_levels, 1]) + 1
-    bloom = LogBloom(bits, build_filter(entries, bits), top)
+    entries = words.select(kind(WORDS), "h", "c").union(ctx.select(kind(CONTEXTS), "h", "c"))
+    entries = entries.withColumn("part", F.shiftrightunsigned("h", 8).bitwiseAND(F.lit(parts - 1)).cast("int"))
+    masses = made.where("ctx is not null").select("part", "ctx", "mass")
+    other = entries.groupBy("part").cogroup(masses.groupBy("part")).applyInPandas(word_filters, "part int, bits int, data binary")
+    pair_rows = made.where("data is not null").select("part", F.lit(True).alias("pairs"), "bits", "data")
+    filters = pair_rows.union(stage(other, "filters").select("part", F.lit(False).alias("pairs"), "bits", "data"))
 
     # the most frequent tokens, whole levels of them, HEAD at most
+    often = words.where(F.col("c") >= MIN_COUNT).withColumn("q", level(F.col("c")))
+    word_levels = {r["q"]: r["n"] for r in often.groupBy("q").agg(F.count("*").alias("n")).collect()}
     low_head = next(q for q in range(1, 400) if sum(k for p, k in word_levels.items() if p >= q) <= HEAD)
-    head = words.where((F.col("c") >= MIN_COUNT) & (level(F.col("c")) >= low_head)).select("h", "c").collect()
+    head = often.where(F.col("q") >= low_head).select("h", "c").collect()
     h = np.array([r["h"] for r in head], np.int64).view(np.uint64)
     order = np.argsort(h)
-    return Model(bloom, low_pair - 1, n, v, h[order], np.array([r["c"] for r in head], np.int64)[order]), counts
+    return Model(filters, parts, n, v, h[order], np.array([r["c"] for r in head], np.int64)[order]), counts
+
+
+class Chunk:
+    """Some texts as the distinct tokens and, for each place, which one; and what is asked about them."""
+
+    def __init__(self, words: bytes, places: bytes, sizes: bytes):
+        self.words, places = unpack(words), np.frombuffer(places, np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
+        self.sizes = np.frombuffer(sizes, np.int32)
+        first = np.cumsum(self.sizes) - self.sizes
+        self.word = places
+        self.contexts, at = np.unique(context(np.append(self.words, START)), return_inverse=True)
+        self.before = at[np.concatenate(([-1], places[:-1]))]
+        self.before[first] = at[-1]
+        h = self.words[places]
+        before = np.concatenate(([START], h[:-1]))
+        before[first] = START
+        self.pairs, self.pair = np.unique(pair(before, h), return_inverse=True)
+
+
+def packed_chunk(h: np.ndarray, sizes: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    u, at = np.unique(h, return_inverse=True)
+    return pack(u), at.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes(), sizes.astype(np.int32).tobytes()
+
+
+def chunk_scores(chunks: DataFrame, model: Model) -> DataFrame:
+    """(uid, score) for chunks(uid, words, places, sizes): log10 of P(token | token before it), summed up by text."""
+    parts, space = model.parts, model.n + model.v + 1.0
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uid, *packed in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                c = Chunk(*packed)
+                asked = []
+                for u in (c.pairs, c.words, c.contexts):
+                    order, at = deal(u, parts)
+                    asked.append([pack(u[order[at[i] : at[i + 1]]]) for i in range(parts)])
+                yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([uid] * parts, pa.int64()), *(pa.array(x, pa.binary()) for x in asked)], ["part", "uid", "pairs", "words", "contexts"])
 
+    def answer(key, group: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
+        held = {bool(p): LogBloom(int(b), np.frombuffer(d, np.uint8), TOP) for p, b, d in zip(filters["pairs"], filters["bits"], filters["data"], strict=True)}
 
-SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, sum double, score double, tail array<struct<token:binary,tf:int>>"
+        def levels(column: str, kind: np.uint64) -> list[bytes]:
+            bloom = held.get(kind == PAIRS)
+            asked = (unpack(b) for b in group[column])
+            return [(bloom.levels(h, kind) if bloom else np.zeros(len(h))).astype(np.uint8).tobytes() for h in asked]
+
+        return pd.DataFrame({"uid": group["uid"], "part": group["part"], "pairs": levels("pairs", PAIRS), "words": levels("words", WORDS), "totals": levels("contexts", CONTEXTS), "lefts": levels("contexts", LEFT)})
+
+    def told(key, chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        c, answers = Chunk(*chunk[["words", "places", "sizes"]].iloc[0]), answers.sort_values("part")
+
+        def counts(column: str, u: np.ndarray) -> np.ndarray:
+            q = np.empty(len(u), np.uint8)
+            q[deal(u, parts)[0]] = np.frombuffer(b"".join(answers[column]), np.uint8)
+            return count_of(q.astype(np.int64))
+
+        p = ((counts("words", c.words) + 1) / space)[c.word]
+        total = counts("totals", c.contexts)
+        left = np.minimum(counts("lefts", c.contexts), total)
+        n = np.maximum(counts("pairs", c.pairs) - DISCOUNT, 0)
+        total, left, n = total[c.before], left[c.before], n[c.pair]
+        known = (total > 0) & (left > 0)
+        total = np.where(known, total, 1.0)
+        p = np.where(known, np.minimum(1.0, np.minimum(n, total) / total + left / total * p), p)
+        text = np.repeat(np.arange(len(c.sizes)), c.sizes)
+        return pd.DataFrame({"uid": key[0] + np.arange(len(c.sizes)), "score": np.bincount(text, np.log10(np.minimum(1.0, p)), len(c.sizes))})
+
+    asked = chunks.mapInArrow(ask, "part int, uid long, pairs binary, words binary, contexts binary")
+    answers = asked.groupBy("part").cogroup(model.filters.groupBy("part")).applyInPandas(answer, "uid long, part int, pairs binary, words binary, totals binary, lefts binary")
+    return chunks.groupBy("uid").cogroup(answers.groupBy("uid")).applyInPandas(told, "uid long, score double")
+
+
+SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, sum double, tail array<struct<token:binary,tf:int>>, words binary, places binary, sizes binary"
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for docs(doc_id, held_out, text)."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast((model.head, model.head_counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, uid = held.value, TaskContext.get().partitionId() << 40
+        (head, head_counts), uid = held.value, TaskContext.get().partitionId() << 40
+        names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "sum", "tail", "words", "places", "sizes"]
+        kept, start, size = [], uid, 0
+
+        def flush() -> pa.RecordBatch:
+            chunk = packed_chunk(np.concatenate([x for x, _ in kept]), np.concatenate([x for _, x in kept]))
+            empty = [pa.nulls(1, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), tail_type)]
+            return pa.RecordBatch.from_arrays([pa.array([start]), *empty, *(pa.array([x], pa.binary()) for x in chunk)], names)
+
         tail_type = pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int32())]))
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)
-                h, before, first, flat = hash_texts(part.column(2).to_pylist())
+                h, _, first, flat = hash_texts(part.column(2).to_pylist())
                 doc = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
-                logs = m.log_probs(h, before)
-                at = np.minimum(np.searchsorted(m.head, h), max(0, len(m.head) - 1))
-                in_head = m.head[at] == h if len(m.head) else np.zeros(len(h), bool)
-                c = np.where(in_head, m.head_counts[at] if len(m.head) else 0, 0)
+                at = np.minimum(np.searchsorted(head, h), max(0, len(head) - 1))
+                in_head = head[at] == h if len(head) else np.zeros(len(h), bool)
+                c = np.where(in_head, head_counts[at] if len(head) else 0, 0)
                 out = np.flatnonzero(~in_head)
                 # tokens outside the head, once for each text
                 order = out[np.lexsort((h[out], doc[out]))]
@@ -289,16 +416,24 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 tail = pa.ListArray.from_arrays(pa.array(ends), items).cast(tail_type)
                 sums = lambda x: np.bincount(doc, x, minlength=len(first))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(uid + np.arange(len(first))), part.column(0), part.column(1), pa.array(sums(np.ones(len(h))).astype(np.int64)), pa.array(sums(in_head).astype(np.int64)), pa.array(sums(np.log10(c + 1.0))), pa.array(sums(logs)), tail],
-                    ["uid", "doc_id", "held_out", "n_tokens", "n_known", "sum", "score", "tail"],
+                    [pa.array(uid + np.arange(len(first))), part.column(0), part.column(1), pa.array(sums(np.ones(len(h))).astype(np.int64)), pa.array(sums(in_head).astype(np.int64)), pa.array(sums(np.log10(c + 1.0))), tail, *(pa.nulls(len(first), pa.binary()) for _ in range(3))],
+                    names,
                 )
-                uid += len(first)
+                kept.append((h, np.diff(np.append(first, len(h)))))
+                uid, size = uid + len(first), size + len(h)
+                if size >= FLUSH:
+                    yield flush()
+                    kept, start, size = [], uid, 0
+        if kept:
+            yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("text").cast("binary").alias("text"))
-    done = stage(rows.mapInArrow(run, SCORED), "scored")
+    both = stage(rows.mapInArrow(run, SCORED), "scored")
+    done = both.where("words is null").drop("words", "places", "sizes")
+    scores = chunk_scores(both.where("words is not null").select("uid", "words", "places", "sizes"), model)
     rare = done.select("uid", F.explode("tail").alias("t")).select("uid", "t.token", "t.tf")
     more = rare.join(counts.where("token is not null").select("token", "c"), "token").groupBy("uid").agg(F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("more"), F.sum("tf").alias("known"))
-    out = done.drop("tail").join(more, "uid", "left")
+    out = done.drop("tail").join(scores, "uid").join(more, "uid", "left")
     space = float(np.log10(model.n + model.v + 1))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(model.n)).cast("long").alias("train_tokens"),

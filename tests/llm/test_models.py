@@ -85,3 +85,25 @@ def test_codewords_are_apart():
     for k in (2, 3, 4, 9, 40):
         m = li.code_matrix(k)
         assert len({r.tobytes() for r in m}) == k
+
+
+def test_scores_are_the_same_in_many_parts(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", F.lit(False).alias("held_out"))
+    found = []
+    for size in (1 << 30, 1 << 14):
+        monkeypatch.setattr(lm, "PART_BYTES", size)
+        model, counts = lm.train(docs.select("text"))
+        found.append((model.parts, {r.doc_id: r.score for r in lm.score(docs, model, counts).collect()}))
+    assert found[0][0] == 1 < found[1][0]
+    got = [np.array([f[1][k] for k in found[0][1]]) for f in found]
+    assert abs(got[0].sum() / got[1].sum() - 1) < 0.03
+    # every pair that occurs twice is kept, in whichever part
+    toks = [[b"<s>", *(r.text or "").encode().lower().split(), b""] for r in docs.collect()]
+    c = Counter(p for t in toks for p in zip(t[:-1], t[1:], strict=True))
+    often = [p for p, k in c.items() if k >= 2]
+    hashes = lm.WordHashes()
+    one = lambda w: lm.START if w == b"<s>" else lm.END if w == b"" else np.uint64(hashes[w])
+    h = lm.pair(np.array([one(a) for a, _ in often]), np.array([one(b) for _, b in often]))
+    part = (h >> np.uint64(8)) & np.uint64(model.parts - 1)
+    for r in model.filters.where("pairs").collect():
+        assert (lm.LogBloom(r.bits, np.frombuffer(r.data, np.uint8), lm.TOP).levels(h[part == np.uint64(r.part)], lm.PAIRS) > 0).all()
