@@ -6,8 +6,8 @@ until one is missing: overestimates die off geometrically. The filter also holds
 and the mass that its pairs leave to the words alone. The model interpolates by absolute discounting:
 P(w | v) = max(c(vw) - D, 0) / c(v) + left(v) / c(v) * (c(w) + 1) / (N + V + 1), all counts from probes.
 
-Every n-gram is counted; those of at least MIN_COUNT are kept, whatever the size of the corpus: the filter has
-BITS_PER_ENTRY for each entry. It is never in one place. N-grams are dealt by hash to parts, one for each PART_BYTES
+Every n-gram is counted and kept, those that occur once at level 1, whatever the size of the corpus: the filter
+has BITS_PER_ENTRY for each entry. It is never in one place. N-grams are dealt by hash to parts, one for each PART_BYTES
 of text, and each part has a filter of its own in the shared folder. Texts are handled by chunks: a chunk asks each
 part for the levels of its distinct n-grams, packed in one row, and the answer is one byte for each, in order.
 
@@ -38,7 +38,6 @@ BITS_PER_ENTRY = 10
 PROBES = 4
 SEGMENTS = 256
 BASE = 1.5
-MIN_COUNT = 2
 DISCOUNT = 0.75
 HEAD = 150_000
 #: Tokens gathered before a task sums them up and passes them on.
@@ -160,17 +159,17 @@ def pair_parts(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def level(c) -> F.Column:
-    """1 for MIN_COUNT, one more for each factor BASE."""
-    return (F.floor(F.log(c / F.lit(float(MIN_COUNT)) * (1 + 1e-12)) / float(np.log(BASE))) + 1).cast("int")
+    """1 for a count of 1, one more for each factor BASE."""
+    return (F.floor(F.log(c * F.lit(1 + 1e-12)) / float(np.log(BASE))) + 1).cast("int")
 
 
 def levels_of(c: np.ndarray) -> np.ndarray:
-    return (np.log(c / float(MIN_COUNT)) * (1 + 1e-12) / np.log(BASE)).astype(np.int64) + 1
+    return (np.log(c * (1 + 1e-12)) / np.log(BASE)).astype(np.int64) + 1
 
 
 def count_of(q: np.ndarray) -> np.ndarray:
-    """The count that a level stands for: the middle of its range, on the log scale."""
-    return np.where(q > 0, MIN_COUNT * BASE ** (q - 0.5), 0.0)
+    """The count that a level stands for: the one of its range, up to 3, or the middle on the log scale."""
+    return np.where(q > 3, BASE ** (q - 0.5), q)
 
 
 def positions(h: np.ndarray, q: int | np.ndarray, kind: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -254,7 +253,6 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     def pair_filters(key, group: pd.DataFrame) -> pd.DataFrame:
         h, at = np.unique(np.concatenate([unpack(b) for b in group["h"]]), return_inverse=True)
         c = np.bincount(at, np.concatenate([np.frombuffer(b, np.uint32) for b in group["c"]]))
-        h, c = h[c >= MIN_COUNT], c[c >= MIN_COUNT]
         bits, data = make_filter(h, np.full(len(h), PAIRS), levels_of(c))
         # what each context's pairs take, for the parts of the contexts
         ctx, at = np.unique(h >> np.uint64(36), return_inverse=True)
@@ -280,9 +278,8 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
         taken = np.zeros(len(ctx))
         for x, m in zip(masses["ctx"], masses["mass"], strict=True):
             taken[np.searchsorted(ctx, unpack(x))] += np.frombuffer(m)
-        known = (taken > 0) & (total >= MIN_COUNT)
-        ctx, total, left = ctx[known], total[known], np.maximum(MIN_COUNT, total - taken)[known]
-        h, c = h[is_word & (c >= MIN_COUNT)], c[is_word & (c >= MIN_COUNT)]
+        left = np.maximum(1, total - taken)
+        h, c = h[is_word], c[is_word]
         kinds = np.repeat(np.array([WORDS, CONTEXTS, LEFT]), [len(h), len(ctx), len(ctx)])
         bits, data = make_filter(np.concatenate([h, ctx, ctx]), kinds, levels_of(np.concatenate([c, total, left])))
         return pd.DataFrame({"part": [key[0]], "bits": [bits], "data": [data]})
@@ -298,7 +295,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     filters = pair_rows.union(stage(other, "filters").select("part", F.lit(False).alias("pairs"), "bits", "data"))
 
     # the most frequent tokens, whole levels of them, HEAD at most
-    often = words.where(F.col("c") >= MIN_COUNT).withColumn("q", level(F.col("c")))
+    often = words.withColumn("q", level(F.col("c")))
     word_levels = {r["q"]: r["n"] for r in often.groupBy("q").agg(F.count("*").alias("n")).collect()}
     low_head = next(q for q in range(1, 400) if sum(k for p, k in word_levels.items() if p >= q) <= HEAD)
     head = often.where(F.col("q") >= low_head).select("h", "c").collect()

@@ -107,3 +107,12 @@ def test_scores_are_the_same_in_many_parts(spark, sf, monkeypatch):
     part = (h >> np.uint64(8)) & np.uint64(model.parts - 1)
     for r in model.filters.where("pairs").collect():
         assert (lm.LogBloom(r.bits, np.frombuffer(r.data, np.uint8), lm.TOP).levels(h[part == np.uint64(r.part)], lm.PAIRS) > 0).all()
+
+
+def test_what_occurs_once_counts(spark):
+    docs = spark.createDataFrame([(1, "red fox"), (2, "blue hen")], "doc_id long, text string").withColumn("held_out", F.lit(False))
+    model, counts = lm.train(docs.select("text"))
+    asked = spark.createDataFrame([(1, "red fox"), (2, "red hen"), (3, "red cow")], "doc_id long, text string").withColumn("held_out", F.lit(True))
+    got = {r.doc_id: r.score for r in lm.score(asked, model, counts).collect()}
+    assert got[1] > got[2] > got[3]
+    assert (lm.count_of(lm.levels_of(np.array([1, 2, 3]))) == [1, 2, 3]).all()
