@@ -19,10 +19,10 @@ def orthos_by_place(orthos: DataFrame) -> DataFrame:
     return orthos.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("ortho_id", "crs", "height", "width"))).alias("orthos"))
 
 
-def assert_single_crs(orthos: DataFrame) -> DataFrame:
-    """One row with the CRS; more than one raises."""
-    one = orthos.agg(F.count_distinct("crs").alias("n"), F.min("crs").alias("crs"))
-    return one.select(F.when(F.col("n") == 1, F.col("crs")).otherwise(F.raise_error(F.lit("more than one CRS"))).alias("crs"))
+def assert_single_crs(orthos: DataFrame, keys: tuple = ()) -> DataFrame:
+    """One row with the CRS, for each of keys if given; more than one raises."""
+    one = orthos.groupBy(*keys).agg(F.count_distinct("crs").alias("n"), F.min("crs").alias("crs"))
+    return one.select(*keys, F.when(F.col("n") == 1, F.col("crs")).otherwise(F.raise_error(F.lit("more than one CRS"))).alias("crs"))
 
 
 def pair_examples(images: DataFrame, annotations: DataFrame, key: str) -> DataFrame:

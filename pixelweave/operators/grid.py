@@ -77,10 +77,10 @@ def filter_blank_tiles(px: DataFrame, keys: tuple = ("tile",), max_black: float
     return stats.where((F.col("black_pct") <= max_black) & (F.col("white_pct") <= max_white))
 
 
-def upsample_labels(tile_px: DataFrame, labels: DataFrame, scale: int, keys: tuple, require_full: bool = True) -> DataFrame:
-    """tile_px(keys, r, c in the fine grid) with cls of labels(r, c, cls) under it; whole tiles only, if asked."""
+def upsample_labels(tile_px: DataFrame, labels: DataFrame, scale: int, keys: tuple, require_full: bool = True, label_keys: tuple = ()) -> DataFrame:
+    """tile_px(keys, r, c in the fine grid) with cls of labels(label_keys, r, c, cls) under it; whole tiles only, if asked."""
     snapped = tile_px.withColumn("ar", F.floor(F.col("r") / scale).cast("int")).withColumn("ac", F.floor(F.col("c") / scale).cast("int"))
-    got = snapped.join(labels.select(F.col("r").alias("ar"), F.col("c").alias("ac"), "cls"), ["ar", "ac"], "left").drop("ar", "ac")
+    got = snapped.join(labels.select(*label_keys, F.col("r").alias("ar"), F.col("c").alias("ac"), "cls"), [*label_keys, "ar", "ac"], "left").drop("ar", "ac")
     if not require_full:
         return got.where("cls is not null")
     whole = got.groupBy(*keys).agg(F.bool_and(F.coalesce(F.col("cls") != 0, F.lit(False))).alias("ok")).where("ok").select(*keys)

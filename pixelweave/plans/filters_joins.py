@@ -103,6 +103,11 @@ def flt17(spark, sf):
     return catalog.assert_single_crs(views.orthos(spark, sf).where("place = 0")) if views.orthos(spark, sf).where("place = 0").limit(1).count() else views.orthos(spark, sf).where("place = 0").agg(F.min("crs").alias("crs"))
 
 
+@query("FLT17_single_crs_places", with_views("orthos", "SELECT place, min(crs) AS crs FROM orthos GROUP BY 1"))
+def flt17_places(spark, sf):
+    return catalog.assert_single_crs(views.orthos(spark, sf), ("place",))
+
+
 @query("FLT18_access_right", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) > 50 OR event_type = 'view' AS allowed FROM events")
 def flt18(spark, sf):
     return table(spark, sf, "events").select("event_id", ((F.get_json_object("props", "$.k").cast("int") > 50) | (F.col("event_type") == "view")).alias("allowed"))

@@ -88,6 +88,14 @@ def win11(spark, sf):
     return grid.upsample_labels(px, lab, 4, ("k",), False).select("r", "c", "cls")
 
 
+@query("WIN11_nearest_upsample_scenes", with_views("prob", ",,l AS (SELECT scene, r, c, min(cls) AS cls FROM prob GROUP BY 1, 2, 3), o AS (SELECT unnest(generate_series(0, 3)) AS o) SELECT scene, CAST(r * 4 + i.o AS INT) AS r, CAST(c * 4 + j.o AS INT) AS c, cls FROM l, o i, o j"))
+def win11_scenes(spark, sf):
+    lab = views.prob(spark, sf).groupBy("scene", "r", "c").agg(F.min("cls").alias("cls"))
+    axis = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) * 4 + 3)).alias(c)
+    px = lab.groupBy("scene").agg(F.max("r").alias("r"), F.max("c").alias("c")).select("scene", axis("r"), "c").select("scene", "r", axis("c"))
+    return grid.upsample_labels(px, lab, 4, ("scene",), False, ("scene",)).select("scene", "r", "c", "cls")
+
+
 @query("SRT01_sorted_listing", "SELECT s_suppkey, s_name, CAST(row_number() OVER (ORDER BY s_name) AS INT) AS place FROM supplier")
 def srt01(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", "s_name", F.row_number().over(Window.orderBy("s_name")).alias("place")).orderBy("s_name")
