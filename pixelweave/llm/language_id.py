@@ -124,23 +124,24 @@ def fit(x: np.ndarray, labels: list[str], steps: int = 150, decay: float = 1e-5)
 
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 11) -> LanguageModel:
-    """Fit to about sample_rows of docs(text, lang), as many of each language where there are enough; rows without language or letter teach nothing."""
+    """Fit to about sample_rows distinct texts of docs(text, lang), as many of each language where there are enough; rows without language or letter teach nothing."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UNKNOWN)).select("lang", "text")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # a text's own hash decides, so the sample does not hang on order or partitions; copies are one text
+    key = F.xxhash64(F.lit(seed), F.col("text"))
+    counts = {r["lang"]: r["n"] for r in rows.select("lang", key.alias("key")).distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return fit(np.zeros((0, DIMENSIONS), np.float32), [])
     each = max(8, sample_rows // len(counts))
     share = docs.sparkSession.createDataFrame([(k, min(1.0, each / n)) for k, n in counts.items()], "lang string, share double")
-    # a text's own hash decides, so the sample does not hang on order or partitions, and copies are in or out together
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.join(F.broadcast(share), "lang").where(draw < F.col("share")).select("lang", "text")
+    draw = F.pmod(key, F.lit(1 << 30)) / float(1 << 30)
+    drawn = rows.join(F.broadcast(share), "lang").where(draw < F.col("share")).select("lang", "text").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = [(a, t) for a, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if has_letter(t)]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.string()), pa.array([features(t).astype(np.float16).tobytes() for _, t in pairs], pa.binary())], ["lang", "x"])
 
-    found = drawn.mapInArrow(run, "lang string, x binary").limit(4 * max(sample_rows, 8 * len(counts))).collect()
+    found = drawn.mapInArrow(run, "lang string, x binary").collect()
     x = np.array([np.frombuffer(r["x"], np.float16) for r in found], np.float32).reshape(-1, DIMENSIONS)
     order = sorted(range(len(found)), key=lambda i: (found[i]["lang"], bytes(found[i]["x"])))
     return fit(x[order], [found[i]["lang"] for i in order])

@@ -116,3 +116,14 @@ def test_what_occurs_once_counts(spark):
     got = {r.doc_id: r.score for r in lm.score(asked, model, counts).collect()}
     assert got[1] > got[2] > got[3]
     assert (lm.count_of(lm.levels_of(np.array([1, 2, 3]))) == [1, 2, 3]).all()
+
+
+def test_languages_beside_many_copies(spark):
+    # the hash draws the group of copies
+    texts = spark.range(20_000).select(F.concat(F.lit("the dog and cat "), F.col("id")).alias("text"))
+    drawn = texts.where(F.pmod(F.xxhash64(F.lit(11), F.col("text")), F.lit(1 << 30)) < (1 << 30) * 0.001).first().text
+    rows = [(drawn, "en")] * 6000 + [(f"le chat et le chien {i}", "fr") for i in range(40)] + [(f"der hund und die katze {i}", "de") for i in range(40)]
+    df = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    model = li.train(df, sample_rows=30)
+    assert model.languages == ["de", "en", "fr"]
+    assert model.predict(["le chat et le chien", "der hund und die katze", drawn])[0] == ["fr", "de", "en"]
