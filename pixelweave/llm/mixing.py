@@ -1,11 +1,11 @@
 """Operator 6: mixing sources to target weights by Sainte-Laguë apportionment.
 
-All words of all documents are the amount to hand out. Each source gets a target from its weight; blocks of
-equal numbers of words go to the sources by highest quotient (target over 1, 3, 5, ...), then each source's
-blocks to its shards in the same way by their sizes, so every shard has an integer quota. A shard's documents
-stand in a seeded order, cut into equal blocks: the quota takes all blocks as often as it goes and the first
-ones once more. Only block counts by source and shard reach the driver; documents are never gathered, and a
-source of any share of the rows is many shards.
+All words of all documents are the amount to hand out. Each source gets a target from its weight; words go to
+the sources by highest quotient (target over 1, 3, 5, ...), then each source's words to its shards in the same
+way by their sizes, so every shard has an integer quota and those of a source add up to the source's. A shard's
+documents stand in a seeded order: the quota takes all words as often as it goes and the first ones once more.
+Only sizes by source and shard reach the driver; documents are never gathered, and a source of any share of the
+rows is many shards.
 
 Defined results: a null text has size 0 and is taken 0 times; the null source is a source of its own, last in
 order; repeated rows stand at places of their own; an empty table gives no rows; a source of no words has
@@ -83,7 +83,7 @@ def row_key(doc_id: str, text: str, seed: int = 17) -> F.Column:
 
 
 def mix_sources(
-    docs: DataFrame, weights: tuple = (5, 2, 1), seed: int = 17, limit: int = 3, block: int = 64, shard_words: int = 500_000, max_shards: int = 16_384, source: str = "source"
+    docs: DataFrame, weights: tuple = (5, 2, 1), seed: int = 17, limit: int = 3, shard_words: int = 500_000, max_shards: int = 16_384, source: str = "source"
 ) -> DataFrame:
     """(doc_id, key, size, source_size, target, taken, copies): how much of each document the mix takes.
 
@@ -112,20 +112,17 @@ def mix_sources(
 
     # at most max_shards rows a source, and one for each shard_words words
     counts = sorted(tuple(r) for r in placed.groupBy("source_no", "shard").agg(F.sum("size").alias("size")).collect())
-    quotas = sainte_lague(goal, round(sum(sizes) / block))
+    quotas = sainte_lague(goal, sum(sizes), [limit * n for n in sizes])
     out, at = [], 0
     for i in range(len(plan)):
         mine = []
         while at < len(counts) and counts[at][0] == i:
             mine.append(counts[at])
             at += 1
-        blocks = [max(1, round(c[2] / block)) if c[2] else 0 for c in mine]
-        # blocks of a shard are equal, so a source's own block is size / blocks words, near `block`
-        seats = min(limit * sum(blocks), round(goal[i] * sum(blocks) / sizes[i])) if quotas[i] and sizes[i] else 0
-        seats = quotas[i] if abs(seats - quotas[i]) <= 1 and quotas[i] <= limit * sum(blocks) else seats
-        for (_, shard, size), n, q in zip(mine, blocks, sainte_lague([c[2] for c in mine], seats, [limit * n for n in blocks]), strict=True):
-            times, extra = divmod(q, n) if n else (0, 0)
-            out.append((i, shard, q, times, -(-extra * size // n) if n else 0))
+        shares = [c[2] for c in mine]
+        for (_, shard, size), q in zip(mine, sainte_lague(shares, quotas[i], [limit * n for n in shares]), strict=True):
+            times, edge = divmod(q, size) if size else (0, 0)
+            out.append((i, shard, q, times, edge))
     quota = spark.createDataFrame(out, "source_no int, shard long, quota long, times long, edge long")
 
     order = Window.partitionBy("source_no", "shard").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)

@@ -59,3 +59,13 @@ def test_hot_source_is_many_shards(spark):
 
 def test_empty(spark):
     assert mx.mix_sources(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_shards_receive_what_their_source_is_due(spark):
+    rows = [(i, "w " * (1 + i % 37), "abcd"[i % 4] if i % 11 else "e") for i in range(4000)] + [(9000, "one two three", "f"), (9001, "one", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "abcdefg"}
+    taken = {r.source: r.taken for r in mx.mix_sources(df, shard_words=100).join(df, "doc_id").groupBy("source").agg(F.sum("taken").alias("taken")).collect()}
+    goal = mx.targets(list(size.values()), [(5, 2, 1)[i % 3] for i in range(7)])
+    assert taken == dict(zip(size, mx.sainte_lague(goal, sum(size.values())), strict=True))
+    assert taken["f"] == 9 and taken["g"] == 3
