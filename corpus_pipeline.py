@@ -29,11 +29,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document of the smallest id, once."""
+    """Keeps of each group of near-duplicates the document of the smallest id, once; of a group without ids one text."""
     found = near_dup.near_duplicates(docs.select("doc_id", "text"))
     key = own_name(docs, "row_key")
-    # a document without id stays if its text has no other document
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("text_key").alias(key)).distinct()
+    named = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("text_key").alias(key)).distinct()
+    kept = named.union(found.where("component_id is null").groupBy("group").agg(F.min("text_key").alias(key)).select(key))
     return docs.withColumn(key, near_dup.text_key("doc_id", "text")).join(kept, key).dropDuplicates([key]).select(*docs.columns)
 
 

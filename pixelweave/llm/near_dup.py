@@ -16,8 +16,8 @@ one component. So a group of copies costs one round, and no link inside a bucket
 
 Defined results: null texts and texts without words have an empty set and link with nothing; with fewer words
 than a shingle the whole sequence is the one shingle; repeated rows are documents each, so rows of one doc_id
-with equal text share their component and each says kept; a null doc_id takes the component of its text's
-other documents and is null where there are none; an empty table gives no rows; other columns are ignored.
+with equal text share their component and each says kept; documents without doc_id are linked like others; their
+component is null where all of it are without; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -132,18 +132,18 @@ def text_sketches(docs: DataFrame, shingle: int, num: int, den: int) -> DataFram
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(node, hashes) for wanted(node, rep): the texts of these documents are read again."""
+    """(node, hashes) for wanted(node, rep_key): the texts with these keys are read again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 part = batch.slice(lo, 512)
                 sets = sets_of(part.column(1).to_pylist(), shingle)
-                keep = [len(s) > 0 and set_id(s) == n for s, n in zip(sets, part.column(0).to_pylist(), strict=True)]  # one id may have several texts
+                keep = [len(s) > 0 and set_id(s) == n for s, n in zip(sets, part.column(0).to_pylist(), strict=True)]  # keys may collide
                 kept = [s.tobytes() for s, k in zip(sets, keep, strict=True) if k]
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(keep)), pa.array(kept, pa.binary())], ["node", "hashes"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text")).join(wanted, "rep")
+    rows = docs.select(text_key("doc_id", "text").alias("rep_key"), F.col("text").cast("binary").alias("text")).join(wanted, "rep_key")
     return rows.select("node", "text").mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"])
 
 
@@ -202,10 +202,10 @@ def text_key(doc_id: str, text: str) -> F.Column:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, text_key) for docs(doc_id, text), linked at similarity num/den of shingle sets."""
+    """(doc_id, n_shingles, component_id, kept, text_key, group) for docs(doc_id, text), linked at similarity num/den of shingle sets. group names a component even where it has no id."""
     made = stage(text_sketches(docs, shingle, num, den), "sketches")
     some = made.where("node is not null")
-    classes = stage(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("keys").alias("keys")), "classes")
+    classes = stage(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("text_key").alias("rep_key"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("keys").alias("keys")), "classes")
 
     entries = classes.select("node", "n", F.explode("keys").alias("key"))
     shared = stage(entries.join(entries.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "key"), "entries")
@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
             need = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
             if have is not None:
                 need = need.join(have, "node", "left_anti")
-            more = stage(full_sets(docs, classes.join(need, "node").select("node", "rep"), shingle), "sets")
+            more = stage(full_sets(docs, classes.join(need, "node").select("node", "rep_key"), shingle), "sets")
             sets = more if sets is None else sets.union(more)
             have = sets.select("node")
             found = stage(confirmed(likely, sets, num, den), "links")
@@ -241,15 +241,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         live = stage(rest.join(still, "key", "left_semi"), "live")
         each *= 2
     if comp is None:
-        named = classes.select("node", F.col("rep").alias("component_id"))
+        named = classes.select("node", F.col("rep").alias("component_id"), F.col("node").alias("group"))
     else:
         named = classes.select("node", "rep").join(comp, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
-        named = named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("node", "component_id")
+        named = named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("node", "component_id", F.col("component").alias("group"))
     out = made.select("doc_id", "n", "node", "text_key").join(named, "node", "left")
     comp_id = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), comp_id.alias("component_id"), (F.col("doc_id") == comp_id).alias("kept"), "text_key")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), comp_id.alias("component_id"), (F.col("doc_id") == comp_id).alias("kept"), "text_key", F.coalesce("group", "text_key").alias("group"))
 
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: three-word shingles, similarity at least 0.85."""
-    return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 85, 100).drop("text_key")
+    return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 85, 100).drop("text_key", "group")

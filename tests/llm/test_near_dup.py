@@ -105,3 +105,20 @@ def test_signature_estimates(spark):
             true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
             err.append(nd.agreement(nd.sketches(a, 80, 100)[1], nd.sketches(b, 80, 100)[1]) - true)
         assert abs(np.mean(err)) < 0.05
+
+
+def test_near_links_without_ids(spark):
+    base = [f"w{i}" for i in range(200)]
+    near = lambda k: " ".join([*base[:k], "other", *base[k + 1 :]])
+    alone = [f"v{i}" for i in range(200)]
+    rows = [(5, near(20)), (None, near(100)), (None, " ".join(alone)), (None, " ".join([*alone[:50], "x", *alone[51:]])), (None, "q r s t u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.text_key: r for r in nd.near_duplicates(df, 3, 85, 100).collect()}
+    keys = [r.k for r in df.select(nd.text_key("doc_id", "text").alias("k")).collect()]
+    assert [got[k].component_id for k in keys] == [5, 5, None, None, None]
+    assert got[keys[2]].group == got[keys[3]].group != got[keys[4]].group
+
+    import corpus_pipeline
+
+    kept = {r.text for r in corpus_pipeline.near_dup_stage(spark, df, "").collect()}
+    assert len(kept) == 3 and rows[0][1] in kept and rows[4][1] in kept
