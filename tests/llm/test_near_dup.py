@@ -122,3 +122,10 @@ def test_near_links_without_ids(spark):
 
     kept = {r.text for r in corpus_pipeline.near_dup_stage(spark, df, "").collect()}
     assert len(kept) == 3 and rows[0][1] in kept and rows[4][1] in kept
+
+
+def test_signatures_that_fall_short_are_still_checked(spark):
+    a, b = bytes([7]) + bytes(128), bytes([7]) + bytes([1] * 45) + bytes(83)
+    classes = spark.createDataFrame([(1, bytearray(a)), (2, bytearray(b)), (3, bytearray(bytes([7]) + bytes([2] * 128)))], "node long, low binary")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    assert [tuple(r) for r in nd.plausible(pairs, classes, 85, 100).collect()] == [(1, 2)]
