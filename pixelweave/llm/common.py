@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,14 +135,69 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix64(out)
 
 
-def shingle_set(words: list[bytes], n: int, memo: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles; with fewer words, one hash of the whole sequence; none for no words."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = word_hashes(words, memo)
-    if len(h) < n:
-        return window_hashes(h, len(h)) ^ np.uint64(len(h))
-    return np.unique(window_hashes(h, n))
+#: Bytes that belong to words, and a random 64-bit value of each byte; a capital letter of ASCII has that of the small one.
+IN_WORD = ~np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
+ODD = 0x9E3779B97F4A7C15
+BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(ODD))
+BYTES[65:91] = BYTES[97:123]
+#: Bytes of text hashed at once.
+SPAN = 1 << 20
+
+
+@functools.lru_cache(1)
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of ODD and of its inverse, modulo 2^64."""
+    up, down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)]), dtype=np.uint64) for x in (ODD, pow(ODD, -1, 1 << 64)))
+    return up, down
+
+
+def raw_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of binary texts one after the other, and where each begins and the last ends; a null is empty."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    return (np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8))[at[0] : at[-1]], at - at[0]
+
+
+def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word of raw_texts() begins and ends, and the number of each text's first word; at last that of all words."""
+    word = IN_WORD[data]
+    begin, end = word.copy(), word.copy()
+    begin[1:] &= ~word[:-1]
+    end[:-1] &= ~word[1:]
+    some = at[:-1] < at[1:]
+    begin[at[:-1][some]] = word[at[:-1][some]]
+    end[at[1:][some] - 1] = word[at[1:][some] - 1]
+    a = np.flatnonzero(begin)
+    return a, np.flatnonzero(end) + 1, np.searchsorted(a, at)
+
+
+def span_hashes(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words data[a:b], the letters A-Z as a-z: polynomials of all prefixes, whose differences are those of the words."""
+    out, i = np.empty(len(a), np.uint64), 0
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(b, a[i] + SPAN, "right")))
+        lo, hi = int(a[i]), int(b[j - 1])
+        up, down = powers(1 << max(20, (hi - lo - 1).bit_length()))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTES[data[lo:hi]] * up[: hi - lo], dtype=np.uint64)])
+        out[i:j] = (sums[b[i:j] - lo] - sums[a[i:j] - lo]) * down[a[i:j] - lo]
+        i = j
+    return mix64(out + (b - a).astype(np.uint64) * np.uint64(ODD))
+
+
+def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """For each binary text the sorted distinct hashes of its n-word shingles; with fewer words, one hash of the whole sequence; none for no words."""
+    data, at = raw_texts(texts)
+    a, b, first = word_spans(data, at)
+    h = span_hashes(data, a, b)
+    windows, out = window_hashes(h, n), []
+    for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
+        if hi - lo < n:
+            out.append(window_hashes(h[lo:hi], hi - lo) ^ np.uint64(hi - lo) if hi > lo else np.empty(0, np.uint64))
+        else:
+            s = np.sort(windows[lo : hi - n + 1])
+            out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
+    return out
 
 
 def components(nodes: DataFrame | None, edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -125,7 +125,50 @@ def test_near_links_without_ids(spark):
 
 
 def test_signatures_that_fall_short_are_still_checked(spark):
-    a, b = bytes([7]) + bytes(128), bytes([7]) + bytes([1] * 45) + bytes(83)
-    classes = spark.createDataFrame([(1, bytearray(a)), (2, bytearray(b)), (3, bytearray(bytes([7]) + bytes([2] * 128)))], "node long, low binary")
+    # halves of bytes: 512 values, of which 120 differ (0.77 agree), or all
+    a, b, c = (bytes([9]) + x for x in (bytes(256), bytes([17] * 60) + bytes(196), bytes([34] * 256)))
+    assert 0.7 < nd.agreement(a, b) < 0.8 and nd.agreement(a, c) < 0
+    classes = spark.createDataFrame([(1, bytearray(a)), (2, bytearray(b)), (3, bytearray(c))], "node long, low binary")
     pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
     assert [tuple(r) for r in nd.plausible(pairs, classes, 85, 100).collect()] == [(1, 2)]
+
+
+def test_large_groups_in_blocks(spark, monkeypatch):
+    """One large group of near copies of which only some link, and one passage that many texts share, in blocks of four."""
+    r = random.Random(5)
+    base, passage = [f"b{i}" for i in range(160)], [f"p{i}" for i in range(60)]
+    rows = []
+    for k in range(70):
+        w = list(base)
+        for j in r.sample(range(160), r.choice([1, 3, 6, 12])):
+            w[j] = f"o{r.randrange(60)}"
+        rows.append((k, " ".join(w)))
+    rows += [(100 + k, " ".join([*passage, *(f"q{k}-{j}" for j in range(r.choice([3, 6, 40])))])) for k in range(70)]
+    monkeypatch.setattr(nd, "BLOCK", 4)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for n, num, den in ((3, 85, 100), (5, 80, 100)):
+        assert answer(nd.near_duplicates(df, n, num, den)) == brute(rows, n, num, den)
+
+
+def test_word_hashes_by_batch():
+    """Hashes depend on the word alone: not on its place, its neighbours, the cut of the texts or the case of A-Z."""
+    import pyarrow as pa
+
+    from pixelweave.llm import common as c
+
+    texts = ["One two\tTHREE", None, "", " \x0b ", "two", "é É one", "x" * 3000 + " two"]
+    array = pa.array([None if t is None else t.encode() for t in texts], pa.binary())
+    words = [WORD.findall((t or "").translate(LOWER)) for t in texts]
+    for part, some in ((array, words), (array.slice(4), words[4:])):
+        data, at = c.raw_texts(part)
+        a, b, first = c.word_spans(data, at)
+        flat = [w for t in some for w in t]
+        assert first.tolist() == np.cumsum([0] + [len(w) for w in some]).tolist()
+        hashes = c.span_hashes(data, a, b).tolist()
+        assert len(set(zip(flat, hashes))) == len(set(flat)) == len(set(hashes))
+    span, c.SPAN = c.SPAN, 64
+    try:
+        again = c.span_hashes(data, a, b).tolist()
+    finally:
+        c.SPAN = span
+    assert again == hashes
