@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 
 from pixelweave.llm.common import Recent, read_table
 
+#: Pieces, units and pairs of tokens that a memo remembers, in each of its two generations: about 35 MB a worker in all.
+MEMO = 60_000
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -33,7 +36,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class ByteBPE:
     """Encoder and decoder for a table of ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = MEMO):
         import ahocorasick
         import regex
 
@@ -169,7 +172,7 @@ class Units(Recent):
 class TextEncoder:
     """Whole texts: cut before single spaces where that keeps every piece whole, else matched as they are."""
 
-    def __init__(self, ranks_path: str, pattern: str, limit: int = 250_000):
+    def __init__(self, ranks_path: str, pattern: str, limit: int = MEMO):
         self.bpe = ByteBPE(load_ranks(ranks_path), pattern, limit)
         self.units = Units(self.bpe, limit)
 

@@ -9,7 +9,6 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,26 +96,6 @@ class Recent(dict):
         self[key] = value
 
 
-class WordHashes(dict):
-    """64-bit hash of a word given as bytes, remembered up to `limit` words; then it starts over."""
-
-    def __init__(self, limit: int = 400_000, seed: int = 0):
-        super().__init__()
-        self.limit, self.seed = limit, seed
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word, self.seed)
-        if len(word) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[word] = h
-        return h
-
-
-def word_hashes(words: list[bytes], memo: WordHashes) -> np.ndarray:
-    return np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of splitmix; a bijection, so distinct inputs stay distinct."""
     x = np.asarray(x, dtype=np.uint64)
@@ -137,9 +116,10 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
 
 #: Bytes that belong to words, and a random 64-bit value of each byte; a capital letter of ASCII has that of the small one.
 IN_WORD = ~np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 ODD = 0x9E3779B97F4A7C15
-BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(ODD))
-BYTES[65:91] = BYTES[97:123]
+BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(ODD))[LOWER]
 #: Bytes of text hashed at once.
 SPAN = 1 << 20
 
@@ -185,6 +165,18 @@ def span_hashes(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix64(out + (b - a).astype(np.uint64) * np.uint64(ODD))
 
 
+def word_hash(word: bytes) -> np.uint64:
+    """The hash of one word."""
+    return span_hashes(np.frombuffer(word, np.uint8), np.zeros(1, np.int64), np.full(1, len(word)))[0]
+
+
+def span_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Array:
+    """The words data[a:b] as binary values, the letters A-Z as a-z."""
+    ends = np.concatenate(([0], np.cumsum(b - a)))
+    flat = LOWER[data[np.repeat(a - ends[:-1], b - a) + np.arange(ends[-1])]]
+    return pa.Array.from_buffers(pa.large_binary(), len(a), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(flat)])
+
+
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     """For each binary text the sorted distinct hashes of its n-word shingles; with fewer words, one hash of the whole sequence; none for no words."""
     data, at = raw_texts(texts)

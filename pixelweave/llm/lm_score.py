@@ -7,9 +7,11 @@ and the mass that its pairs leave to the words alone. The model interpolates by
 P(w | v) = max(c(vw) - D, 0) / c(v) + left(v) / c(v) * (c(w) + 1) / (N + V + 1), all counts from probes.
 
 Every n-gram is counted and kept, those that occur once at level 1, whatever the size of the corpus: the filter
-has BITS_PER_ENTRY for each entry. It is never in one place. N-grams are dealt by hash to parts, one for each PART_BYTES
-of text, and each part has a filter of its own in the shared folder. Texts are handled by chunks: a chunk asks each
-part for the levels of its distinct n-grams, packed in one row, and the answer is one byte for each, in order.
+has BITS_PER_ENTRY for each entry. N-grams are dealt by hash to parts, one for each PART_BYTES of text, and each
+part has a filter of its own in the shared folder, so building it needs no large task. A filter of up to
+BROADCAST_BYTES in all is broadcast, and workers probe the distinct n-grams of many texts at once. A larger one
+stays where it is: chunks of texts ask each part for the levels of their distinct n-grams, packed in one row, and
+the answer is one byte for each, in order. Scores are the same either way.
 
 The base score needs exact counts. The most frequent tokens (at most HEAD of them) are broadcast; any other
 token of a text is looked up by a join on the token, where by construction no token is frequent.
@@ -30,10 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import WordHashes, mix64, read_table, stage, training_rows, word_hashes
+from pixelweave.llm.common import mix64, raw_texts, read_table, span_bytes, span_hashes, stage, training_rows, unstage, word_spans
+
 
 #: Bytes of training text to one part of the filter.
-PART_BYTES = 8 << 20
+PART_BYTES = 16 << 20
+#: Bytes of filters that are broadcast at most.
+BROADCAST_BYTES = 192 << 20
 BITS_PER_ENTRY = 10
 PROBES = 4
 SEGMENTS = 256
@@ -41,7 +46,7 @@ BASE = 1.5
 DISCOUNT = 0.75
 HEAD = 150_000
 #: Tokens gathered before a task sums them up and passes them on.
-FLUSH = 600_000
+FLUSH = 1_000_000
 #: More levels than any count has.
 TOP = 120
 
@@ -49,28 +54,31 @@ START = np.uint64(0x243F6A8885A308D3)
 END = np.uint64(0x13198A2E03707344)
 WORDS, PAIRS, CONTEXTS, LEFT = (np.uint64(x) for x in (0x9E37, 0x79B9, 0x7F4A, 0x7C15))
 
-_memo: dict[str, WordHashes] = {}
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    return text.lower().split() if text else []
+class Tokens:
+    """The tokens of some binary texts: their hashes, those before them, where each text's tokens start, and their bytes."""
 
+    def __init__(self, texts: pa.Array):
+        self.data, at = raw_texts(texts)
+        a, b, first = word_spans(self.data, at)
+        n = len(at) - 1
+        ends = first[1:] + np.arange(n)
+        self.h = np.empty(len(a) + n, np.uint64)
+        is_word = np.ones(len(self.h), bool)
+        is_word[ends] = False
+        self.h[is_word] = span_hashes(self.data, a, b)
+        self.h[ends] = END
+        self.sizes = np.diff(first) + 1
+        self.first = first[:-1] + np.arange(n)
+        self.before = np.concatenate(([START], self.h[:-1]))[: len(self.h)]
+        self.before[self.first] = START
+        self.a, self.b = np.zeros(len(self.h), np.int64), np.zeros(len(self.h), np.int64)
+        self.a[is_word], self.b[is_word] = a, b
 
-def hash_texts(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Hashes of all tokens, those before them, where each text starts, and the words themselves (an end is empty)."""
-    memo = _memo.setdefault("words", WordHashes())
-    split = [tokens(t) for t in texts]
-    flat: list[bytes] = []
-    for words in split:
-        flat += words
-        flat.append(b"")
-    h = word_hashes(flat, memo) if flat else np.empty(0, np.uint64)
-    sizes = np.array([len(w) + 1 for w in split], np.int64)
-    ends = np.cumsum(sizes)
-    h[ends - 1] = END
-    before = np.concatenate(([START], h[:-1])) if len(h) else h
-    before[ends - sizes] = START
-    return h, before, ends - sizes, flat
+    def bytes_of(self, i: np.ndarray) -> pa.Array:
+        """The tokens at places i; an end is empty."""
+        return span_bytes(self.data, self.a[i], self.b[i])
 
 
 def context(h: np.ndarray) -> np.ndarray:
@@ -107,17 +115,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
         held, size, starts = [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            h = np.concatenate([x[0] for x in held])
-            u, first, c = np.unique(h, return_index=True, return_counts=True)
-            flat = [w for x in held for w in x[1]]
-            words = [*(flat[i] for i in first.tolist()), None]
-            return pa.RecordBatch.from_arrays([pa.array(np.append(u, START).view(np.int64)), pa.array(words, pa.binary()), pa.array(np.append(c, starts).astype(np.int64))], ["h", "token", "c"])
+            u, first, at = np.unique(np.concatenate([x[0] for x in held]), return_index=True, return_inverse=True)
+            c = np.bincount(at, np.concatenate([x[1] for x in held])).astype(np.int64)
+            words = pa.concat_arrays([x[2] for x in held]).take(pa.array(first)).cast(pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(np.append(u, START).view(np.int64)), pa.concat_arrays([words, pa.nulls(1, pa.binary())]), pa.array(np.append(c, starts))], ["h", "token", "c"])
 
         for batch in batches:
             for lo in range(0, len(batch), 512):
-                h, _, first, flat = hash_texts(batch.column(0).slice(lo, 512).to_pylist())
-                held.append((h, flat))
-                size, starts = size + len(h), starts + len(first)
+                t = Tokens(batch.column(0).slice(lo, 512))
+                u, first, c = np.unique(t.h, return_index=True, return_counts=True)
+                held.append((u, c, t.bytes_of(first)))
+                size, starts = size + len(u), starts + len(t.first)
                 if size >= FLUSH:
                     yield flush()
                     held, size, starts = [], 0, 0
@@ -146,9 +154,9 @@ def pair_parts(docs: DataFrame, parts: int) -> DataFrame:
 
         for batch in batches:
             for lo in range(0, len(batch), 512):
-                h, before, _, _ = hash_texts(batch.column(0).slice(lo, 512).to_pylist())
-                held.append(pair(before, h))
-                size += len(h)
+                t = Tokens(batch.column(0).slice(lo, 512))
+                held.append(pair(t.before, t.h))
+                size += len(t.h)
                 if size >= FLUSH:
                     yield flush()
                     held, size = [], 0
@@ -172,12 +180,12 @@ def count_of(q: np.ndarray) -> np.ndarray:
     return np.where(q > 3, BASE ** (q - 0.5), q)
 
 
-def positions(h: np.ndarray, q: int | np.ndarray, kind: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """Places of an entry's level within its segment."""
-    key = mix64(h ^ (kind * np.uint64(0x1000193)) ^ (np.asarray(q, np.uint64) << np.uint64(56)))
-    step = mix64(key) | np.uint64(1)
+def positions(h: np.ndarray, q: int, kind: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """Places of an entry's level within its segment, of fewer than 2^32 bits; all from one hash."""
+    key = mix64(h ^ (kind * np.uint64(0x1000193)) ^ (np.uint64(q) << np.uint64(56)))
+    step, half = key >> np.uint64(32) | np.uint64(1), np.uint64((1 << 32) - 1)
     for i in range(PROBES):
-        yield (key + np.uint64(i) * step) % np.uint64(bits)
+        yield ((key + np.uint64(i) * step) & half) * np.uint64(bits) >> np.uint64(32)
 
 
 class LogBloom:
@@ -188,15 +196,14 @@ class LogBloom:
 
     def levels(self, h: np.ndarray, kind: np.uint64) -> np.ndarray:
         """For each hash how many levels in a row are there."""
-        out, alive = np.zeros(len(h), np.int64), np.arange(len(h))
+        out, alive = np.zeros(len(h), np.uint8), np.arange(len(h))
         for q in range(1, self.top + 1):
             x = h[alive]
-            base = (x & np.uint64(SEGMENTS - 1)) * np.uint64(self.bits)
-            hit = np.ones(len(x), bool)
+            base, there = (x & np.uint64(SEGMENTS - 1)) * np.uint64(self.bits), np.arange(len(x))
             for p in positions(x, q, kind, self.bits):
-                at = base + p
-                hit &= (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
-            alive = alive[hit]
+                at = (base + p)[there]  # where a bit is missing the others are not looked up
+                there = there[(self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1]
+            alive = alive[there]
             if not len(alive):
                 break
             out[alive] = q
@@ -236,10 +243,10 @@ def build_filter(entries: DataFrame, bits: int) -> np.ndarray:
 
 
 class Model:
-    """The staged filters of all parts, totals, and the most frequent tokens (HEAD at most)."""
+    """The staged filters of all parts, their size, totals, and the most frequent tokens (HEAD at most)."""
 
-    def __init__(self, filters: DataFrame, parts: int, n: int, v: int, head: np.ndarray, head_counts: np.ndarray):
-        self.filters, self.parts, self.n, self.v, self.head, self.head_counts = filters, parts, n, v, head, head_counts
+    def __init__(self, filters: DataFrame, size: int, parts: int, n: int, v: int, head: np.ndarray, head_counts: np.ndarray):
+        self.filters, self.size, self.parts, self.n, self.v, self.head, self.head_counts = filters, size, parts, n, v, head, head_counts
 
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
@@ -292,7 +299,9 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     masses = made.where("ctx is not null").select("part", "ctx", "mass")
     other = entries.groupBy("part").cogroup(masses.groupBy("part")).applyInPandas(word_filters, "part int, bits int, data binary")
     pair_rows = made.where("data is not null").select("part", F.lit(True).alias("pairs"), "bits", "data")
-    filters = pair_rows.union(stage(other, "filters").select("part", F.lit(False).alias("pairs"), "bits", "data"))
+    filters = stage(pair_rows.union(other.select("part", F.lit(False).alias("pairs"), "bits", "data")), "filters")
+    unstage(made)
+    filter_bytes = filters.agg(F.sum(F.octet_length("data"))).first()[0] or 0
 
     # the most frequent tokens, whole levels of them, HEAD at most
     often = words.withColumn("q", level(F.col("c")))
@@ -301,25 +310,42 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     head = often.where(F.col("q") >= low_head).select("h", "c").collect()
     h = np.array([r["h"] for r in head], np.int64).view(np.uint64)
     order = np.argsort(h)
-    return Model(filters, parts, n, v, h[order], np.array([r["c"] for r in head], np.int64)[order]), counts
+    return Model(filters, filter_bytes, parts, n, v, h[order], np.array([r["c"] for r in head], np.int64)[order]), counts
 
 
 class Chunk:
-    """Some texts as the distinct tokens and, for each place, which one; and what is asked about them."""
+    """Some texts as the distinct words, contexts and pairs, and for each token which ones."""
 
-    def __init__(self, words: bytes, places: bytes, sizes: bytes):
-        self.words, places = unpack(words), np.frombuffer(places, np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
-        self.sizes = np.frombuffer(sizes, np.int32)
-        first = np.cumsum(self.sizes) - self.sizes
-        self.word = places
+    def __init__(self, h: np.ndarray, sizes: np.ndarray):
+        self.sizes = sizes
+        first = np.cumsum(sizes) - sizes
+        self.words, self.word = np.unique(h, return_inverse=True)
         self.contexts, at = np.unique(context(np.append(self.words, START)), return_inverse=True)
-        self.before = at[np.concatenate(([-1], places[:-1]))]
+        self.before = at[np.concatenate(([-1], self.word[:-1]))]
         self.before[first] = at[-1]
-        h = self.words[places]
         before = np.concatenate(([START], h[:-1]))
         before[first] = START
         self.pairs, self.pair = np.unique(pair(before, h), return_inverse=True)
 
+    def scores(self, levels, space: float) -> np.ndarray:
+        """For each text the sum of log10 P(token | token before it), all counts from levels(distinct n-grams, kind)."""
+        counts = lambda u, kind: count_of(levels(u, kind).astype(np.int64))
+        p = ((counts(self.words, WORDS) + 1) / space)[self.word]
+        total = counts(self.contexts, CONTEXTS)
+        left = np.minimum(counts(self.contexts, LEFT), total)
+        n = np.maximum(counts(self.pairs, PAIRS) - DISCOUNT, 0)
+        total, left, n = total[self.before], left[self.before], n[self.pair]
+        known = (total > 0) & (left > 0)
+        total = np.where(known, total, 1.0)
+        p = np.where(known, np.minimum(1.0, np.minimum(n, total) / total + left / total * p), p)
+        text = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        return np.bincount(text, np.log10(np.minimum(1.0, p)), len(self.sizes))
+
+
+def unpacked_chunk(words: bytes, places: bytes, sizes: bytes) -> Chunk:
+    at = np.frombuffer(places, np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
+    return Chunk(unpack(words)[at], np.frombuffer(sizes, np.int32))
+
 
 def packed_chunk(h: np.ndarray, sizes: np.ndarray) -> tuple[bytes, bytes, bytes]:
     u, at = np.unique(h, return_inverse=True)
@@ -329,11 +355,12 @@ def packed_chunk(h: np.ndarray, sizes: np.ndarray) -> tuple[bytes, bytes, bytes]
 def chunk_scores(chunks: DataFrame, model: Model) -> DataFrame:
     """(uid, score) for chunks(uid, words, places, sizes): log10 of P(token | token before it), summed up by text."""
     parts, space = model.parts, model.n + model.v + 1.0
+    names = {int(k): x for k, x in ((PAIRS, "pairs"), (WORDS, "words"), (CONTEXTS, "totals"), (LEFT, "lefts"))}
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uid, *packed in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                c = Chunk(*packed)
+                c = unpacked_chunk(*packed)
                 asked = []
                 for u in (c.pairs, c.words, c.contexts):
                     order, at = deal(u, parts)
@@ -346,57 +373,80 @@ def chunk_scores(chunks: DataFrame, model: Model) -> DataFrame:
         def levels(column: str, kind: np.uint64) -> list[bytes]:
             bloom = held.get(kind == PAIRS)
             asked = (unpack(b) for b in group[column])
-            return [(bloom.levels(h, kind) if bloom else np.zeros(len(h))).astype(np.uint8).tobytes() for h in asked]
+            return [(bloom.levels(h, kind) if bloom else np.zeros(len(h), np.uint8)).tobytes() for h in asked]
 
         return pd.DataFrame({"uid": group["uid"], "part": group["part"], "pairs": levels("pairs", PAIRS), "words": levels("words", WORDS), "totals": levels("contexts", CONTEXTS), "lefts": levels("contexts", LEFT)})
 
     def told(key, chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        c, answers = Chunk(*chunk[["words", "places", "sizes"]].iloc[0]), answers.sort_values("part")
+        c, answers = unpacked_chunk(*chunk[["words", "places", "sizes"]].iloc[0]), answers.sort_values("part")
 
-        def counts(column: str, u: np.ndarray) -> np.ndarray:
+        def levels(u: np.ndarray, kind: np.uint64) -> np.ndarray:
             q = np.empty(len(u), np.uint8)
-            q[deal(u, parts)[0]] = np.frombuffer(b"".join(answers[column]), np.uint8)
-            return count_of(q.astype(np.int64))
-
-        p = ((counts("words", c.words) + 1) / space)[c.word]
-        total = counts("totals", c.contexts)
-        left = np.minimum(counts("lefts", c.contexts), total)
-        n = np.maximum(counts("pairs", c.pairs) - DISCOUNT, 0)
-        total, left, n = total[c.before], left[c.before], n[c.pair]
-        known = (total > 0) & (left > 0)
-        total = np.where(known, total, 1.0)
-        p = np.where(known, np.minimum(1.0, np.minimum(n, total) / total + left / total * p), p)
-        text = np.repeat(np.arange(len(c.sizes)), c.sizes)
-        return pd.DataFrame({"uid": key[0] + np.arange(len(c.sizes)), "score": np.bincount(text, np.log10(np.minimum(1.0, p)), len(c.sizes))})
+            q[deal(u, parts)[0]] = np.frombuffer(b"".join(answers[names[int(kind)]]), np.uint8)
+            return q
+
+        return pd.DataFrame({"uid": key[0] + np.arange(len(c.sizes)), "score": c.scores(levels, space)})
 
     asked = chunks.mapInArrow(ask, "part int, uid long, pairs binary, words binary, contexts binary")
     answers = asked.groupBy("part").cogroup(model.filters.groupBy("part")).applyInPandas(answer, "uid long, part int, pairs binary, words binary, totals binary, lefts binary")
     return chunks.groupBy("uid").cogroup(answers.groupBy("uid")).applyInPandas(told, "uid long, score double")
 
 
-SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, sum double, tail array<struct<token:binary,tf:int>>, words binary, places binary, sizes binary"
+class WholeFilter:
+    """All parts of a filter, read by one worker."""
+
+    def __init__(self, parts: int, rows: list[tuple]):
+        self.parts = parts
+        self.held = {(part, pairs): LogBloom(bits, np.frombuffer(data, np.uint8), TOP) for part, pairs, bits, data in rows}
+
+    def levels(self, u: np.ndarray, kind: np.uint64) -> np.ndarray:
+        order, at = deal(u, self.parts)
+        out = np.zeros(len(u), np.uint8)
+        for i in range(self.parts):
+            bloom = self.held.get((i, bool(kind == PAIRS)))
+            if bloom and at[i] < at[i + 1]:
+                some = order[at[i] : at[i + 1]]
+                out[some] = bloom.levels(u[some], kind)
+        return out
+
+
+SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, sum double, score double, tail array<struct<token:binary,tf:int>>, words binary, places binary, sizes binary"
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for docs(doc_id, held_out, text)."""
-    held = docs.sparkSession.sparkContext.broadcast((model.head, model.head_counts))
+    sc = docs.sparkSession.sparkContext
+    held = sc.broadcast((model.head, model.head_counts))
+    whole = None
+    if model.size <= BROADCAST_BYTES:
+        whole = sc.broadcast((model.parts, [(r.part, r.pairs, r.bits, bytes(r.data)) for r in model.filters.collect()]))
+    space = model.n + model.v + 1.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (head, head_counts), uid = held.value, TaskContext.get().partitionId() << 40
-        names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "sum", "tail", "words", "places", "sizes"]
-        kept, start, size = [], uid, 0
-
-        def flush() -> pa.RecordBatch:
-            chunk = packed_chunk(np.concatenate([x for x, _ in kept]), np.concatenate([x for _, x in kept]))
-            empty = [pa.nulls(1, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), tail_type)]
-            return pa.RecordBatch.from_arrays([pa.array([start]), *empty, *(pa.array([x], pa.binary()) for x in chunk)], names)
-
+        names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "sum", "score", "tail", "words", "places", "sizes"]
         tail_type = pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int32())]))
+        found = WholeFilter(*whole.value) if whole else None
+        kept, rows, size = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal uid
+            h, sizes = (np.concatenate([x[k] for x in kept]) for k in (0, 1))
+            scores = pa.array(Chunk(h, sizes).scores(found.levels, space)) if found else pa.nulls(len(sizes), pa.float64())
+            n = len(sizes)
+            columns = [pa.concat_arrays([r[k] for r in rows]) for k in range(6)]
+            yield pa.RecordBatch.from_arrays([pa.array(uid + np.arange(n)), *columns[:5], scores, columns[5], *(pa.nulls(n, pa.binary()) for _ in range(3))], names)
+            if not found:
+                nothing = [pa.nulls(1, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), tail_type)]
+                yield pa.RecordBatch.from_arrays([pa.array([uid]), *nothing, *(pa.array([x], pa.binary()) for x in packed_chunk(h, sizes))], names)
+            uid += n
+
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)
-                h, _, first, flat = hash_texts(part.column(2).to_pylist())
-                doc = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+                t = Tokens(part.column(2))
+                h, n = t.h, len(t.sizes)
+                doc = np.repeat(np.arange(n), t.sizes)
                 at = np.minimum(np.searchsorted(head, h), max(0, len(head) - 1))
                 in_head = head[at] == h if len(head) else np.zeros(len(h), bool)
                 c = np.where(in_head, head_counts[at] if len(head) else 0, 0)
@@ -408,33 +458,30 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 begin = np.flatnonzero(new)
                 tf = np.diff(np.append(begin, len(order)))
                 rare = order[begin]
-                ends = np.concatenate(([0], np.cumsum(np.bincount(doc[rare], minlength=len(first))))).astype(np.int32)
-                items = pa.StructArray.from_arrays([pa.array([flat[i] for i in rare.tolist()], pa.binary()), pa.array(tf.astype(np.int32))], ["token", "tf"])
-                tail = pa.ListArray.from_arrays(pa.array(ends), items).cast(tail_type)
-                sums = lambda x: np.bincount(doc, x, minlength=len(first))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(uid + np.arange(len(first))), part.column(0), part.column(1), pa.array(sums(np.ones(len(h))).astype(np.int64)), pa.array(sums(in_head).astype(np.int64)), pa.array(sums(np.log10(c + 1.0))), tail, *(pa.nulls(len(first), pa.binary()) for _ in range(3))],
-                    names,
-                )
-                kept.append((h, np.diff(np.append(first, len(h)))))
-                uid, size = uid + len(first), size + len(h)
+                ends = np.concatenate(([0], np.cumsum(np.bincount(doc[rare], minlength=n)))).astype(np.int32)
+                items = pa.StructArray.from_arrays([t.bytes_of(rare).cast(pa.binary()), pa.array(tf.astype(np.int32))], ["token", "tf"])
+                sums = lambda x: np.bincount(doc, x, minlength=n)
+                rows.append([part.column(0), part.column(1), pa.array(t.sizes.astype(np.int64)), pa.array(sums(in_head).astype(np.int64)), pa.array(sums(np.log10(c + 1.0))), pa.ListArray.from_arrays(pa.array(ends), items).cast(tail_type)])
+                kept.append((h, t.sizes))
+                size += len(h)
                 if size >= FLUSH:
-                    yield flush()
-                    kept, start, size = [], uid, 0
+                    yield from flush()
+                    kept, rows, size = [], [], 0
         if kept:
-            yield flush()
+            yield from flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("text").cast("binary").alias("text"))
-    both = stage(rows.mapInArrow(run, SCORED), "scored")
+    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("text").cast("binary").alias("text"))
+    both = stage(asked.mapInArrow(run, SCORED), "scored")
     done = both.where("words is null").drop("words", "places", "sizes")
-    scores = chunk_scores(both.where("words is not null").select("uid", "words", "places", "sizes"), model)
     rare = done.select("uid", F.explode("tail").alias("t")).select("uid", "t.token", "t.tf")
     more = rare.join(counts.where("token is not null").select("token", "c"), "token").groupBy("uid").agg(F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("more"), F.sum("tf").alias("known"))
-    out = done.drop("tail").join(scores, "uid").join(more, "uid", "left")
-    space = float(np.log10(model.n + model.v + 1))
+    out = done.drop("tail").join(more, "uid", "left")
+    if not whole:
+        out = out.drop("score").join(chunk_scores(both.where("words is not null").select("uid", "words", "places", "sizes"), model), "uid")
+    log_space = float(np.log10(space))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(model.n)).cast("long").alias("train_tokens"),
-        (F.col("sum") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * space).alias("base_score"), "score",
+        (F.col("sum") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * log_space).alias("base_score"), "score",
     )
 
 
