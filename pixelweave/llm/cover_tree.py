@@ -1,8 +1,8 @@
 """Operator 2: exact near-duplicate embeddings by dual traversal of cover trees.
 
 Unit vectors whose cosine is at least t lie within r = sqrt(2 - 2t). Equal vectors are one class with a
-count. The classes of a label are cut into cells around pivots and cells into chunks of bounded size; each
-chunk is a ball, and pairs of balls further apart than r are dropped. What is left goes to tasks of two chunks
+count. The classes of a label are cut into cells around pivots, cells that are too large again, LEVELS times, and
+what cannot be cut further is dealt by hash; each chunk is a ball, and pairs of balls further apart than r are dropped. What is left goes to tasks of two chunks
 each: each builds a cover tree (nested levels, radii halving, every node with its true covering radius) for
 its chunks and walks the two trees together. Node pairs too far apart are pruned, node pairs that lie within
 r as a whole are linked as a whole, and the rest is opened. A task returns numbers of links by class and a
@@ -27,41 +27,49 @@ THRESHOLD = 0.93
 CHUNK = 1024
 PIVOTS = 64
 SLACK = 1e-7
+#: Points no further apart are not told apart by levels; the points of such leaves are compared one by one.
+LEAF = 1e-7
+#: Times that cells are cut around pivots.
+LEVELS = 4
 
 
 class CoverTree:
-    """Nested centres; node k covers points order[lo[k]:hi[k]] within radius[k] of its centre."""
+    """Nested centres: node k covers members[k] within radius[k] of its centre. A leaf holds points that are nearly equal, or one."""
 
     def __init__(self, points: np.ndarray):
         self.x = points
         self.centre: list[int] = []
         self.members: list[np.ndarray] = []
         self.radius: list[float] = []
-        self.children: list[np.ndarray | None] = []
-        if len(points):
-            self.add(np.arange(len(points)), 2.0)
-
-    def add(self, idx: np.ndarray, reach: float) -> int:
-        me = len(self.centre)
-        apart = self.distance(idx[0], idx)
-        self.centre.append(int(idx[0]))
-        self.members.append(idx)
-        self.radius.append(float(apart.max()))
-        self.children.append(None)
-        if len(idx) > 1:
-            # halve until the level tells points apart; the centre of a node is the centre of its first child
-            far = self.radius[me]
-            while reach / 2 >= far > 0:
-                reach /= 2
-            groups = self.cover(idx, reach / 2) if far > 0 else np.split(idx, len(idx))
-            self.children[me] = np.array([self.add(g, reach / 2) for g in groups])
-        return me
+        below: list[list[int]] = []
+        todo = [(np.arange(len(points)), 2.0, -1)] if len(points) else []
+        while todo:
+            idx, reach, parent = todo.pop()
+            me = len(self.centre)
+            if parent >= 0:
+                below[parent].append(me)
+            far = float(self.distances(idx[:1], idx).max())
+            self.centre.append(int(idx[0]))
+            self.members.append(idx)
+            self.radius.append(far)
+            below.append([])
+            reach, groups = self.split(idx, reach, far)
+            todo += [(g, reach, me) for g in groups]
+        self.children = [np.array(c) if c else None for c in below]
+
+    def split(self, idx: np.ndarray, reach: float, far: float) -> tuple[float, list[np.ndarray]]:
+        """The next level that tells points apart, and its groups; none for a leaf."""
+        while far > LEAF and reach > LEAF:
+            reach /= 2
+            if reach < far and len(groups := self.cover(idx, reach)) > 1:
+                return reach, groups
+        return reach, []
 
     def cover(self, idx: np.ndarray, radius: float) -> list[np.ndarray]:
         """Points split among centres: from the front each point that no centre covers yet becomes one. Candidates are compared by blocks."""
-        groups, points = [], self.x[idx]
+        groups = []
         while len(idx):
-            near = np.sqrt(np.maximum(0, 2 - 2 * (points[:64] @ points.T))) <= radius
+            near = self.distances(idx[:64], idx) <= radius
             free = np.ones(len(idx), bool)
             for j in range(len(near)):
                 if free[j]:
@@ -69,11 +77,12 @@ class CoverTree:
                     inside[j] = True
                     groups.append(idx[inside])
                     free &= ~inside
-            idx, points = idx[free], points[free]
+            idx = idx[free]
         return groups
 
-    def distance(self, i: int, idx: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(0, 2 - 2 * (self.x[idx] @ self.x[i])))
+    def distances(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Right to about 2e-8, since the difference of unit vectors is taken from their cosine."""
+        return np.sqrt(np.maximum(0, 2 - 2 * (self.x[a] @ self.x[b].T)))
 
 
 class Links:
@@ -116,6 +125,12 @@ def dual(s: CoverTree, t: CoverTree, links: Links, shift_s: int, shift_t: int, c
     r, same, root = np.sqrt(2 - 2 * cosine), s is t, np.array([0])
     cs, ct, rs, rt = np.array(s.centre), np.array(t.centre), np.array(s.radius), np.array(t.radius)
     fine_s, fine_t = (np.array([c is None for c in x.children]) for x in (s, t))
+    def one_by_one(m: np.ndarray, n: np.ndarray, within: bool) -> None:
+        hit = s.x[m] @ t.x[n].T >= cosine
+        for k in np.flatnonzero((np.triu(hit, 1) if within else hit).any(axis=1)):
+            others = n[np.flatnonzero(hit[k]) if not within else k + 1 + np.flatnonzero(hit[k, k + 1 :])]
+            links.block(m[k : k + 1] + shift_s, others + shift_t)
+
     todo = [(root, root, same)]
     while todo:
         all_a, b, diagonal = todo.pop()
@@ -126,21 +141,26 @@ def dual(s: CoverTree, t: CoverTree, links: Links, shift_s: int, shift_t: int, c
             both = rs[a][:, None] + rt[b][None]
             leaf = fine_s[a][:, None] & fine_t[b][None]
             once = np.arange(lo, lo + len(a))[:, None] < np.arange(len(b))[None] if diagonal else np.ones((1, 1), bool)
-            whole = once & ~leaf & (apart + both <= r - SLACK)
-            for i, j in zip(*np.nonzero(whole | (once & leaf & (cos >= cosine))), strict=True):
+            whole = once & (apart + both <= r - SLACK)
+            meet = once & ~whole & (apart - both <= r + SLACK)
+            for i, j in zip(*np.nonzero(whole), strict=True):
                 links.block(s.members[a[i]] + shift_s, t.members[b[j]] + shift_t)
-            opened = once & ~leaf & ~whole & (apart - both <= r + SLACK)
+            for i, j in zip(*np.nonzero(meet & leaf), strict=True):
+                one_by_one(s.members[a[i]], t.members[b[j]], False)
+            opened = meet & ~leaf
             for i in np.flatnonzero(opened.any(axis=1) & ~fine_s[a]):
                 todo.append((s.children[a[i]], b[opened[i]], False))
             opened &= fine_s[a][:, None]
             for j in np.flatnonzero(opened.any(axis=0)):
                 todo.append((a[opened[:, j]], t.children[b[j]], False))
-            for i in a[~fine_s[a]].tolist() if diagonal else ():
-                if 2 * rs[i] <= r - SLACK:
+            for i in a.tolist() if diagonal else ():
+                if len(s.members[i]) > 1 and 2 * rs[i] <= r - SLACK:
                     m = s.members[i] + shift_s
                     links.n[m] += links.mult[m].sum() - links.mult[m]
                     for j in m.tolist():
                         links.join(int(m[0]), j)
+                elif fine_s[i]:
+                    one_by_one(s.members[i], s.members[i], True)
                 else:
                     todo.append((s.children[i], s.children[i], True))
 
@@ -182,34 +202,40 @@ def near_duplicates(rows: DataFrame, cosine: float = THRESHOLD, chunk: int = CHU
     classes = classes.select("node", "mult", "rep", F.col("f.label").alias("label"), F.col("f.x").alias("x"), F.size("f.x").alias("dim"))
     classes = stage(classes, "classes")
 
-    # a list of the labels (and lengths) with more classes than a chunk holds: at most one for each `chunk` rows
-    kinds = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).withColumn("cells", F.least(F.lit(pivots), F.ceil(F.col("n") / chunk)).cast("int"))
-    # the pivots of a label are those of its classes with the smallest hashes
-    keyed = classes.join(kinds.where("cells > 1").select("label", "dim", "cells"), ["label", "dim"])
-    spread = F.pmod(F.xxhash64("node"), F.lit(pivots))
-    few = keyed.withColumn("part", spread).groupBy("label", "dim", "part").agg(F.min(F.struct(F.xxhash64("node", F.lit(7)).alias("h"), "x")).alias("p"))
-    picked = few.groupBy("label", "dim").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    picked = picked.join(kinds, ["label", "dim"]).select("label", "dim", F.expr("transform(slice(p, 1, cells), v -> v.x)").alias("pivot"))
-
+    # cells with more classes than a chunk are cut around pivots, again and again: those of a cell are the classes with the smallest hashes
+    key = ["label", "dim", "cell"]
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
-    celled = classes.join(picked, ["label", "dim"], "left")
-    nearest = F.array_max(F.transform("pivot", lambda p, i: F.struct(dot(p, F.col("x")).alias("cos"), (-i).alias("i"))))
-    celled = celled.withColumn("near", nearest).select(
-        "label", "dim", "node", "mult", "x", F.coalesce(-F.col("near.i"), F.lit(0)).alias("cell"), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.coalesce("near.cos", F.lit(-1.0)))).alias("away")
-    )
-    sizes = celled.groupBy("label", "dim", "cell").agg(F.count("*").alias("n"))
-    chunked = celled.join(sizes, ["label", "dim", "cell"]).withColumn("chunk", F.concat_ws(".", "cell", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / chunk)).cast("string")))
-    chunked = stage(chunked.drop("n"), "chunks")
+    celled = classes.select("label", "dim", F.lit("").alias("cell"), "node", "mult", "x", F.lit(None).cast("array<double>").alias("centre"), F.lit(2.0).alias("away"))
+    for depth in range(LEVELS):
+        sizes = celled.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > chunk)
+        if not sizes.limit(1).count():
+            break
+        # a list of a cell has `pivots` vectors at most
+        spread = celled.join(sizes, key).withColumn("part", F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(pivots)))
+        few = spread.groupBy(*key, "part", "n").agg(F.min(F.struct(F.xxhash64("node", F.lit(7 + depth)).alias("h"), "x")).alias("p"))
+        picked = few.groupBy(*key, "n").agg(F.array_sort(F.collect_list("p")).alias("p"))
+        picked = picked.select(*key, F.transform(F.slice("p", F.lit(1), F.least(F.lit(pivots), F.ceil(F.col("n") / chunk).cast("int"))), lambda v: v["x"]).alias("pivot"))
+        nearest = F.array_max(F.transform("pivot", lambda p, i: F.struct(dot(p, F.col("x")).alias("cos"), (-i).alias("i"))))
+        near = celled.join(picked, key, "left").withColumn("near", nearest)
+        cut = F.col("near").isNotNull()
+        celled = near.select(
+            "label", "dim", F.when(cut, F.concat_ws(".", "cell", -F.col("near.i"))).otherwise(F.col("cell")).alias("cell"), "node", "mult", "x",
+            F.when(cut, F.element_at("pivot", 1 - F.col("near.i"))).otherwise(F.col("centre")).alias("centre"),
+            F.when(cut, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("near.cos")))).otherwise(F.col("away")).alias("away"),
+        )
+        celled = stage(celled, "cells")
+    sizes = celled.groupBy(*key).agg(F.count("*").alias("n"))
+    dealt = celled.join(sizes, key).withColumn("chunk", F.concat_ws("/", "cell", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / chunk)).cast("string")))
+    chunked = stage(dealt.select("label", "dim", "chunk", "node", "mult", "x", "centre", "away"), "chunks")
 
     # balls of chunks; two meet if their centres are no further apart than both radii and r
-    balls = chunked.groupBy("label", "dim", "chunk", "cell").agg(F.max("away").alias("radius")).join(picked, ["label", "dim"], "left")
-    balls = balls.select("label", "dim", "chunk", "radius", F.when(F.col("pivot").isNotNull(), F.element_at("pivot", F.col("cell") + 1)).alias("centre"))
+    balls = chunked.groupBy("label", "dim", "chunk").agg(F.max("away").alias("radius"), F.any_value("centre").alias("centre"))
     other = balls.select("label", "dim", F.col("chunk").alias("chunk2"), F.col("radius").alias("radius2"), F.col("centre").alias("centre2"))
     apart = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.coalesce(dot(F.col("centre"), F.col("centre2")), F.lit(1.0))))
     reach = float(np.sqrt(2 - 2 * cosine)) + SLACK
     pairs = balls.join(other, ["label", "dim"]).where((F.col("chunk") <= F.col("chunk2")) & (apart - F.col("radius") - F.col("radius2") <= reach))
     ends = pairs.select("label", "dim", F.explode(F.expr("IF(chunk = chunk2, array(struct(chunk, 0 AS side)), array(struct(chunk, 0 AS side), struct(chunk2 AS chunk, 1 AS side)))")).alias("e"), F.concat_ws("|", "chunk", "chunk2").alias("pair"), (F.col("chunk") == F.col("chunk2")).alias("within"))
-    tasks = chunked.join(ends.select("label", "dim", "e.chunk", "e.side", "pair", "within"), ["label", "dim", "chunk"])
+    tasks = chunked.drop("centre", "away").join(ends.select("label", "dim", "e.chunk", "e.side", "pair", "within"), ["label", "dim", "chunk"])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["side", "node"])

@@ -64,3 +64,49 @@ def test_against_brute_force(spark):
 
 def test_empty(spark):
     assert ct.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def close_copies(seed, dim, n=60):
+    """Vectors that differ by single steps of float32, multiples of each other in float32, and others."""
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=dim).astype(np.float32)
+    rows = [base]
+    for k in range(8):
+        v = base.copy()
+        v[k % dim] = np.nextafter(v[k % dim], np.float32(9))
+        rows.append(v)
+    rows += [base * np.float32(1 + k / 7) for k in range(8)]
+    rows += [(base + rng.normal(size=dim) * rng.choice([1e-9, 1e-7, 1e-5, 0.2])).astype(np.float32) for _ in range(20)]
+    return rows + list(rng.normal(size=(n, dim)).astype(np.float32))
+
+
+def test_nearly_equal_vectors():
+    for seed in range(40):
+        for dim in (8, 64):
+            x = np.array(close_copies(seed, dim), float)
+            x /= np.linalg.norm(x, axis=1)[:, None]
+            x = np.unique(x, axis=0)
+            cos = x @ x.T
+            if (abs(cos - 0.93) < 1e-12).any():
+                continue
+            for limit in (0.93, 1 - 1e-9):
+                if (abs(cos - limit) < 1e-13).any():
+                    continue
+                got = ct.link_chunks(x, np.ones(len(x), np.int64), np.zeros(len(x)), True, limit)
+                assert (got.n == (cos >= limit).sum(1) - 1).all()
+            side = np.arange(len(x)) % 2
+            order = np.argsort(side, kind="stable")
+            got = ct.link_chunks(x[order], np.ones(len(x), np.int64), side[order], False, 0.93)
+            cross = (cos[order][:, order] >= 0.93) & (side[order][:, None] != side[order])
+            assert (got.n == cross.sum(1)).all()
+
+
+def test_cells_cut_again(spark):
+    rows = [(i, [float(y) for y in v], 1) for i, v in enumerate(close_copies(3, 8, 200))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {tuple(r) for r in ct.near_duplicates(df, chunk=6, pivots=4).collect()} == brute(rows, 0.93)
+
+
+def test_query_over_small_tables(spark, sf):
+    t = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label").collect()
+    assert {tuple(r) for r in ct.op2_embedding_dedup(spark, sf).collect()} == brute([tuple(r) for r in t], 0.93)
