@@ -38,6 +38,8 @@ HEADER = struct.Struct("<4sIIIQQI")
 MAGIC = b"S8B1"
 BLOCK_IDS = 1 << 16
 BLOCKS_PER_FILE = 256
+#: Cores that a worker remembers, in each of two generations: about 40 MB.
+MEMO = 200_000
 
 
 def simple8b_encode(values: np.ndarray) -> np.ndarray:
@@ -127,13 +129,16 @@ class ChunkEncoder:
     part that is not remembered, many in one string.
     Where words end in a suffix of the vocabulary, cores of lower-case letters go to a copy of the tokenizer
     that neither normalises nor cuts (there is nothing to do), and the suffix tells them apart; other cores
-    have a bar between them.
+    have a bar between them. Texts that hold one of the tokenizer's added tokens, in letters of any case, go to the
+    library whole.
     """
 
-    def __init__(self, path: str, limit: int = 350_000):
+    def __init__(self, path: str, limit: int = MEMO):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
+        self.whole = Tokenizer.from_file(path)
+        self.special = [t["content"] for t in json.loads(self.whole.to_str()).get("added_tokens", []) if t["content"]]
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.bar = self.ids("|")
@@ -168,7 +173,7 @@ class ChunkEncoder:
             ids = np.array(self.bare.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
             ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
             if len(ends) != len(part):
-                raise ValueError("a word of letters is not one run of tokens")
+                continue  # some word is not one run of tokens; all of them are encoded one by one below
             raw, begin = ids.tobytes(), [0, *ends]
             out.update((c, raw[4 * i : 4 * j]) for c, i, j in zip(part, begin, ends))
         others = [c for c in cores if c not in out and b"|" not in c] if len(self.bar) == 1 else []
@@ -177,7 +182,7 @@ class ChunkEncoder:
             ids = np.array(self.ids(" | ".join([c.decode() for c in part])), "<u4")
             cuts = np.flatnonzero(ids == self.bar[0])
             if len(cuts) != len(part) - 1:
-                raise ValueError("a chunk has the id of the bar")
+                continue
             raw, at = ids.tobytes(), [-1, *cuts.tolist(), len(ids)]
             out.update((c, raw[4 * i + 4 : 4 * j]) for c, i, j in zip(part, at, at[1:]))
         for c in cores:
@@ -198,6 +203,18 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.StringArray) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
+        whole = np.zeros(len(texts), bool)
+        for token in self.special:
+            whole |= pc.match_substring(texts, token, ignore_case=True).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self.encode_chunks(texts)
+        out = self.encode_chunks(pc.if_else(pa.array(whole), "", texts))
+        for i in np.flatnonzero(whole):
+            out[i] = np.array(self.whole.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
+    def encode_chunks(self, texts: pa.StringArray) -> list[bytes]:
+        """The same for texts without added tokens."""
         split = pc.ascii_split_whitespace(texts)
         at = split.offsets.to_numpy()
         distinct = split.values.slice(int(at[0]), int(at[-1] - at[0])).dictionary_encode()

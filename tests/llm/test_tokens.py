@@ -80,3 +80,39 @@ def test_byte_bpe_frame(spark):
     back = byte_bpe.decode_ids(coded.drop("decoded"), RANKS, P.PATTERN)
     assert sorted(bytes(r.decoded).decode() for r in back.collect()) == ["", "Größe 漢字", "a"]
     assert byte_bpe.encode_texts(df.limit(0), RANKS, P.PATTERN).count() == 0
+
+
+SPECIAL = ["<|endoftext|> a b", "x<|ENDOFTEXT|>y", "plain, text", "", "<|startoftext|>", "Two <|endoftext|><|endoftext|> ends"]
+
+
+def test_special_tokens_in_texts(spark, tmp_path):
+    """As the library has it by default: a special token in a text is that token."""
+    path = P.path("word_bpe_49k.json")
+    own = Tokenizer.from_file(path)
+    assert own.get_added_tokens_decoder()
+    df = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string")
+    to.write_token_shards(df, f"file://{tmp_path}/t", path, 2)
+    got = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in to.read_token_shards(spark, f"file://{tmp_path}/t").collect()}
+    assert got == {i: [*own.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(SPECIAL)}
+
+
+def test_token_query_over_small_tables(spark, sf):
+    own = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    want, start = set(), 0
+    for d, t in docs:
+        ids = np.array([*own.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        want.add((d, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert {tuple(r) for r in to.op3_token_output(spark, sf).select("doc_id", "start", "n_tokens", "ids_crc32").collect()} == want
+
+
+def test_bpe_query_over_small_tables(spark, sf):
+    import hashlib
+
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in byte_bpe.op9_byte_bpe(spark, sf).collect()}
+    for d, t in texts.items():
+        ids = np.array(enc.encode_ordinary(t), "<u4")
+        assert got[d] == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
