@@ -10,7 +10,7 @@ backslashes, `|` gets one backslash more before the bar, so no control string ca
 one backslash away gives back what was there. The loss mask covers the (escaped) texts of assistant turns.
 
 Defined results: null texts and roles count as empty; turns that tie are ordered by role, then text; repeated
-rows are turns of their own; a null conversation id is a conversation; messages whose chain never reaches a
+rows of a conversation are turns of their own, those of a reply tree one message; a null conversation id is a conversation; messages whose chain never reaches a
 root (a loop) are in no path; a parent that does not exist makes its child a root; an empty table gives no
 rows. One conversation is one row of output, so it has to fit in a row; its rows are sorted in one task.
 """
@@ -78,9 +78,10 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """(tree, branch, leaf, node, up): the messages of each tree's best root-to-leaf paths, up counting from the leaf.
 
     messages: tree string, node long, parent long (null for a root), score double (null: 0). Branches are
-    ranked by the sum of scores, equal ones by the smaller leaf.
+    ranked by the sum of scores, equal ones by the smaller leaf. Rows of one tree and node are one message, of their
+    least parent and highest score (and in format_conversations() of their least role and text).
     """
-    given = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
+    given = messages.groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.coalesce(F.max("score"), F.lit(0.0)).alias("score"))
     ids = given.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there")).distinct()
     links = given.join(ids, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("parent"), "score")
     base = stage(links, "messages")
@@ -115,7 +116,8 @@ FORMATTED = "tree string, branch int, formatted string, loss array<struct<start:
 def format_conversations(messages: DataFrame, branches: int = 1) -> DataFrame:
     """(tree, branch, formatted, loss) for messages(tree, node, parent, score, role, text)."""
     paths = reply_paths(messages, branches)
-    said = messages.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    said = messages.select("tree", "node", F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("said"))
+    said = said.groupBy("tree", "node").agg(F.min("said").alias("said")).select("tree", "node", "said.role", "said.text")
     turns = paths.join(said, ["tree", "node"]).groupBy("tree", "branch").agg(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), "role", "text"))).alias("turns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -52,3 +52,11 @@ def test_nulls_ties_and_repeats(spark):
     got = {r.tree: r for r in chat.digest_conversations(chat.format_conversations(chat.turns_as_replies(df))).collect()}
     assert got["1"].n_turns == 3 and got["null"].n_turns == 1
     assert got["1"].turns_sha256 == hashlib.sha256(b"assistant\nfirst\nuser\n\nuser\n\n").hexdigest()
+
+
+def test_repeated_messages_are_one(spark):
+    rows = [("t", i, i - 1 if i else None, 1.0, "user", f"m{i}") for i in range(24)]
+    df = spark.createDataFrame(rows * 2 + [("t", 5, 4, 0.5, "user", "zz")], TREE).selectExpr("*", "'x' AS anc", "1 AS up", "1 AS leaf")
+    got = chat.format_conversations(df).collect()
+    assert len(got) == 1 and [t for _, t in chat.parse_turns(got[0].formatted)] == [f"m{i}" for i in range(24)]
+    assert chat.reply_paths(df).count() == 24
