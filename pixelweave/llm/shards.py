@@ -5,7 +5,9 @@ factor of `fan_in`) are merged, `fan_in` or more at a time, into files of the ta
 reached it are left alone. A manifest is a numbered JSON file that names the live runs. It is written aside
 and renamed to its number, which fails if another writer was first; that rename is the commit. Readers take
 the newest manifest, so they see all of a commit or nothing of it, and files that no manifest names (from a
-job that was lost) are never read. Only the driver touches manifests; rows move in Spark jobs, without a
+job that was lost) are never read. Runs stay as long as one of the newest RETAIN manifests names them, so older
+versions can be read that far back. A writer that loses the race for a version reads the newest manifest and commits
+again, if the runs it merged are still live. Only the driver touches manifests; rows move in Spark jobs, without a
 shuffle: a merged file is a coalesced read of its runs.
 
 Defined results: rows come back as they were, repeated ones too, with nulls and all columns; a run of no rows
@@ -30,6 +32,9 @@ FAN_IN = 4
 BASE_BYTES = 1 << 20
 #: Merges that one job carries out.
 MERGES_A_JOB = 64
+#: Newest versions that can be read.
+RETAIN = 10
+TRIES = 20
 
 
 class Conflict(RuntimeError):
@@ -39,8 +44,8 @@ class Conflict(RuntimeError):
 class ShardStore:
     """A table kept as immutable shards under a path of any Hadoop file system."""
 
-    def __init__(self, spark: SparkSession, path: str, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN, base_bytes: int = BASE_BYTES):
-        self.spark, self.path, self.target, self.fan_in, self.base = spark, path, target_bytes, fan_in, base_bytes
+    def __init__(self, spark: SparkSession, path: str, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN, base_bytes: int = BASE_BYTES, retain: int = RETAIN):
+        self.spark, self.path, self.target, self.fan_in, self.base, self.retain = spark, path, target_bytes, fan_in, base_bytes, retain
         self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
     def _at(self, path: str):
@@ -93,17 +98,29 @@ class ShardStore:
         return sorted(out, key=lambda r: r["path"])
 
     def append(self, rows: DataFrame, arrival: str | None = None) -> None:
-        """Add rows as new runs: one, or one for each value of the column `arrival`, each committed in turn."""
+        """Add rows as new runs: one, or one for each value of the column `arrival`, all in one commit."""
         own = [c for c in rows.columns if c != arrival]
         column = "run"
         while column in own:
             column = "_" + column
         marked = rows.withColumnRenamed(arrival, column) if arrival else rows.withColumn(column, F.lit(0))
         runs = self._runs(marked, column)
-        now = self.manifest()
-        schema = now["schema"] or rows.select(*own).schema.json()
-        for run in runs or [None]:
-            now = self.commit(now, now["runs"] + ([run] if run else []), schema)
+        schema = rows.select(*own).schema.json()
+        self.retry(lambda now: (now["runs"] + runs, now["schema"] or schema))
+
+    def retry(self, change) -> bool:
+        """Commit the runs and schema that change() makes of the newest manifest, until no other writer is first; False if it makes none."""
+        for _ in range(TRIES):
+            now = self.manifest()
+            if not (new := change(now)):
+                return False
+            try:
+                self.commit(now, *new)
+            except Conflict:
+                continue
+            self.vacuum()
+            return True
+        raise Conflict(f"{TRIES} times another writer was first")
 
     def tier(self, size: int) -> int:
         return max(0, math.floor(math.log(max(size, 1) / self.base, self.fan_in) + 1e-9)) if size > self.base else 0
@@ -135,16 +152,27 @@ class ShardStore:
                 rows = part if rows is None else rows.union(part)
             made = self._runs(rows, column)
             gone = {r["path"] for g in groups for r in g}
-            self.commit(now, [r for r in now["runs"] if r["path"] not in gone] + made, now["schema"])
-            commits += 1
-            self.vacuum(gone)
+            def change(newest: dict) -> tuple | None:
+                live = {r["path"] for r in newest["runs"]}
+                return ([r for r in newest["runs"] if r["path"] not in gone] + made, newest["schema"]) if gone <= live else None
+
+            if self.retry(change):
+                commits += 1
+            else:  # another writer has merged some of them
+                for run in made:
+                    drop_path(self.spark, run["path"])
         return commits
 
-    def vacuum(self, paths: set[str]) -> None:
-        """Delete runs that the newest manifest no longer names."""
-        live = {r["path"] for r in self.manifest()["runs"]}
-        for path in paths - live:
-            drop_path(self.spark, path)
+    def vacuum(self) -> None:
+        """Delete manifests older than the newest `retain`, and the runs that only these name."""
+        versions = sorted(int(n[1:11]) for n, _ in self._list(f"{self.path}/manifests") if n.startswith("v"))
+        old, kept = versions[: -self.retain], versions[-self.retain :]
+        if old:
+            live = {r["path"] for v in kept for r in self.manifest(v)["runs"]}
+            for path in {r["path"] for v in old for r in self.manifest(v)["runs"]} - live:
+                drop_path(self.spark, path)
+            for v in old:
+                drop_path(self.spark, f"{self.path}/manifests/v{v:010d}.json")
 
     def read(self, version: int | None = None) -> DataFrame:
         found = self.manifest(version)

@@ -41,3 +41,36 @@ def test_query_matches_sql(spark, sf):
     df = shards.op7_sharding(spark, sf)
     ref = connect(sf).execute(shards.OP7_SQL)
     assert rows_of(df.columns, df.collect()) == rows_of([d[0] for d in ref.description], ref.fetchall())
+
+
+def test_older_versions_and_expiry(spark, tmp_path):
+    store = shards.ShardStore(spark, f"file://{tmp_path}/s", retain=3)
+    rows = spark.createDataFrame([(i % 5, "x" * (i % 3 * 1000), None) for i in range(40)], "run int, text string, arrival_ string")
+    for _ in range(2):
+        store.append(rows.withColumn("part", rows.run % 4), "part")
+    before = store.manifest()["version"]
+    early = store.read()
+    assert store.compact() >= 1
+    assert store.read().count() == store.read(before).count() == early.count() == 80
+    assert sorted(map(tuple, store.read().collect())) == sorted(map(tuple, rows.union(rows).collect()))
+    for _ in range(3):
+        store.append(rows.limit(1))
+    with pytest.raises(Exception):
+        store.manifest(before)
+    assert store.read().count() == 83
+
+
+def test_append_tries_again(spark, tmp_path):
+    store, other = (shards.ShardStore(spark, f"file://{tmp_path}/s") for _ in range(2))
+    rows = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    commit, raced = store.commit, []
+
+    def late(old, runs, schema):
+        if not raced:
+            raced.append(True)
+            other.append(rows)
+        return commit(old, runs, schema)
+
+    store.commit = late
+    store.append(rows)
+    assert raced and store.read().count() == 2
