@@ -26,7 +26,8 @@ BINS = 256
 TRIES = 8
 PRIME = 1_000_000_007
 
-#: Rows wanted in a run of consecutive documents, and the most runs there are.
+#: Rows wanted in a run of consecutive documents, and the most runs there are: beyond 65 million documents runs grow, and
+#: a window sorts a run outside memory.
 RUN_ROWS = 1000
 MAX_RUNS = 65_536
 
@@ -95,32 +96,30 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, columns: list[str], run_rows: int = RUN_ROWS) -> DataFrame:
     """docs(doc_id, text, ...) with next_<column> of the document with the next larger doc_id; after the last comes the first.
 
-    Documents are dealt to runs of consecutive ids. The cuts come from a histogram of ids over MAX_RUNS cells,
-    which is what the driver sees. The first document of each run also goes to the run before it, so each run
-    is a window of its own, and no window spans the table.
+    Documents are dealt to runs of consecutive ids. The cuts are quantiles of the ids, as Spark's sketch gives them,
+    so runs are even however the ids lie; the driver sees the cuts, fewer than MAX_RUNS. The first document of each run
+    also goes to the run before it, so each run is a window of its own, and no window spans the table.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    lo, hi, n = docs.agg(F.min(key), F.max(key), F.count("*")).first()
+    least, n = docs.agg(F.min(key), F.count("*")).first()
     if not n:
         return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
-    width = max(1.0, (float(hi) - float(lo) + 1) / MAX_RUNS)
-    cell = F.floor((key.cast("double") - F.lit(float(lo))) / F.lit(width)).cast("long")
-    cells = sorted(tuple(r) for r in docs.groupBy(cell.alias("cell")).agg(F.count("*").alias("rows"), F.min(key).alias("first")).collect())
-    runs, firsts, held = [], [], run_rows
-    for c, rows, first in cells:
-        if held >= run_rows:
-            firsts.append(first)
-            held = 0
-        runs.append((c, len(firsts) - 1))
-        held += rows
-    # at most MAX_RUNS rows each
-    run_table = F.broadcast(spark.createDataFrame(runs, "cell long, run long"))
+    runs = min(MAX_RUNS, -(-n // run_rows))
+    shares = F.split(F.lit(",".join(str(i / runs) for i in range(1, runs))), ",").cast("array<double>")
+    found = docs.agg(F.percentile_approx(key, shares, max(10_000, 10 * runs))).first()[0] if runs > 1 else []
+    # a cut is an id of the table, the first of its run
+    firsts = [least, *sorted({c for c in found if c > least})]
+    cuts = F.split(F.lit(",".join(map(str, firsts))), ",").cast("array<bigint>")
+    steps = [1 << k for k in reversed(range(len(firsts).bit_length()))]
+    # the last first id that is not above the key, by halving steps
+    run = F.aggregate(F.array(*[F.lit(k) for k in steps]), F.lit(0), lambda at, k: at + F.when(F.get(cuts, at + k) <= F.col("id_key"), k).otherwise(0)).cast("long")
     also = [(first, [(r - 1, 0)] if r else [(len(firsts) - 1, 1)]) for r, first in enumerate(firsts)]
+    # at most MAX_RUNS rows
     also_table = F.broadcast(spark.createDataFrame([(k, [{"run": a, "wrap": b} for a, b in x]) for k, x in also], "id_key long, also array<struct<run:long,wrap:int>>"))
     # the columns of docs travel in a struct, so that their names cannot clash with these
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), key.alias("id_key"), cell.alias("cell"), F.xxhash64("text").alias("tie"))
-    rows = rows.join(run_table, "cell").join(also_table, "id_key", "left")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), key.alias("id_key"), F.xxhash64("text").alias("tie"))
+    rows = rows.withColumn("run", run).join(also_table, "id_key", "left")
     own = F.struct("run", F.lit(0).alias("wrap"), F.lit(True).alias("own"))
     more = F.transform(F.coalesce("also", F.array().cast("array<struct<run:bigint,wrap:int>>")), lambda s: F.struct(s["run"].alias("run"), s["wrap"].alias("wrap"), F.lit(False).alias("own")))
     rows = rows.select("doc", "id_key", "tie", F.explode(F.concat(F.array(own), more)).alias("at"))

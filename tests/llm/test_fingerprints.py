@@ -70,3 +70,13 @@ def test_next_over_many_runs(spark):
 def test_likeness(spark):
     row = spark.range(1).select(fp.likeness(F.lit(""), F.lit("")).alias("a"), fp.likeness(F.lit(""), F.lit("0" * 256)).alias("b"), fp.likeness(F.lit("1" * 256), F.lit("1" * 256)).alias("c")).first()
     assert tuple(row) == (1.0, 0.0, 1.0)
+
+
+def test_next_with_ids_far_off(spark):
+    ids = [*range(300), 1 << 62, -(1 << 61)]
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
+    got = {r.doc_id: r.next_text for r in fp.with_next(df, ["text"], run_rows=10).collect()}
+    order = sorted(ids)
+    assert got == {a: f"t{b}" for a, b in zip(order, [*order[1:], order[0]])}
+    plan = fp.with_next(df, ["text"], run_rows=10).select("doc_id")
+    assert plan.count() == len(ids)
