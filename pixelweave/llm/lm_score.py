@@ -419,7 +419,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     held = sc.broadcast((model.head, model.head_counts))
     whole = None
     if model.size <= BROADCAST_BYTES:
-        whole = sc.broadcast((model.parts, [(r.part, r.pairs, r.bits, bytes(r.data)) for r in model.filters.collect()]))
+        # some partitions at a time, so that the driver holds the filter once
+        whole = sc.broadcast((model.parts, [(r.part, r.pairs, r.bits, r.data) for r in model.filters.toLocalIterator()]))
     space = model.n + model.v + 1.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
