@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import Recent, read_table
+from pixelweave.llm.common import Recent, read_table, worker_state
 
 #: Pieces, units and pairs of tokens that a memo remembers, in each of its two generations: about 35 MB a worker in all.
 MEMO = 60_000
@@ -183,13 +183,8 @@ class TextEncoder:
         return self.bpe.encode_unit(first) + b"".join(map(self.units.__getitem__, rest))
 
 
-_encoders: dict[tuple[str, str], TextEncoder] = {}
-
-
 def text_encoder(ranks_path: str, pattern: str) -> TextEncoder:
-    if (ranks_path, pattern) not in _encoders:
-        _encoders[ranks_path, pattern] = TextEncoder(ranks_path, pattern)
-    return _encoders[ranks_path, pattern]
+    return worker_state(("byte_bpe", ranks_path, pattern), lambda: TextEncoder(ranks_path, pattern))
 
 
 def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", extra: tuple = ()) -> DataFrame:

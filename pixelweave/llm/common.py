@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 
@@ -75,6 +78,26 @@ def training_rows(doc_id: Column, modulus: int, left_out: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus != left_out
 
 
+_held: dict[tuple, object] = {}
+
+
+def worker_state(owner: tuple, make=lambda: True):
+    """What make() gives, once for each Python worker, as long as no other owner asks.
+
+    Spark uses its Python workers again, for other operators too: what one of them remembers must not stay beside what
+    the next one needs, so it goes first, and its memory back to the system.
+    """
+    if owner not in _held:
+        if _held:
+            _held.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # only the GNU library has it
+                ctypes.CDLL(None).malloc_trim(0)
+        _held[owner] = make()
+    return _held[owner]
+
+
 class Recent(dict):
     """A memo of two generations: when the new one is full it becomes the old one, and what is asked for again moves up."""
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import read_table, training_rows
+from pixelweave.llm.common import read_table, training_rows, worker_state
 
 SAMPLE_ROWS = 2400
 DIMENSIONS = 4096
@@ -154,6 +154,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", names: tu
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(("language_id",))
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 part = batch.slice(lo, 512)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import ODD, components, mix64, read_table, shingle_sets, stage, unstage
+from pixelweave.llm.common import ODD, components, mix64, read_table, shingle_sets, stage, unstage, worker_state
 
 BINS = 512
 ROWS = 8
@@ -155,6 +155,7 @@ def text_sketches(docs: DataFrame, shingle: int, num: int, den: int) -> DataFram
     """(doc_id, text_key, n, node, keys, low) for docs(doc_id, text): node is a hash of the shingle set, null where it is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(("near_dup",))
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 part = batch.slice(lo, 512)
@@ -172,6 +173,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """(node, hashes) for staged wanted(node, rep_key): the texts with these keys are read again. wanted is broadcast if it has few rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(("near_dup",))
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 part = batch.slice(lo, 512)

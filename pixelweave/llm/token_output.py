@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import Recent, read_table, scratch_path
+from pixelweave.llm.common import Recent, read_table, scratch_path, worker_state
 
 #: Bits of each value and values of each word, by selector. Selector 0 escapes: its low 60 bits count the raw
 #: 64-bit words that follow. Selector 1 is a run of 120 zeros.
@@ -240,14 +240,9 @@ class ChunkEncoder:
         return [out[i:j] for i, j in zip(cuts, cuts[1:])]
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
     """One encoder for each Python worker and vocabulary."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    return worker_state(("token_output", path), lambda: ChunkEncoder(path))
 
 
 def pack_block(shard: int, block: int, before: int, doc_ids: list, ids: list[bytes]) -> bytes:
