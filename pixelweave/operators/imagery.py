@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 CHANNELS = ("r", "g", "b")
 
-# Fixed values of the colour correction: least average red, largest hue shift, share of pixels that makes a
-# histogram bin rare, largest range of a channel, gain of blue that is carried over to red.
+# Fixed values of the colour correction: least average red, largest hue shift, pixels of an image to each pixel that a
+# rare bin of its histogram may hold (and the number of them that any may), part of blue that feeds red, and for red,
+# green and blue the constant, cosine and sine parts of their weights in red after a turn of hue.
 MIN_AVG_RED = 60
 MAX_HUE_SHIFT = 120
 RARE_SHARE = 2000
+RARE_MORE = 2
 BLUE_MAGIC_VALUE = 0.0
+HUE_WEIGHTS = ((0.299, 0.701, 0.168), (0.587, -0.587, 0.330), (0.114, -0.114, -0.497))
 
 
 def clamp(v: Column) -> Column:
@@ -61,8 +64,7 @@ def gain_offset(low: Column, high: Column) -> tuple[Column, Column]:
 def hue_weights(h: Column) -> tuple[Column, Column, Column]:
     """Weights of red, green and blue in the red channel turned by h degrees."""
     u, w = F.cos(h * math.pi / 180), F.sin(h * math.pi / 180)
-    third, root = 1.0 / 3, math.sqrt(1.0 / 3)
-    return (u + (1 - u) * third), ((1 - u) * third - root * w), ((1 - u) * third + root * w)
+    return tuple(F.lit(k) + F.lit(c) * u + F.lit(d) * w for k, c, d in HUE_WEIGHTS)
 
 
 def hue_shifted_red(r: Column, g: Column, b: Column, h: Column) -> Column:
@@ -87,12 +89,12 @@ def apply_matrix(m: dict[str, Column]) -> dict[str, Column]:
 
 
 def colour_matrix(rgb: DataFrame, keys: tuple = ("tile",)) -> DataFrame:
-    """(keys, red..., gains and offsets): the correction of each image from its own statistics, small tables throughout."""
+    """(keys, r_gain, r_offset, ..., shift): the correction of each image from its own statistics. Tables of a row an image are left to the planner."""
     stats = channel_stats(rgb, keys)
     shift = least_hue_shift(stats, keys)
-    turned = rgb.join(F.broadcast(shift), list(keys)).withColumn("r", clamp(hue_shifted_red(F.col("r"), F.col("g"), F.col("b"), F.col("shift").cast("double"))))
-    hist = histogram(turned, keys).join(F.broadcast(stats.select(*keys, "pixels")), list(keys))
-    gaps = widest_gap(hist, F.col("pixels") / RARE_SHARE, (*keys, "channel"))
+    turned = rgb.join(shift, list(keys)).withColumn("r", clamp(hue_shifted_red(F.col("r"), F.col("g"), F.col("b"), F.col("shift").cast("double"))))
+    hist = histogram(turned, keys).join(stats.select(*keys, "pixels"), list(keys))
+    gaps = widest_gap(hist, F.col("pixels") / RARE_SHARE + RARE_MORE, (*keys, "channel"))
     gain, offset = gain_offset(F.col("low"), F.col("high"))
     wide = gaps.withColumn("gain", gain).withColumn("offset", offset).groupBy(*keys).pivot("channel", list(CHANNELS)).agg(F.first("gain").alias("gain"), F.first("offset").alias("offset"))
     return wide.join(shift, list(keys))
@@ -104,11 +106,11 @@ def colour_correct(rgb: DataFrame, keys: tuple = ("tile",)) -> DataFrame:
     wr, wg, wb = hue_weights(F.col("shift").cast("double"))
     zero = F.lit(0.0)
     mat = {
-        "rr": wr * F.col("r_gain"), "rg": wg * F.col("r_gain"), "rb": wb * F.col("r_gain") + BLUE_MAGIC_VALUE, "r0": F.col("r_offset"),
+        "rr": wr * F.col("r_gain"), "rg": wg * F.col("r_gain"), "rb": wb * F.col("r_gain") * BLUE_MAGIC_VALUE, "r0": F.col("r_offset"),
         "gr": zero, "gg": F.col("g_gain"), "gb": zero, "g0": F.col("g_offset"),
         "br": zero, "bg": zero, "bb": F.col("b_gain"), "b0": F.col("b_offset"),
     }
-    return rgb.join(F.broadcast(m), list(keys)).withColumns(apply_matrix(mat)).select(*rgb.columns)
+    return rgb.join(m, list(keys)).withColumns(apply_matrix(mat)).select(*rgb.columns)
 
 
 def blend(bg: Column, fg: Column, alpha: float) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,32 @@ def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
     return F.size(crosses) % 2 == 1
 
 
+def _edges(ring: Column) -> Column:
+    """Edges (p, q) of a ring, closed or not."""
+    return F.zip_with(ring, F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1)), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+
+
+def _edge_meets_box(e: Column, box: str, closed: bool) -> Column:
+    """Separating axes of a segment and a box: the box's two and the segment's normal."""
+    c = F.col
+    cx, cy, hx, hy = (c(f"{box}x0") + c(f"{box}x1")) / 2, (c(f"{box}y0") + c(f"{box}y1")) / 2, (c(f"{box}x1") - c(f"{box}x0")) / 2, (c(f"{box}y1") - c(f"{box}y0")) / 2
+    mx, my, dx, dy = (e["p"]["x"] + e["q"]["x"]) / 2 - cx, (e["p"]["y"] + e["q"]["y"]) / 2 - cy, (e["q"]["x"] - e["p"]["x"]) / 2, (e["q"]["y"] - e["p"]["y"]) / 2
+    pairs = [(F.abs(mx), hx + F.abs(dx)), (F.abs(my), hy + F.abs(dy)), (F.abs(mx * dy - my * dx), hx * F.abs(dy) + hy * F.abs(dx))]
+    tests = [a <= b if closed else a < b for a, b in pairs]
+    return tests[0] & tests[1] & tests[2]
+
+
+def ring_touches_box(ring: Column, box: str = "") -> Column:
+    """A ring's area and a closed box share a point: an edge meets the box, or the box lies inside."""
+    return F.exists(_edges(ring), lambda e: _edge_meets_box(e, box, True)) | point_in_ring(F.col(f"{box}x0"), F.col(f"{box}y0"), ring)
+
+
+def ring_contains_box(ring: Column, box: str = "") -> Column:
+    """No edge enters the box, and its centre is inside."""
+    centre = point_in_ring((F.col(f"{box}x0") + F.col(f"{box}x1")) / 2, (F.col(f"{box}y0") + F.col(f"{box}y1")) / 2, ring)
+    return centre & ~F.exists(_edges(ring), lambda e: _edge_meets_box(e, box, False))
+
+
 def _cells(x0: Column, x1: Column, y0: Column, y1: Column, size: float) -> Column:
     span = lambda lo, hi: F.sequence(F.floor(lo / size).cast("long"), F.floor(hi / size).cast("long"))
     return F.flatten(F.transform(span(x0, x1), lambda i: F.transform(span(y0, y1), lambda j: F.struct(i.alias("ci"), j.alias("cj")))))
@@ -33,10 +61,14 @@ def spatial_join(boxes: DataFrame, zones: DataFrame, predicate: str = "contains"
     """Boxes in, touching or (left_anti) not touching any zone.
 
     Both sides are dealt to grid cells, so candidates meet in an equi-join on the cell; the exact predicate
-    follows. inner gives each pair once, with z_ columns.
+    follows. inner gives each pair once, with z_ columns. Zones with a column ring (array<struct<x,y>>) beside their
+    bounding box are tested as polygons.
     """
     z = zones.select([F.col(c).alias(f"z_{c}") for c in zones.columns])
-    test = box_contains() if predicate == "contains" else boxes_touch()
+    if "ring" in zones.columns:
+        test = boxes_touch() & (ring_contains_box(F.col("z_ring")) if predicate == "contains" else ring_touches_box(F.col("z_ring")))
+    else:
+        test = box_contains() if predicate == "contains" else boxes_touch()
     b_cells = boxes.withColumn("cell", F.explode(_cells(F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"), cell)))
     z_cells = z.withColumn("cell", F.explode(_cells(F.col("z_x0"), F.col("z_x1"), F.col("z_y0"), F.col("z_y1"), cell)))
     if how == "inner":
@@ -45,6 +77,17 @@ def spatial_join(boxes: DataFrame, zones: DataFrame, predicate: str = "contains"
     return boxes.join(hits, key, how)
 
 
+def with_bounds(rings: DataFrame) -> DataFrame:
+    """rings(ring, ...) with the bounding box of each ring."""
+    x, y = F.col("ring")["x"], F.col("ring")["y"]
+    return rings.withColumns({"x0": F.array_min(x), "y0": F.array_min(y), "x1": F.array_max(x), "y1": F.array_max(y)})
+
+
+def in_any_layer(boxes: DataFrame, zones: DataFrame, predicate: str = "intersects", key: str = "box_id") -> DataFrame:
+    """Boxes that meet some zone; all of them where there is no zone at all."""
+    return spatial_join(boxes, zones, predicate, key=key) if zones.limit(1).count() else boxes
+
+
 def buffer_boxes(boxes: DataFrame, by: float) -> DataFrame:
     """Boxes grown (or shrunk) on all sides; those shrunk to nothing go."""
     out = boxes.withColumns({"x0": F.col("x0") - by, "y0": F.col("y0") - by, "x1": F.col("x1") + by, "y1": F.col("y1") + by})
@@ -78,6 +121,27 @@ def utm_project(lon: Column, lat: Column) -> tuple[Column, Column]:
     return east, north + F.when(lat < 0, F.lit(10000000.0)).otherwise(F.lit(0.0))
 
 
+def utm_unproject(east: Column, north: Column, zone: Column, south: Column) -> tuple[Column, Column]:
+    """Longitude and latitude (degrees) of UTM coordinates, by the series for the footpoint latitude."""
+    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
+    e2 = f * (2 - f)
+    ep2, e1 = e2 / (1 - e2), (1 - math.sqrt(1 - e2)) / (1 + math.sqrt(1 - e2))
+    mu = (north - F.when(south, F.lit(10000000.0)).otherwise(F.lit(0.0))) / k0 / (a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
+    fp = (
+        mu
+        + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu)
+        + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu)
+        + (151 * e1**3 / 96) * F.sin(6 * mu)
+        + (1097 * e1**4 / 512) * F.sin(8 * mu)
+    )
+    c, t, root = ep2 * F.cos(fp) ** 2, F.tan(fp) ** 2, 1 - e2 * F.sin(fp) ** 2
+    n, r = a / F.sqrt(root), a * (1 - e2) / root**1.5
+    d = (east - 500000.0) / (n * k0)
+    lat = fp - (n * F.tan(fp) / r) * (d**2 / 2 - (5 + 3 * t + 10 * c - 4 * c**2 - 9 * ep2) * d**4 / 24 + (61 + 90 * t + 298 * c + 45 * t**2 - 252 * ep2 - 3 * c**2) * d**6 / 720)
+    lon = (d - (1 + 2 * t + c) * d**3 / 6 + (5 - 2 * c + 28 * t - 3 * c**2 + 8 * ep2 + 24 * t**2) * d**5 / 120) / F.cos(fp)
+    return F.degrees(lon) + (zone - 1) * 6 - 177, F.degrees(lat)
+
+
 def footprint(points: DataFrame, keys: tuple = ("feature_id",)) -> DataFrame:
     """(keys, area, cx, cy) of rings points(keys, seq, x, y), by the shoelace formula."""
     w = Window.partitionBy(*keys).orderBy("seq")

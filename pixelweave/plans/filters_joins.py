@@ -155,7 +155,39 @@ TOUCH = "z.x0 <= b.x1 AND z.x1 >= b.x0 AND z.y0 <= b.y1 AND z.y1 >= b.y0"
 
 @query("JON05_any_layer", with_views("boxes zones", f"SELECT b.box_id FROM boxes b WHERE EXISTS (SELECT 1 FROM zones z WHERE {TOUCH})"))
 def jon05(spark, sf):
-    return spatial.spatial_join(views.boxes(spark, sf), views.zones(spark, sf), "intersects").select("box_id")
+    return spatial.in_any_layer(views.boxes(spark, sf), views.zones(spark, sf)).select("box_id")
+
+
+@query("JON05_no_layer", with_views("boxes", "SELECT box_id FROM boxes"))
+def jon05_none(spark, sf):
+    """Without a layer every tile stays."""
+    return spatial.in_any_layer(views.boxes(spark, sf), views.zones(spark, sf).where("layer < 0")).select("box_id")
+
+
+def diamonds(spark, sf):
+    """The zones as rings: squares on a corner, 60.25 from centre to corner."""
+    corner = lambda dx, dy: F.struct((F.col("x0") + 60 + dx).alias("x"), (F.col("y0") + 60 + dy).alias("y"))
+    ring = F.array(*[corner(dx, dy) for dx, dy in ((-60.25, 0), (0, -60.25), (60.25, 0), (0, 60.25), (-60.25, 0))])
+    return spatial.with_bounds(views.zones(spark, sf).select("layer", "zone_id", ring.alias("ring")))
+
+
+NEAR = "greatest(b.x0 - (z.x0 + 60), 0, (z.x0 + 60) - b.x1) + greatest(b.y0 - (z.y0 + 60), 0, (z.y0 + 60) - b.y1)"
+FAR = "greatest(abs(b.x0 - (z.x0 + 60)), abs(b.x1 - (z.x0 + 60))) + greatest(abs(b.y0 - (z.y0 + 60)), abs(b.y1 - (z.y0 + 60)))"
+
+
+@query("FLT09_ring_contains", with_views("boxes zones", f"SELECT b.box_id, z.zone_id FROM boxes b, zones z WHERE {FAR} <= 60.25"))
+def flt09_ring(spark, sf):
+    return spatial.spatial_join(views.boxes(spark, sf), diamonds(spark, sf), "contains", "inner").select("box_id", F.col("z_zone_id").alias("zone_id"))
+
+
+@query("FLT10_ring_intersects", with_views("boxes zones", f"SELECT b.box_id, z.zone_id FROM boxes b, zones z WHERE {NEAR} <= 60.25"))
+def flt10_ring(spark, sf):
+    return spatial.spatial_join(views.boxes(spark, sf), diamonds(spark, sf), "intersects", "inner").select("box_id", F.col("z_zone_id").alias("zone_id"))
+
+
+@query("JON06_ring_outside", with_views("boxes zones", f"SELECT b.box_id FROM boxes b WHERE NOT EXISTS (SELECT 1 FROM zones z WHERE z.layer = 1 AND {NEAR} <= 60.25)"))
+def jon06_ring(spark, sf):
+    return spatial.spatial_join(views.boxes(spark, sf), diamonds(spark, sf).where("layer = 1"), "intersects", "left_anti").select("box_id")
 
 
 @query("JON06_outside_test", with_views("boxes zones", f"SELECT b.box_id FROM boxes b WHERE NOT EXISTS (SELECT 1 FROM zones z WHERE z.layer = 1 AND {TOUCH})"))

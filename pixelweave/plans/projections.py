@@ -93,9 +93,14 @@ def prj14(spark, sf):
     return views.rgb(spark, sf).select("y", "x", out["r"].alias("r"), out["g"].alias("g"))
 
 
+def hue_weight_sql(h: str) -> tuple[str, str, str]:
+    u, w = f"cos({h} * pi() / 180)", f"sin({h} * pi() / 180)"
+    return f"(0.299e0 + 0.701e0 * {u} + 0.168e0 * {w})", f"(0.587e0 + -0.587e0 * {u} + 0.33e0 * {w})", f"(0.114e0 + -0.114e0 * {u} + -0.497e0 * {w})"
+
+
 def _hue_sql(h: str) -> str:
-    u, w, t, q = f"cos({h} * pi() / 180)", f"sin({h} * pi() / 180)", repr(1.0 / 3), repr(math.sqrt(1.0 / 3))
-    return f"avg_r * ({u} + (1 - {u}) * {t}) + avg_g * ((1 - {u}) * {t} - {q} * {w}) + avg_b * ((1 - {u}) * {t} + {q} * {w})"
+    r, g, b = hue_weight_sql(h)
+    return f"avg_r * {r} + avg_g * {g} + avg_b * {b}"
 
 
 STATS_SQL = "s AS (SELECT tile, avg(r) AS avg_r, avg(g) AS avg_g, avg(b) AS avg_b, count(*) AS pixels FROM rgb GROUP BY 1)"
@@ -155,6 +160,16 @@ def prj23(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", F.round(e, 3).alias("east"), F.round(n, 3).alias("north"))
 
 
+@query("PRJ23_utm_round_trip", "SELECT p_partkey, round(CAST((p_partkey % 3600) / 10.0 - 180 + 0.01 AS DOUBLE), 6) AS lon, round(CAST((p_partkey % 160) - 79.5 AS DOUBLE), 6) AS lat FROM part")
+def prj23_back(spark, sf):
+    """Degrees to UTM and back."""
+    p = table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % 3600 / 10.0 - 180 + 0.01).alias("lon"), (F.col("p_partkey") % 160 - 79.5).alias("lat"))
+    e, n = spatial.utm_project(F.col("lon"), F.col("lat"))
+    at = p.select("p_partkey", e.alias("e"), n.alias("n"), spatial.utm_zone(F.col("lon")).alias("zone"), (F.col("lat") < 0).alias("south"))
+    lon, lat = spatial.utm_unproject(F.col("e"), F.col("n"), F.col("zone"), F.col("south"))
+    return at.select("p_partkey", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+
+
 @query("PRJ24_buffer", with_views("boxes", "SELECT box_id, x0 + 5 AS x0, y0 + 5 AS y0, x1 - 5 AS x1, y1 - 5 AS y1 FROM boxes WHERE x0 + 5 <= x1 - 5 AND y0 + 5 <= y1 - 5"))
 def prj24(spark, sf):
     return spatial.buffer_boxes(views.boxes(spark, sf), -5)

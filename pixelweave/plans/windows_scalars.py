@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pixelweave.operators import catalog, classify, grid, imagery, masks, pandas_ops, spatial, views, vote
 from pixelweave.operators.views import table, with_views
+from pixelweave.plans.projections import hue_weight_sql
 from pixelweave.plans.registry import query
 
 HIST = "l AS (SELECT tile, 'r' AS channel, r AS bin FROM rgb UNION ALL SELECT tile, 'g', g FROM rgb UNION ALL SELECT tile, 'b', b FROM rgb), n AS (SELECT tile, channel, bin, count(*) AS n FROM l GROUP BY 1, 2, 3), e AS (SELECT t.tile, c.channel, CAST(b.b AS INT) AS bin FROM (SELECT DISTINCT tile FROM rgb) t, (SELECT unnest(['r', 'g', 'b']) AS channel) c, (SELECT unnest(generate_series(0, 255)) AS b) b), h AS (SELECT e.tile, e.channel, e.bin, coalesce(n.n, 0) AS n FROM e LEFT JOIN n USING (tile, channel, bin))"
@@ -256,9 +257,42 @@ def udf04(spark, sf):
     return pandas_ops.edt(views.masks(spark, sf)).withColumn("d", F.round("d", 6))
 
 
-@query("UDF05_colour_correction")
+def correction_sql(red: str) -> str:
+    """Averages of corrected tiles, each step of the correction as a table of its own."""
+    r, g, b = hue_weight_sql("h")
+    sr, sg, sb = hue_weight_sql("shift")
+    return with_views("rgb", f""",,px AS (SELECT tile, {red} AS r, g, b FROM rgb),
+      s AS (SELECT tile, avg(r) AS avg_r, avg(g) AS avg_g, avg(b) AS avg_b, count(*) AS pixels FROM px GROUP BY 1),
+      h AS (SELECT unnest(generate_series(0, 120)) AS h),
+      sh AS (SELECT tile, pixels, CAST(CASE WHEN avg_r >= 60 THEN 0 ELSE coalesce(min(h) FILTER (WHERE avg_r * {r} + avg_g * {g} + avg_b * {b} >= 60) + 1, 121) END AS INT) AS shift FROM s, h GROUP BY tile, pixels, avg_r),
+      t AS (SELECT tile, shift, r, g, b, CAST(floor(greatest(0.0, least(255.0, r * {sr} + g * {sg} + b * {sb}))) AS INT) AS tr FROM px JOIN sh USING (tile)),
+      long AS (SELECT tile, 'r' AS ch, tr AS v FROM t UNION ALL SELECT tile, 'g', g FROM t UNION ALL SELECT tile, 'b', b FROM t),
+      cnt AS (SELECT tile, ch, v, count(*) AS n FROM long GROUP BY 1, 2, 3),
+      kinds AS (SELECT DISTINCT tile, ch FROM long),
+      bins AS (SELECT tile, ch, CAST(unnest(generate_series(0, 255)) AS INT) AS v FROM kinds),
+      ends AS (SELECT tile, ch, v FROM bins LEFT JOIN cnt USING (tile, ch, v) JOIN sh USING (tile) WHERE coalesce(n, 0) < pixels / 2000 + 2 UNION SELECT tile, ch, 0 FROM kinds UNION SELECT tile, ch, 255 FROM kinds),
+      step AS (SELECT tile, ch, v AS low, lead(v) OVER (PARTITION BY tile, ch ORDER BY v) AS high FROM ends),
+      gap AS (SELECT tile, ch, arg_max(row(low, high), row(high - low, -low)) AS g FROM step WHERE high IS NOT NULL GROUP BY 1, 2),
+      k AS (SELECT tile, ch, 256e0 / (g[2] - g[1]) AS gain, (-g[1] / 256e0) * (256e0 / (g[2] - g[1])) AS offs FROM gap),
+      m AS (SELECT tile, max(gain) FILTER (WHERE ch = 'r') AS rg, max(offs) FILTER (WHERE ch = 'r') AS ro, max(gain) FILTER (WHERE ch = 'g') AS gg, max(offs) FILTER (WHERE ch = 'g') AS go, max(gain) FILTER (WHERE ch = 'b') AS bg, max(offs) FILTER (WHERE ch = 'b') AS bo FROM k GROUP BY 1)
+      SELECT tile, round(avg(floor(greatest(0.0, least(255.0, r * ({sr} * rg) + g * ({sg} * rg) + ro * 255)))), 4) AS r,
+        round(avg(floor(greatest(0.0, least(255.0, g * gg + go * 255)))), 4) AS g, round(avg(floor(greatest(0.0, least(255.0, b * bg + bo * 255)))), 4) AS b
+      FROM t JOIN m USING (tile) GROUP BY 1""")
+
+
+def _corrected(rgb):
+    return imagery.colour_correct(rgb).groupBy("tile").agg(*[F.round(F.avg(c), 4).alias(c) for c in imagery.CHANNELS])
+
+
+@query("UDF05_colour_correction", correction_sql("r"))
 def udf05(spark, sf):
-    return imagery.colour_correct(views.rgb(spark, sf)).groupBy("tile").agg(*[F.round(F.avg(c), 4).alias(c) for c in imagery.CHANNELS])
+    return _corrected(views.rgb(spark, sf))
+
+
+@query("UDF05_colour_correction_dim", correction_sql("r // 4"))
+def udf05_dim(spark, sf):
+    """Images with too little red, whose hue is turned."""
+    return _corrected(views.rgb(spark, sf).withColumn("r", F.floor(F.col("r") / 4).cast("int")))
 
 
 @query("UDF06_geodesic_distance")

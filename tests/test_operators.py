@@ -148,3 +148,34 @@ def test_streamed_mosaic(spark, tmp_path):
     q.awaitTermination()
     last = max(p.name for p in (tmp_path / "out").iterdir())
     assert rows(spark.read.parquet(str(tmp_path / "out" / last)), "c", "cls", "n") == [(0, 1, 2), (1, 2, 3)]
+
+
+def test_hue_by_hand(spark):
+    """h = 30 on (10, 20, 30): cosine 0.8660254, sine 0.5."""
+    got = spark.range(1).select(imagery.hue_shifted_red(F.lit(10.0), F.lit(20.0), F.lit(30.0), F.lit(30.0)).alias("r")).first().r
+    assert abs(got - (10 * 0.990083806 + 20 * 0.243643091 + 30 * -0.233226896)) < 1e-6
+
+
+def test_blue_feeds_no_red(spark):
+    df = spark.createDataFrame([("t", i, r, g, b) for i, (r, g, b) in enumerate([(100, 50, 0), (100, 50, 255)] * 40)], "tile string, y int, r int, g int, b int")
+    assert len({r.r for r in imagery.colour_correct(df).collect()}) == 1
+
+
+def test_quantiles_of_many_values(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    data = {1: rng.normal(size=5000), 2: rng.integers(0, 4, 3000).astype(float), 3: np.array([5.0]), 4: np.concatenate([np.zeros(999), [1e9]])}
+    df = spark.createDataFrame([(k, float(v)) for k, x in data.items() for v in x] + [(1, None)], "cls int, v double")
+    got = {r.cls: (r.q_lo, r.q_hi) for r in classify.class_quantiles(df, accuracy=100).collect()}
+    for k, x in data.items():
+        assert np.allclose(got[k], np.quantile(x, [0.01, 0.99]))
+
+
+def test_rings_and_boxes(spark):
+    ell = [(0, 0), (10, 0), (10, 4), (4, 4), (4, 10), (0, 10)]
+    ring = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ell])
+    boxes = [(1, 1.0, 1.0, 3.0, 3.0), (2, 3.0, 3.0, 6.0, 6.0), (3, 6.0, 6.0, 9.0, 9.0), (4, -1.0, -1.0, 11.0, 11.0), (5, 10.0, 2.0, 12.0, 3.0), (6, 0.0, 0.0, 4.0, 10.0)]
+    df = spark.createDataFrame(boxes, "box_id int, x0 double, y0 double, x1 double, y1 double")
+    got = {r.box_id: (r.c, r.t) for r in df.select("box_id", spatial.ring_contains_box(ring).alias("c"), spatial.ring_touches_box(ring).alias("t")).collect()}
+    assert got == {1: (True, True), 2: (False, True), 3: (False, False), 4: (False, True), 5: (False, True), 6: (True, True)}
