@@ -58,6 +58,21 @@ def epoch_log(df: DataFrame, run: str, epoch: str, pos: str, loss: str) -> DataF
     return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
+def require_sections(df: DataFrame, config: str, paths: tuple) -> DataFrame:
+    """df, where a JSON config without one of the dotted sections, or with an empty one, raises."""
+    got = F.col(config)
+    for p in paths:
+        found = F.get_json_object(config, f"$.{p}")
+        got = F.when(found.isNull() | (found == "{}"), F.raise_error(F.lit(f"no section {p} in config")).cast("string")).otherwise(got)
+    return df.withColumn(config, got)
+
+
+def cascade_delete(bad: DataFrame, on: str, *artefacts: DataFrame) -> list[DataFrame]:
+    """Each table of artefacts without the rows whose key stands in bad."""
+    gone = bad.select(on).distinct()
+    return [a.join(gone, on, "left_anti") for a in artefacts]
+
+
 def early_stop(df: DataFrame, patience: int, run: str = "run", epoch: str = "epoch", loss: str = "loss") -> DataFrame:
     """df with best (so far), waited (epochs since it was reached) and stop."""
     w = Window.partitionBy(run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0)

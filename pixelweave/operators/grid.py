@@ -63,6 +63,24 @@ def snap(position: Column, src: int, dst: int) -> Column:
     return F.floor((position + 0.5) * src / dst).cast("int")
 
 
+def label_cell(r: Column, c: Column, px_gt: dict, label_gt: dict) -> tuple[Column, Column]:
+    """(row, col) in the label grid under the centre of a pixel, each grid with an affine of its own."""
+    return world_to_pixel(*pixel_to_world(r, c, px_gt), label_gt)
+
+
+def snap_labels(px: DataFrame, labels: DataFrame, px_gt: dict, label_gt: dict, keys: tuple = ("scene",)) -> DataFrame:
+    """px(keys, r, c, ...) with cls of labels(keys, r, c, cls) under each pixel's centre; null off the label grid."""
+    row, col = label_cell(F.col("r"), F.col("c"), px_gt, label_gt)
+    under = labels.select(*keys, F.col("r").cast("long").alias("label_r"), F.col("c").cast("long").alias("label_c"), "cls")
+    return px.withColumn("label_r", row).withColumn("label_c", col).join(under, [*keys, "label_r", "label_c"], "left").drop("label_r", "label_c")
+
+
+def whole_tiles(labelled: DataFrame, keys: tuple) -> DataFrame:
+    """The tiles of labelled(keys, cls, ...) where no pixel lacks a label or has label 0."""
+    whole = labelled.groupBy(*keys).agg(F.bool_and(F.coalesce(F.col("cls") != 0, F.lit(False))).alias("ok")).where("ok").select(*keys)
+    return labelled.join(whole, list(keys), "left_semi")
+
+
 def strips(height: Column, width: Column, bands: int, budget: int) -> tuple[Column, Column]:
     """Rows of a strip under a pixel budget, and the number of strips."""
     rows = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / (width * bands)).cast("long"))

@@ -126,3 +126,10 @@ def softmax(a: Column) -> Column:
     top = F.array_max(a)
     e = F.transform(a, lambda x: F.exp(x - top))
     return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, v: s + v))
+
+
+def pad_square(px: DataFrame, size: int, values: tuple, keys: tuple = ("tile",)) -> DataFrame:
+    """px(keys, r, c, values) as whole size x size images, with 0 for pixels that are missing."""
+    axis = F.sequence(F.lit(0), F.lit(size - 1))
+    cells = px.select(*keys).distinct().withColumn("r", F.explode(axis)).withColumn("c", F.explode(axis))
+    return cells.join(px, [*keys, "r", "c"], "left").fillna(0, list(values))

@@ -252,7 +252,15 @@ def udf03(spark, sf):
     return d.withColumn("refined", refined).groupBy("zone", "gt", "refined").agg(F.count("*").alias("n"))
 
 
-@query("UDF04_distance_transform")
+def distance_sql(on: str, far: str) -> str:
+    """Distance of each cell where `on` to the nearest of the mask's box where not."""
+    return with_views("masks", f""",,g AS (SELECT mask_id, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM masks GROUP BY 1),
+      cells AS (SELECT mask_id, i.i AS r, j.j AS c FROM g, (SELECT unnest(generate_series(0, 31)) AS i) i, (SELECT unnest(generate_series(0, 63)) AS j) j WHERE i.i BETWEEN r0 AND r1 AND j.j BETWEEN c0 AND c1),
+      z AS (SELECT mask_id, r, c FROM cells EXCEPT SELECT mask_id, r, c FROM masks WHERE {on})
+      SELECT a.mask_id, a.r, a.c, round(sqrt(min((a.r - z.r) * (a.r - z.r) + (a.c - z.c) * (a.c - z.c))), 6) AS d FROM masks a LEFT JOIN z ON z.mask_id = a.mask_id WHERE {far} GROUP BY 1, 2, 3""")
+
+
+@query("UDF04_distance_transform", distance_sql("on_ = 1", "a.on_ = 1"))
 def udf04(spark, sf):
     return pandas_ops.edt(views.masks(spark, sf)).withColumn("d", F.round("d", 6))
 
@@ -295,7 +303,7 @@ def udf05_dim(spark, sf):
     return _corrected(views.rgb(spark, sf).withColumn("r", F.floor(F.col("r") / 4).cast("int")))
 
 
-@query("UDF06_geodesic_distance")
+@query("UDF06_geodesic_distance", distance_sql("on_ = 0", "a.on_ = 0"))
 def udf06(spark, sf):
     # with no weight on intensities the geodesic distance is the Euclidean one
     return pandas_ops.edt(views.masks(spark, sf).withColumn("on_", 1 - F.col("on_"))).withColumn("d", F.round("d", 6))
@@ -312,17 +320,14 @@ def udf08(spark, sf):
 
 
 def _stream(spark, sf, build, name: str, mode: str):
-    """Drive a stream over the line items to its end and return its result table."""
-    import uuid
-
-    from pixelweave.streaming.tiles import read_stream
-
-    schema = table(spark, sf, "lineitem").schema
-    label = f"{name}_{uuid.uuid4().hex[:8]}"
-    src = read_stream(spark, f"{sf}/lineitem.parque[t]", schema)
-    q = build(src).writeStream.outputMode(mode).format("memory").queryName(label).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(label)
+    """Drive a stream over the line items to its end, into files of the shared folder, and return what it wrote."""
+    from pixelweave.plans.sources_sinks import _scratch
+    from pixelweave.streaming.tiles import latest_batch, read_stream, result_stream
+
+    path = _scratch(spark, name)
+    src = read_stream(spark, f"{sf}/lineitem.parque[t]", table(spark, sf, "lineitem").schema)  # a pattern, since a file is no folder
+    result_stream(build(src), f"{path}/rows", f"{path}/checkpoint", mode).awaitTermination()
+    return spark.read.parquet(f"{path}/rows") if mode == "append" else latest_batch(spark, f"{path}/rows")
 
 
 @query("STR01_tile_stream", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_partkey % 256 + l_suppkey % 256 + least(255, floor(l_quantity * 5))) / 3 > 100")

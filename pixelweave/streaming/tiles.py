@@ -27,6 +27,21 @@ def mosaic_stream(px: DataFrame, target: str, checkpoint: str, keys: tuple = ("s
     return running_votes(px, keys).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(emit).trigger(availableNow=True).start()
 
 
+def latest_batch(spark: SparkSession, target: str) -> DataFrame:
+    """The rows that the last batch of mosaic_stream or result_stream wrote."""
+    rows = spark.read.parquet(target)
+    last = rows.agg(F.max("batch")).first()[0]
+    return rows.where(F.col("batch") == last).drop("batch")
+
+
+def result_stream(out: DataFrame, target: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Files of the rows so far: appended, or (complete) the whole result of each batch under target/batch=N."""
+    w = out.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        return w.format("parquet").option("path", target).start()
+    return w.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{target}/batch={batch}")).start()
+
+
 def windowed_counts(events: DataFrame, ts: str = "ts", size: str = "1 day", late: str = "1 hour", by: str = "event_type") -> DataFrame:
     """An extension: event-time windows with a watermark."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, size), by).agg(F.count("*").alias("n"))

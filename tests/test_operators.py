@@ -179,3 +179,48 @@ def test_rings_and_boxes(spark):
     df = spark.createDataFrame(boxes, "box_id int, x0 double, y0 double, x1 double, y1 double")
     got = {r.box_id: (r.c, r.t) for r in df.select("box_id", spatial.ring_contains_box(ring).alias("c"), spatial.ring_touches_box(ring).alias("t")).collect()}
     assert got == {1: (True, True), 2: (False, True), 3: (False, False), 4: (False, True), 5: (False, True), 6: (True, True)}
+
+
+def test_snap_between_affines(spark):
+    fine, coarse = {"a": 0.5, "b": 0.0, "c": 0.0, "d": 0.0, "e": -0.5, "f": 0.0}, {"a": 1.0, "b": 0.0, "c": 1.0, "d": 0.0, "e": -1.0, "f": 0.0}
+    px = spark.createDataFrame([("s", 0, c) for c in range(6)], "scene string, r int, c int")
+    labels = spark.createDataFrame([("s", 0, 0, 7), ("s", 0, 1, 0)], "scene string, r int, c int, cls int")
+    got = grid.snap_labels(px, labels, fine, coarse)
+    assert rows(got, "c", "cls") == [(0, None), (1, None), (2, 7), (3, 7), (4, 0), (5, 0)]
+    assert rows(grid.whole_tiles(got.withColumn("tx", F.floor(F.col("c") / 2)), ("tx",)), "c") == [(2,), (3,)]
+
+
+def test_boxes_grow_where_the_context_is_alike(spark):
+    box = spark.createDataFrame([("i", 1, 10, 10, 30, 30), ("i", 2, 1, 1, 21, 21)], "image string, box_id int, x0 long, y0 long, x1 long, y1 long")
+    like = spark.createDataFrame([("i", r, c) for r in range(64) for c in (8, 9, 30)], "image string, r int, c int")
+    got = {b.box_id: (b.x0, b.y0, b.x1, b.y1) for b in masks.expand_boxes(box, like, 64, 64, 0.5).collect()}
+    assert got == {1: (8, 10, 30, 30), 2: (1, 1, 21, 21)}  # half of the right strip is not more than half; box 2 stands at the edge
+
+
+def test_config_sections_must_exist(spark):
+    one = lambda text: spark.createDataFrame([(text,)], "config string")
+    assert catalog.require_sections(one('{"a": {"b": {"c": 1}}}'), "config", ("a", "a.b")).count() == 1
+    for text in ('{"a": {}}', "{}", '{"a": {"b": {}}}'):
+        with pytest.raises(Exception, match="no section"):
+            catalog.require_sections(one(text), "config", ("a", "a.b")).collect()
+
+
+def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    from pixelweave.streaming import tiles
+
+    px = spark.createDataFrame([("s", 0, 0, 1), ("s", 0, 0, 2), ("s", 0, 1, 3)], "scene string, r int, c int, cls int")
+    read, seen = [], f"file://{tmp_path}/in"
+    for part in (px, px.where("cls = 2"), px.where("false")):
+        part.write.mode("append").parquet(seen)
+        q = tiles.mosaic_stream(tiles.read_stream(spark, seen, px.schema), f"file://{tmp_path}/rows", f"file://{tmp_path}/checkpoint")
+        q.awaitTermination()
+        read.append(sum(p["numInputRows"] for p in q.recentProgress))
+    assert read == [3, 1, 0]  # what was read once is not read again
+    assert rows(tiles.latest_batch(spark, f"file://{tmp_path}/rows"), "c", "cls", "n") == [(0, 2, 2), (1, 3, 1)]
+
+
+def test_pad_and_prompt(spark):
+    px = spark.createDataFrame([("t", 0, 1, 5)], "tile string, r int, c int, v int")
+    assert rows(imagery.pad_square(px, 2, ("v",)), "r", "c", "v") == [(0, 0, 0), (0, 1, 5), (1, 0, 0), (1, 1, 0)]
+    w = spark.createDataFrame([(1, 0.5), (1, 0.0), (0, 0.5)], "on int, w double")
+    assert [r.p for r in w.select(masks.weighted_prompt(F.col("on"), F.col("w")).alias("p")).collect()] == [7.5, 15.0, -7.5]
