@@ -63,7 +63,7 @@ def prj33_weighted(spark, sf):
     return views.prob(spark, sf).select("scene", "cls", "r", "c", F.round(masks.weighted_prompt((F.col("v") > 40000).cast("int"), weight), 6).alias("p"))
 
 
-@query("AGG30_context_strips", with_views("prob boxes", """,,l AS (SELECT DISTINCT scene, r, c FROM prob WHERE v > 55000 AND cls <= 3),
+@query("AGG30_context_strips", with_views("prob boxes", """,,l AS (SELECT DISTINCT scene, r, c FROM prob WHERE v > 75000 AND cls <= 2),
   b AS (SELECT box_id, substr('ANR', CAST(box_id % 3 + 1 AS INT), 1) AS scene, CAST(x0 % 45 AS BIGINT) AS x0, CAST(y0 % 20 AS BIGINT) AS y0, CAST(x0 % 45 AS BIGINT) + 12 AS x1, CAST(y0 % 20 AS BIGINT) + 11 AS y1 FROM boxes),
   s AS (SELECT box_id, scene, 'x0' AS side, x0 - 1.2 AS e, CAST(trunc(x0 - 1.2) AS BIGINT) AS ax, x0 AS bx, y0 AS ya, y1 AS yb FROM b WHERE trunc(x0 - 1.2) > 0
     UNION ALL SELECT box_id, scene, 'x1', x1 + 1.2, x1, CAST(trunc(x1 + 1.2) AS BIGINT), y0, y1 FROM b WHERE trunc(x1 + 1.2) < 64
@@ -72,7 +72,7 @@ def prj33_weighted(spark, sf):
   n AS (SELECT s.box_id, s.side, CAST(trunc(e) AS BIGINT) AS e FROM s JOIN l ON l.scene = s.scene AND l.c >= s.ax AND l.c < s.bx AND l.r >= s.ya AND l.r < s.yb GROUP BY s.box_id, s.side, s.e, s.ax, s.bx, s.ya, s.yb HAVING CAST(count(*) AS DOUBLE) / ((bx - ax) * (yb - ya)) > 0.5)
   SELECT box_id, scene, """ + ", ".join(f"coalesce((SELECT max(e) FROM n WHERE n.box_id = b.box_id AND n.side = '{k}'), {k}) AS {k}" for k in ("x0", "y0", "x1", "y1")) + " FROM b"))
 def agg30_strips(spark, sf):
-    like = views.prob(spark, sf).where("v > 55000 AND cls <= 3")
+    like = views.prob(spark, sf).where("v > 75000 AND cls <= 2")
     x, y = (F.col("x0") % 45).cast("long"), (F.col("y0") % 20).cast("long")
     scene = F.substring(F.lit("ANR"), (F.col("box_id") % 3 + 1).cast("int"), F.lit(1))
     b = views.boxes(spark, sf).select("box_id", scene.alias("scene"), x.alias("x0"), y.alias("y0"), (x + 12).alias("x1"), (y + 11).alias("y1"))
