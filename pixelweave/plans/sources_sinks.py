@@ -114,7 +114,11 @@ def _scratch(spark, label: str) -> str:
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        base = "file://" + tempfile.gettempdir()
     return f"{base.rstrip('/')}/pixelweave-{label}-{uuid.uuid4().hex}"
 
 
