@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         where = "file://" + tempfile.mkdtemp(prefix="pixelweave-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
