@@ -187,21 +187,29 @@ def text_encoder(ranks_path: str, pattern: str) -> TextEncoder:
     return worker_state(("byte_bpe", ranks_path, pattern), lambda: TextEncoder(ranks_path, pattern))
 
 
-def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", extra: tuple = ()) -> DataFrame:
-    """docs with one more column: the ids of each text, little-endian unsigned 32-bit. A narrow map: no shuffle."""
+def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None) -> DataFrame:
+    """docs with one more column: the ids of each text, little-endian unsigned 32-bit. A narrow map: no shuffle.
+
+    With decoded, a column of that name has the bytes that those ids stand for: as decode_ids() after it would add, but
+    in the same Python worker, so that a task holds one vocabulary and not two.
+    """
     at = docs.columns.index(text)
+    more = [ids] if decoded is None else [ids, decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = text_encoder(ranks_path, pattern).encode
+        coder = text_encoder(ranks_path, pattern)
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 part = batch.slice(lo, 512)
-                coded = [enc(t or "") for t in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(coded, pa.binary())], [*part.schema.names, ids])
+                coded = [coder.encode(t or "") for t in part.column(at).to_pylist()]
+                columns = [pa.array(coded, pa.binary())]
+                if decoded is not None:
+                    columns.append(pa.array(list(map(coder.bpe.decode, coded)), pa.binary()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *more])
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.BinaryType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *[T.StructField(n, T.BinaryType()) for n in more]]))
 
 
 def decode_ids(rows: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -227,8 +235,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = P.path("byte_bpe_multi_50k.tiktoken")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = encode_texts(docs, path, P.PATTERN).select("doc_id", "token_ids")
-    back = decode_ids(coded, path, P.PATTERN)
+    back = encode_texts(docs, path, P.PATTERN, decoded="decoded")
     return back.select("doc_id", (F.length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

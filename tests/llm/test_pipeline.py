@@ -39,5 +39,9 @@ def test_odd_documents(spark, sf):
     assert told.count() == 3
     one = cp.near_dup_stage(spark, told, sf)
     assert [r.doc_id for r in one.collect()] == [5]
-    for _, step in cp.STAGES[:3]:
+    for _, step in cp.STAGES:
         assert step(spark, docs.limit(0), sf).count() == 0
+    clash = docs.withColumn("decoded", F.lit(1)).withColumn("token_ids", F.lit(2)).withColumn("copies", F.lit(3)).withColumn("mix_key", F.lit(4))
+    assert cp.mixing_stage(spark, clash, sf).columns == clash.columns
+    out = cp.bpe_stage(spark, clash, sf).collect()
+    assert sorted(r.n_tokens for r in out)[:1] == [0] and [r.doc_id for r in out].count(5) == 2 and len(out) == 6

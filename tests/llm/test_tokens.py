@@ -79,6 +79,8 @@ def test_byte_bpe_frame(spark):
     coded = byte_bpe.encode_texts(df, RANKS, P.PATTERN)
     back = byte_bpe.decode_ids(coded.drop("decoded"), RANKS, P.PATTERN)
     assert sorted(bytes(r.decoded).decode() for r in back.collect()) == ["", "Größe 漢字", "a"]
+    both = byte_bpe.encode_texts(df.drop("decoded"), RANKS, P.PATTERN, decoded="decoded").select(*back.columns)
+    assert sorted(both.drop("text").collect(), key=str) == sorted(back.drop("text").collect(), key=str)
     assert byte_bpe.encode_texts(df.limit(0), RANKS, P.PATTERN).count() == 0
 
 
