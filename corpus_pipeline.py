@@ -38,7 +38,12 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and leaves out whole documents so that sources meet their targets."""
+    """Repeats and leaves out whole documents so that sources meet their targets.
+
+    A null source is a source of its own, the last one; texts that are null or have no word weigh nothing and are taken
+    as often as what lies beside them in their shard; of rows equal in id and text each is taken as often as the one of
+    them taken least; an empty table gives no rows; other columns, whatever their names, are kept.
+    """
     key, copies = own_name(docs, "mix_key"), own_name(docs, "copies")
     mix = mixing.mix_sources(docs).groupBy(F.col("key").alias(key)).agg(F.min("copies").alias(copies)).where(F.col(copies) > 0)
     taken = docs.withColumn(key, mixing.row_key("doc_id", "text")).join(mix, key)
@@ -47,12 +52,15 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and the digest of what they decode to."""
+    """Token ids of each text, and the digest of what they decode to.
+
+    A null text counts as empty and has no ids; equal rows are coded each; an empty table gives no rows; columns other
+    than doc_id, source and text, whatever their names, are left out.
+    """
     import public_tokenizers as P
 
     path = P.path("byte_bpe_multi_50k.tiktoken")
-    coded = byte_bpe.encode_texts(docs.select("doc_id", "source", "text"), path, P.PATTERN).select("doc_id", "source", "token_ids")
-    back = byte_bpe.decode_ids(coded, path, P.PATTERN)
+    back = byte_bpe.encode_texts(docs.select("doc_id", "source", "text"), path, P.PATTERN, decoded="decoded")
     return back.select("doc_id", "source", (F.length("token_ids") / 4).cast("long").alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
