@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from pixelweave.llm.common import Recent, read_table, worker_state
 
-#: Pieces, units and pairs of tokens that a memo remembers, in each of its two generations: about 35 MB a worker in all.
-MEMO = 60_000
+#: Pieces, units and pairs of tokens that a memo remembers, in each of its two generations: about 50 MB a worker in all.
+MEMO = 90_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
