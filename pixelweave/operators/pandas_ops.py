@@ -8,24 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-
-def nearest_index(on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each cell the squared distance to the nearest set cell and that cell's flat index; of equals the smallest row, then column."""
-    h, w = on.shape
-    rows = np.arange(h)
-    # down each column: nearest set row above (or here) and below; above wins ties as the smaller row
-    up = np.maximum.accumulate(np.where(on, rows[:, None], -(10**9)), axis=0)
-    down = np.minimum.accumulate(np.where(on, rows[:, None], 10**9)[::-1], axis=0)[::-1]
-    pick = np.where(rows[:, None] - up <= down - rows[:, None], up, down)
-    dr = np.abs(pick - rows[:, None]).astype(np.float64)
-    best, at = np.full((h, w), np.inf), np.full((h, w), -1, np.int64)
-    cols = np.arange(w)
-    for c in range(w):  # each source column against all target columns
-        d = dr[:, c][:, None] ** 2 + (cols - c)[None, :] ** 2
-        flat = (pick[:, c] * w + c)[:, None]
-        better = (np.abs(dr[:, c]) < 10**8)[:, None] & ((d < best) | ((d == best) & (flat < at)))
-        best, at = np.where(better, d, best), np.where(better, flat, at)
-    return best, at
+from pixelweave.operators.nearest import fill_nearest, nearest_index  # noqa: F401
+from pixelweave.operators.regions import tile_runs
 
 
 def _grid(df: pd.DataFrame, value: str, fill) -> tuple[np.ndarray, int, int]:
@@ -48,36 +32,14 @@ def edt(m: DataFrame, key: str = "mask_id", on: str = "on_") -> DataFrame:
     return m.groupBy(key).applyInPandas(run, f"{key} string, r int, c int, d double")
 
 
-def fill_nearest(px: DataFrame, key: str = "tile", cls: str = "cls") -> DataFrame:
-    """(key, r, c, cls): unlabelled pixels (null) take the class of the nearest labelled one; of equals that of the smallest row, then column."""
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        v, r0, c0 = _grid(df.assign(**{cls: df[cls].fillna(-1).astype(int)}), cls, -1)
-        d2, at = nearest_index(v >= 0)
-        got = np.where(at >= 0, v.ravel()[np.maximum(at, 0)], -1)[df["r"] - r0, df["c"] - c0]
-        filled = pd.Series(got, index=df.index).astype("Int32").mask(got < 0)
-        return pd.DataFrame({key: df[key], "r": df["r"], "c": df["c"], "cls": filled})
-
-    return px.groupBy(key).applyInPandas(run, f"{key} string, r int, c int, cls int")
-
-
 def label_components(g: np.ndarray) -> np.ndarray:
-    """8-neighbour components of a boolean grid: 0 outside, else 1 + the smallest flat index of the component, renumbered in order."""
-    h, w = g.shape
-    lab = np.where(g, np.arange(h * w).reshape(h, w), h * w)
-    while True:
-        p = np.pad(lab, 1, constant_values=h * w)
-        low = np.minimum.reduce([p[i : i + h, j : j + w] for i in range(3) for j in range(3)])
-        low = np.where(g, low, h * w)
-        # jump to the label of the label
-        flat = low.ravel()
-        nxt = np.where(flat < h * w, np.append(flat, h * w)[np.minimum(flat, h * w)], h * w).reshape(h, w)
-        nxt = np.where(g, np.minimum(nxt, low), h * w)
-        if (nxt == lab).all():
-            break
-        lab = nxt
-    ids = np.unique(lab[g])
-    return np.where(g, np.searchsorted(ids, lab) + 1, 0)
+    """8-neighbour components of a boolean grid: 0 outside, else numbers from 1 by first cell in reading order."""
+    out = np.zeros(g.shape, np.int64)
+    rr, cc = np.nonzero(g)
+    if len(rr):
+        _, lo, hi, root = tile_runs(rr, cc)
+        out[rr, cc] = np.repeat(np.unique(root, return_inverse=True)[1] + 1, hi - lo + 1)
+    return out
 
 
 def components(m: DataFrame, key: str = "mask_id", on: str = "on_") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pixelweave.operators import catalog, classify, grid, metrics, pandas_ops, spatial, views, vote
+from pixelweave.operators import catalog, classify, grid, metrics, nearest, spatial, views, vote
 from pixelweave.operators.views import table, with_views
 from pixelweave.plans.registry import query
 
@@ -266,7 +266,7 @@ SMALL = "SELECT 'A' AS tile, r, c, CASE WHEN min(cls) > 1 THEN NULL ELSE max(CAS
 def jon17(spark, sf):
     p = views.prob(spark, sf).where("scene = 'A' AND r < 12 AND c < 12").groupBy("r", "c")
     t = p.agg(F.when(F.min("cls") <= 1, F.max(F.when(F.col("v") > 30000, 2).otherwise(1))).alias("cls")).withColumn("tile", F.lit("A"))
-    return pandas_ops.fill_nearest(t.select("tile", "r", "c", "cls"))
+    return nearest.fill_nearest(t.select("tile", "r", "c", "cls"))
 
 
 SCENES = "SELECT scene AS tile, r, c, CASE WHEN min(cls) > 1 THEN NULL ELSE max(CASE WHEN v > 30000 THEN 2 ELSE 1 END) END AS cls FROM prob GROUP BY 1, 2, 3"
@@ -275,7 +275,7 @@ SCENES = "SELECT scene AS tile, r, c, CASE WHEN min(cls) > 1 THEN NULL ELSE max(
 @query("JON17_fill_nearest_scenes", with_views("prob", f",,t AS ({SCENES}), k AS (SELECT tile, r, c, cls FROM t WHERE cls IS NOT NULL) SELECT t.tile, t.r, t.c, arg_min(k.cls, row((k.r - t.r) * (k.r - t.r) + (k.c - t.c) * (k.c - t.c), k.r, k.c)) AS cls FROM t LEFT JOIN k ON k.tile = t.tile GROUP BY 1, 2, 3"))
 def jon17_scenes(spark, sf):
     t = views.prob(spark, sf).groupBy(F.col("scene").alias("tile"), "r", "c").agg(F.when(F.min("cls") <= 1, F.max(F.when(F.col("v") > 30000, 2).otherwise(1))).alias("cls"))
-    return pandas_ops.fill_nearest(t)
+    return nearest.fill_nearest(t)
 
 
 @query("JON18_align_grids", with_views("prob", ",,lab AS (SELECT r, c, min(cls) AS cls FROM prob WHERE scene = 'N' GROUP BY 1, 2), px AS (SELECT DISTINCT r, c FROM prob WHERE scene = 'R') SELECT px.r, px.c, lab.cls FROM px LEFT JOIN lab ON lab.r = CAST(floor((px.r + 0.5) * 16 / 32) AS INT) AND lab.c = CAST(floor((px.c + 0.5) * 32 / 64) AS INT)"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pixelweave.operators import classify, imagery, views
 from pixelweave.operators.views import table, with_views
 from pixelweave.plans.registry import query
+from pixelweave.scratch import scratch_path
 
 WANTED = ["class_1", "class_2", "class_3"]
 
@@ -109,25 +110,12 @@ def snk13(spark, sf):
     return p.groupBy("scene", "z", at("c").alias("x"), at("r").alias("y")).agg(F.count("*").alias("n"))
 
 
-def _scratch(spark, label: str) -> str:
-    """A path in the folder that driver and executors share, or a local one in tests."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-        base = "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/pixelweave-{label}-{uuid.uuid4().hex}"
-
-
 @query("SNK01_tiles", with_views("votes", "SELECT scene AS ortho_id, r, c, cls, count(*) AS n FROM votes GROUP BY 1, 2, 3, 4"))
 def snk01(spark, sf):
     from pixelweave.operators.vote import vote_counts
     from pixelweave.sources import sinks
 
-    path = _scratch(spark, "tiles")
+    path = scratch_path(spark, "tiles")
     sinks.write_tiles(vote_counts(views.votes(spark, sf)).withColumnRenamed("scene", "ortho_id"), path)
     return spark.read.parquet(path).select("ortho_id", "r", "c", "cls", "n")
 
@@ -136,7 +124,7 @@ def snk01(spark, sf):
 def snk02(spark, sf):
     from pixelweave.sources import sinks
 
-    path = _scratch(spark, "classified")
+    path = scratch_path(spark, "classified")
     sinks.write_classified(classify.classify(views.prob(spark, sf)).drop("v"), path, {k: f"class_{k}" for k in range(1, 6)})
     return spark.read.parquet(path)
 
@@ -147,7 +135,7 @@ def snk04(spark, sf):
     from pixelweave.operators.vote import plurality, vote_counts
 
     colours = spark.createDataFrame([(k, 40 * k) for k in range(1, 6)], "cls int, red int")
-    path = _scratch(spark, "mosaic")
+    path = scratch_path(spark, "mosaic")
     with_class_info(plurality(vote_counts(views.votes(spark, sf))).drop("n"), colours).write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path).select("scene", "r", "c", "cls", "red")
 
@@ -156,7 +144,7 @@ def snk04(spark, sf):
 def snk06(spark, sf):
     from pixelweave.sources import files, sinks
 
-    path = _scratch(spark, "csv")
+    path = scratch_path(spark, "csv")
     sinks.write_csv(views.orthos(spark, sf).select(F.col("path").alias("root_folder"), F.concat(F.lit("ortho_"), F.col("ortho_id").cast("string")).alias("ortho_name")), path)
     return files.ortho_csv(spark, path)
 
@@ -165,7 +153,7 @@ def snk06(spark, sf):
 def src05(spark, sf):
     from pixelweave.sources import files, sinks
 
-    path = _scratch(spark, "sessions")
+    path = scratch_path(spark, "sessions")
     sinks.write_csv(views.sessions(spark, sf).select(F.lit("root").alias("root_folder"), F.col("session").alias("session_name")), path)
     return files.session_csv(spark, path)
 
@@ -180,7 +168,7 @@ def src06(spark, sf):
     geo = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
     layer = F.sort_array(F.collect_list(F.struct("zone_id", F.struct(geo.alias("geometry")).alias("f"))))
     doc = z.agg(F.to_json(F.struct(F.struct(F.struct(F.lit("EPSG:32740").alias("name")).alias("properties")).alias("crs"), F.transform(layer, lambda s: s["f"]).alias("features"))).alias("value"))
-    path = _scratch(spark, "geojson")
+    path = scratch_path(spark, "geojson")
     doc.write.text(path)
     rows = files.geojson(spark, path, "zones")
     return rows.groupBy(F.col("feature_id").alias("zone_id")).agg(F.count("*").cast("int").alias("points"), F.min("x").alias("x0"), F.max("y").alias("y1"))
@@ -190,7 +178,7 @@ def src06(spark, sf):
 def src08(spark, sf):
     from pixelweave.sources import files
 
-    path = _scratch(spark, "env")
+    path = scratch_path(spark, "env")
     table(spark, sf, "region").select(F.concat(F.lit("TOKEN_"), F.col("r_regionkey").cast("string"), F.lit("="), F.col("r_name")).alias("value")).write.text(path)
     return files.env_file(spark, path)
 
@@ -199,7 +187,7 @@ def src08(spark, sf):
 def src20(spark, sf):
     from pixelweave.sources import files
 
-    path = _scratch(spark, "colours")
+    path = scratch_path(spark, "colours")
     line = F.concat_ws(" ", F.col("n_nationkey").cast("string"), (F.col("n_nationkey") * 7 % 256).cast("string"), F.lit("0"), F.lit("128"), F.lit("127"))
     table(spark, sf, "nation").select(line.alias("value")).write.text(path)
     return files.colour_table(spark, path)
@@ -223,7 +211,7 @@ def src18(spark, sf):
 def snk15(spark, sf):
     from pixelweave.sources import sinks
 
-    path, t = _scratch(spark, "once"), table(spark, sf, "region")
+    path, t = scratch_path(spark, "once"), table(spark, sf, "region")
     sinks.write_once(t, path)
     sinks.write_once(t.where("false"), path)  # leaves what is there
     return spark.read.parquet(path)

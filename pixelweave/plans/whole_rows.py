@@ -110,10 +110,10 @@ def src07_sections(spark, sf):
 @query("STR03_resumed_mosaic", with_views("votes", ",,n AS (SELECT scene, r, c, cls, count(*) AS n FROM votes GROUP BY 1, 2, 3, 4) SELECT scene, r, c, arg_max(cls, row(n, -cls)) AS cls, max(n) AS n FROM n GROUP BY 1, 2, 3"))
 def str03(spark, sf):
     """A mosaic stream that ends, finds more files, and goes on from its checkpoint."""
-    from pixelweave.plans.sources_sinks import _scratch
+    from pixelweave.scratch import scratch_path
     from pixelweave.streaming.tiles import latest_batch, mosaic_stream, read_stream
 
-    path = _scratch(spark, "resumed")
+    path = scratch_path(spark, "resumed")
     votes = views.votes(spark, sf)
     for even in (0, 1):
         votes.where(F.col("r") % 2 == even).write.mode("append").parquet(f"{path}/in")

@@ -321,10 +321,10 @@ def udf08(spark, sf):
 
 def _stream(spark, sf, build, name: str, mode: str):
     """Drive a stream over the line items to its end, into files of the shared folder, and return what it wrote."""
-    from pixelweave.plans.sources_sinks import _scratch
+    from pixelweave.scratch import scratch_path
     from pixelweave.streaming.tiles import latest_batch, read_stream, result_stream
 
-    path = _scratch(spark, name)
+    path = scratch_path(spark, name)
     src = read_stream(spark, f"{sf}/lineitem.parque[t]", table(spark, sf, "lineitem").schema)  # a pattern, since a file is no folder
     result_stream(build(src), f"{path}/rows", f"{path}/checkpoint", mode).awaitTermination()
     return spark.read.parquet(f"{path}/rows") if mode == "append" else latest_batch(spark, f"{path}/rows")

@@ -33,6 +33,16 @@ def geojson(spark: SparkSession, path: str, layer: str) -> DataFrame:
     return pts.select(F.lit(layer).alias("layer"), "feature_id", "crs", "part", "ring", "seq", F.col("xy")[0].alias("x"), F.col("xy")[1].alias("y"))
 
 
+def geojson_lines(spark: SparkSession, path: str, layer: str) -> DataFrame:
+    """(layer, feature_id, part, ring, seq, x, y) of features with a numeric id, one a line, read in parallel; features without geometry give no rows."""
+    f = spark.read.schema("id long, geometry struct<type:string,coordinates:string>").json(path).where("geometry is not null")
+    multi = F.when(F.col("geometry.type") == "Polygon", F.concat(F.lit("["), F.col("geometry.coordinates"), F.lit("]"))).when(F.col("geometry.type") == "MultiPolygon", F.col("geometry.coordinates"))
+    parts = f.select(F.col("id").alias("feature_id"), F.posexplode(F.from_json(multi, "array<array<array<array<double>>>>")).alias("part", "p"))
+    rings = parts.select("feature_id", "part", F.posexplode("p").alias("ring", "pts"))
+    pts = rings.select("feature_id", "part", "ring", F.posexplode("pts").alias("seq", "xy"))
+    return pts.select(F.lit(layer).alias("layer"), "feature_id", "part", "ring", "seq", F.col("xy")[0].alias("x"), F.col("xy")[1].alias("y"))
+
+
 def env_file(spark: SparkSession, path: str) -> DataFrame:
     """(key, value) of lines key=value; a line without exactly one equals sign raises."""
     lines = spark.read.text(path).where(F.trim("value") != "")
