@@ -109,3 +109,39 @@ def drop_out_of_range_tiles(label_px: DataFrame, lo: int, hi: int, keys: tuple)
     """label_px without the tiles that hold a class outside lo..hi."""
     bad = label_px.where(~F.col("cls").between(lo, hi) | F.col("cls").isNull()).select(*keys).distinct()
     return label_px.join(bad, list(keys), "left_anti")
+
+
+def resize_bilinear(logits: DataFrame, classes: int, h: int, w: int, height: int, width: int, keys: tuple = ("scene",), value: str = "v") -> DataFrame:
+    """(keys, r, c, values): logits(keys, r, c, cls 1..classes, value) of h x w pixels as array<double> by class at height x width.
+
+    The centre of a target pixel falls between four source pixels, clamped to the border, which are weighted by nearness. Each
+    source pixel sends its weighted classes to the targets around it, so that sums are partial before the one shuffle of targets.
+    Missing logits are zero.
+    """
+    one = lambda k: F.coalesce(F.max(F.when(F.col("cls") == k, F.col(value).cast("double"))), F.lit(0.0))
+    px = logits.groupBy(*keys, "r", "c").agg(F.array(*[one(k) for k in range(1, classes + 1)]).alias("v"))
+
+    def targets(at: Column, src: int, dst: int) -> Column:
+        """Targets of a source position with their weights."""
+        scale = src / dst
+        lo, hi = F.floor((at - 0.5) / scale - 0.5), F.ceil((at + 1.5) / scale - 0.5)
+        span = F.sequence(F.greatest(lo, F.lit(0)), F.least(hi, F.lit(dst - 1)))
+
+        def weight(t: Column) -> Column:
+            place = F.greatest((t + 0.5) * scale - 0.5, F.lit(0.0))
+            first = F.floor(place)
+            share = place - first
+            second = F.least(first + 1, F.lit(src - 1))
+            return F.when(first == at, 1 - share).otherwise(0.0) + F.when(second == at, share).otherwise(0.0)
+
+        return F.filter(F.transform(span, lambda t: F.struct(t.cast("int").alias("t"), weight(t).alias("w"))), lambda p: p["w"] > 0)
+
+    sent = px.withColumn("tr", F.explode(targets(F.col("r"), h, height))).withColumn("tc", F.explode(targets(F.col("c"), w, width)))
+    weighted = sent.select(*keys, F.col("tr.t").alias("r"), F.col("tc.t").alias("c"), F.transform("v", lambda x: x * (F.col("tr.w") * F.col("tc.w"))).alias("v"))
+    sums = weighted.groupBy(*keys, "r", "c").agg(*[F.sum(F.col("v")[k]).alias(f"v{k}") for k in range(classes)])
+    return sums.select(*keys, "r", "c", F.array(*[f"v{k}" for k in range(classes)]).alias("values"))
+
+
+def label_of(values: Column) -> Column:
+    """The class, from 1, of the largest value, the first of equals."""
+    return F.array_position(values, F.array_max(values)).cast("int")

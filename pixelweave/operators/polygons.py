@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelweave.scratch import stage
+
 #: A border cell with more edges is cut, down to DEPTH levels below the root; all are cut LEAST levels.
 MAX_EDGES = 8
 DEPTH = 14
@@ -98,7 +100,7 @@ def cover(e: np.ndarray, max_edges: int = MAX_EDGES, depth: int = DEPTH, least:
 
 
 def cover_cells(edges: DataFrame, keys: tuple = ("layer", "feature_id"), max_edges: int = MAX_EDGES, depth: int = DEPTH) -> DataFrame:
-    """(keys, fields of CELL): the cover of each polygon of edges(keys, ax, ay, bx, by)."""
+    """(keys, fields of CELL): the cover of each polygon of edges(keys, ax, ay, bx, by), written to the shared folder, as it is read more than once."""
     fields = [f.split()[0] for f in CELL.split(", ")]
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
@@ -108,7 +110,7 @@ def cover_cells(edges: DataFrame, keys: tuple = ("layer", "feature_id"), max_edg
         return out
 
     schema = ", ".join([*(f"`{c}` {edges.schema[c].dataType.simpleString()}" for c in keys), CELL])
-    return edges.select(*keys, "ax", "ay", "bx", "by").groupBy(*keys).applyInPandas(run, schema)
+    return stage(edges.select(*keys, "ax", "ay", "bx", "by").groupBy(*keys).applyInPandas(run, schema), "cover")
 
 
 def _edge_list(flat: Column) -> Column:
@@ -214,9 +216,16 @@ def slab_cover(box: tuple, parts: list[tuple[np.ndarray, list[tuple]]]) -> tuple
     crossings no edges cross, so that the box falls into trapezoids, each covered or not as its middle is.
     """
     x0, y0, x1, y1 = box
+    near = []
+    for e, cells in parts:
+        lo, hi = np.minimum(e[:, :2], e[:, 2:]), np.maximum(e[:, :2], e[:, 2:])
+        e = e[(lo < (x1, y1)).all(1) & (hi > (x0, y0)).all(1)]
+        if len(e):
+            near.append((e, cells))
+        elif part_has(cells, (x0 + x1) / 2, (y0 + y1) / 2):  # no edge cuts the box: all of it is inside
+            return (x1 - x0) * (y1 - y0), True
+    parts = near
     e = np.concatenate([p for p, _ in parts]) if parts else np.empty((0, 4))
-    lo, hi = np.minimum(e[:, :2], e[:, 2:]), np.maximum(e[:, :2], e[:, 2:])
-    e = e[(lo <= (x1, y1)).all(1) & (hi >= (x0, y0)).all(1)]
     stops = {x0, x1, *e[:, 0].tolist(), *e[:, 2].tolist()}
     # the box's lower and upper side cut edges too
     lines = np.concatenate([e, [[x0, y0, x1, y0], [x0, y1, x1, y1]]])
@@ -263,7 +272,7 @@ def coverage(boxes: DataFrame, cells: DataFrame, box: str = "box_id", keys: tupl
     A box is settled from the cells that meet it, whatever the size of the polygons or of their union; boxes in one
     inner cell need no sweep. Boxes that meet no polygon are left out.
     """
-    met = meetings(boxes, cells, box, keys)
+    met = stage(meetings(boxes, cells, box, keys), "meetings")
     s = _size(F.col("k"))
     around = F.col("whole") & (F.col("x0") >= F.col("ix") * s) & (F.col("x1") <= (F.col("ix") + 1) * s) & (F.col("y0") >= F.col("iy") * s) & (F.col("y1") <= (F.col("iy") + 1) * s)
     easy = met.where(around).select(box, *over, ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"), F.lit(True).alias("covered")).distinct()
@@ -280,7 +289,9 @@ def coverage(boxes: DataFrame, cells: DataFrame, box: str = "box_id", keys: tupl
 
     kinds = {f.name: f.dataType.simpleString() for f in met.schema.fields}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (box, *over)), "area double, covered boolean"])
-    return easy.union(rest.groupBy(box, *over).applyInPandas(run, schema))
+    # few bytes, much work: as many tasks as set, not as few as the bytes would do with
+    parts = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return easy.union(rest.repartition(parts, box, *over).groupBy(box, *over).applyInPandas(run, schema))
 
 
 def buffered(edges: DataFrame, by: float, keys: tuple = ("layer", "feature_id"), segments: int = 16) -> DataFrame:
