@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from pixelweave.llm.common import Recent, read_table, worker_state
 
-#: Pieces, units and pairs of tokens that a memo remembers, in each of its two generations: about 50 MB a worker in all.
-MEMO = 90_000
+#: Pieces, units and pairs of tokens that a memo remembers, in each of its two generations: about 35 MB a worker in all.
+MEMO = 60_000
+#: The same where encoding has the executor to itself: about 140 MB a worker.
+LARGE_MEMO = 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -183,13 +185,16 @@ class TextEncoder:
         return self.bpe.encode_unit(first) + b"".join(map(self.units.__getitem__, rest))
 
 
-def text_encoder(ranks_path: str, pattern: str) -> TextEncoder:
-    return worker_state(("byte_bpe", ranks_path, pattern), lambda: TextEncoder(ranks_path, pattern))
+def text_encoder(ranks_path: str, pattern: str, memo: int = MEMO) -> TextEncoder:
+    return worker_state(("byte_bpe", ranks_path, pattern, memo), lambda: TextEncoder(ranks_path, pattern, memo))
 
 
-def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None) -> DataFrame:
+def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None, memo: int = MEMO) -> DataFrame:
     """docs with one more column: the ids of each text, little-endian unsigned 32-bit. A narrow map: no shuffle.
 
+    Texts are cut before single spaces, which holds for patterns that, like those of the public byte-level vocabularies,
+    join a space to the piece behind it and never to one before.
+
     With decoded, a column of that name has the bytes that those ids stand for: as decode_ids() after it would add, but
     in the same Python worker, so that a task holds one vocabulary and not two.
     """
@@ -197,7 +202,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text: str = "te
     more = [ids] if decoded is None else [ids, decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = text_encoder(ranks_path, pattern)
+        coder = text_encoder(ranks_path, pattern, memo)
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 part = batch.slice(lo, 512)
@@ -235,7 +240,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = P.path("byte_bpe_multi_50k.tiktoken")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = encode_texts(docs, path, P.PATTERN, decoded="decoded")
+    back = encode_texts(docs, path, P.PATTERN, decoded="decoded", memo=LARGE_MEMO)
     return back.select("doc_id", (F.length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
