@@ -11,8 +11,9 @@ star, and only star edges become candidates, so candidates grow with bucket entr
 What the signatures allow is measured on full sets: a member near its centre links with it or is kept with its
 difference from the centre's set. As Jaccard distance is a metric, all partners of a member near the centre are
 near it too, so stars settle them: members of a star that are in different components are compared in blocks,
-exactly, by their differences. Members far from their centre meet the other far ones of their bucket in blocks,
-where signatures leave few pairs, and these are confirmed on full sets. Signatures speak against a pair if
+exactly, by their differences. What is in no star of its bucket meets the rest of the bucket in blocks, but for what is close
+to the centre: signatures tell which members may have a link there at all, and these are compared on full sets, block by
+block. Blocks give forests of links, so that what is written grows with members and not with pairs. Signatures speak against a pair if
 they fall short by eight standard errors (against a star's member by five), once in 10^14 (10^6) pairs.
 The work is linear in bucket entries but for blocks of one star or bucket, whose pairs grow with the square
 of the number of blocks of mutually distant texts; no pair of a bucket is left out.
@@ -44,7 +45,10 @@ ERRORS, STAR_ERRORS = 8.0, 5.0
 REACH = 0.2
 #: Members in a block, and blocks by distance from the centre.
 BLOCK = 128
+BLOCK_BYTES = 64 << 20
 RING = 0.05
+#: A bucket's members that are in the star of its centre, and those that aren't.
+INNER, OUTER = 0, 1
 #: Rows of (hash, hash) that are broadcast at most: 24 MB. Above it they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 NONE = np.uint64((1 << 64) - 1)
@@ -216,20 +220,6 @@ def similar(both, size_a, size_b, num: int, den: int):
     return den * both >= num * (size_a + size_b - both)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of pairs(a, b) whose sets(node, hashes) are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i in range(len(batch)):
-                a, b = (np.frombuffer(batch.column(k)[i].as_py(), np.uint64) for k in (2, 3))
-                keep.append(similar(common_size(a, b), len(a), len(b), num, den))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
-
-    return with_both(pairs, sets, "hashes").mapInArrow(run, "a long, b long")
-
-
 def measured(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b, n, distance, link, apart) for those of pairs(a, b) that are in a star of centre a: b's size and distance, and what is in one of the sets only."""
     least = num / den - REACH
@@ -295,7 +285,7 @@ def compare_stars(blocks: list[list[dict]], num: int, den: int) -> list[tuple[in
 
 
 def compare_signatures(blocks: list[list[dict]], num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs of members(node, comp, n, low) in different components that signatures and sizes allow: within a block, or between two."""
+    """Members(node, comp, n, low) that signatures and sizes allow a link with one of another component, as (node, node): within a block, or between two."""
     least = least_agreement(num / den, ERRORS)
     first = blocks[0]
     rows = [r for b in blocks for r in b]
@@ -306,7 +296,7 @@ def compare_signatures(blocks: list[list[dict]], num: int, den: int) -> list[tup
         open_[len(first) :, len(first) :] = False
         open_[: len(first), : len(first)] = False
     open_ = np.triu(open_, 1)
-    found = []
+    found: set[int] = set()
     parsed = [layout_of(r["low"]) for r in rows]
     for power in sorted({p for x in parsed for p in x}):
         some = np.array([i for i, x in enumerate(parsed) if power in x])
@@ -316,21 +306,34 @@ def compare_signatures(blocks: list[list[dict]], num: int, den: int) -> list[tup
             if len(others):
                 open_[i, some[others]] = False  # one layout is enough
                 good = others[estimated(EQUAL_HALVES[low[others] ^ low[k]].sum(axis=1, dtype=np.int64)) >= least]
-                found += [(rows[i]["node"], rows[j]["node"]) for j in some[good]]
-    return [(min(x), max(x)) for x in found]
+                if len(good):
+                    found.update((int(i), *some[good].tolist()))
+    return [(rows[i]["node"], rows[i]["node"]) for i in found]
 
 
-def block_pairs(members: DataFrame, group: str, ring: Column, farthest: int, compare, num: int, den: int) -> DataFrame:
+def compare_sets(blocks: list[list[dict]], num: int, den: int) -> list[tuple[int, int]]:
+    """Links (as a forest) between members(node, comp, n, hashes) in different components: within a block, or between two."""
+    rows = [r for b in blocks for r in b]
+    n = np.array([r["n"] for r in rows])
+    both = common_sizes([np.frombuffer(r["hashes"], np.uint64) for r in rows])
+    comp = [r["comp"] for r in rows]
+    _, kind = np.unique(comp, return_inverse=True)
+    found = similar(both, n[:, None], n, num, den) & (kind[:, None] != kind)
+    return [(rows[i]["node"], rows[j]["node"]) for i, j in forest(np.argwhere(np.triu(found, 1)), comp)]
+
+
+def block_pairs(members: DataFrame, group: str, ring: Column, farthest: int, compare, num: int, den: int, settled: int | None = None) -> DataFrame:
     """compare() over the blocks of members(group, node, comp, n, data) of which some are in different components: (a, b).
 
-    The members of a group are dealt by ring and hash to blocks of about BLOCK, whatever the size of the group.
-    Each block is compared with itself, and with others of its group no more than `farthest` rings off.
+    The members of a group are dealt by ring and hash to blocks of about BLOCK and BLOCK_BYTES, whatever the size of the
+    group. Each block is compared with itself, and with others of its group no more than `farthest` rings off, but for
+    two of the ring `settled`. The result is staged.
     """
-    data = [c for c in members.columns if c not in (group, "node", "comp", "n", "distance")][0]
+    data = [c for c in members.columns if c not in (group, "node", "comp", "n", "distance", "ring")][0]
     open_ = members.groupBy(group).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(group)
     rows = members.withColumn("ring", ring).join(open_, group, "left_semi")
-    sizes = rows.groupBy(group, "ring").agg(F.count("*").alias("size"))
-    dealt = rows.join(sizes, [group, "ring"]).withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)))
+    sizes = rows.groupBy(group, "ring").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length(data)) / BLOCK_BYTES)).alias("parts"))
+    dealt = rows.join(sizes, [group, "ring"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
     blocks = dealt.groupBy(group, "ring", "part").agg(F.collect_list(F.struct("node", "comp", "n", data)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     blocks = stage(blocks, "blocks")
 
@@ -341,14 +344,19 @@ def block_pairs(members: DataFrame, group: str, ring: Column, farthest: int, com
                 found += compare([c[i].as_py() for c in batch.columns], num, den)
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    alone = blocks.where("lo <> hi").select("m").mapInArrow(run, "a long, b long")
+    here = F.lit(True) if settled is None else F.col("ring") != settled
+    alone = blocks.where("lo <> hi").where(here).select("m").mapInArrow(run, "a long, b long")
     light = blocks.select(group, "ring", "part", "lo", "hi")
     other = light.select(group, *[F.col(c).alias(f"{c}2") for c in ("ring", "part", "lo", "hi")])
     later = (F.struct("ring", "part") < F.struct(F.col("ring2").alias("ring"), F.col("part2").alias("part"))) & (F.col("ring2") - F.col("ring") <= farthest)
+    if settled is not None:
+        later &= (F.col("ring") != settled) | (F.col("ring2") != settled)
     pairs = light.join(other, group).where(later & (F.least("lo", "lo2") < F.greatest("hi", "hi2"))).select(group, "ring", "part", "ring2", "part2")
     both = pairs.join(blocks.select(group, "ring", "part", "m"), [group, "ring", "part"])
     both = both.join(blocks.select(group, F.col("ring").alias("ring2"), F.col("part").alias("part2"), F.col("m").alias("m2")), [group, "ring2", "part2"])
-    return alone.union(both.select("m", "m2").mapInArrow(run, "a long, b long")).distinct()
+    out = stage(alone.union(both.select("m", "m2").mapInArrow(run, "a long, b long")).distinct(), "found")
+    unstage(blocks)
+    return out
 
 
 def with_component(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -387,24 +395,33 @@ def link_classes(docs: DataFrame, classes: DataFrame, shingle: int, num: int, de
 
     # within stars
     members = with_component(star.select(F.col("a").alias("centre"), F.col("b").alias("node"), "n", "distance", "apart"), comp)
-    more = stage(block_pairs(members, "centre", F.floor(F.col("distance") / RING), int((1 - limit) / RING) + 2, compare_stars, num, den), "links")
+    more = block_pairs(members, "centre", F.floor(F.col("distance") / RING), int((1 - limit) / RING) + 2, compare_stars, num, den)
     if some(more):
         links = links.union(more)
-        comp = stage(components(None, links, "a", "b"), "components")
-
-    # far from all centres
-    settled = star.where(F.col("distance") <= REACH).select(F.col("a").alias("centre"), F.col("b").alias("node"))
-    far = with_component(asks.join(settled, ["centre", "node"], "left_anti").select("key", "node", "n"), comp)
-    open_ = far.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    far = far.join(open_, "key", "left_semi").join(classes.select("node", "low"), "node")
-    rest = stage(block_pairs(far.select("key", "node", "comp", "n", "low"), "key", F.lit(0), 0, compare_signatures, num, den), "rest")
-    if some(rest):
-        new = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(wanted.select("node"), "node", "left_anti")
-        new = stage(classes.join(new, "node").select("node", "rep_key"), "wanted")
-        found = stage(confirmed(rest, sets.union(stage(full_sets(docs, new, shingle), "sets")), num, den), "links")
+        before, comp = comp, stage(components(None, links, "a", "b"), "components")
+        unstage(*[c for c in (before,) if c])
+
+    # with others than a star's members: those settle all links among them, and the nearer ones all links
+    near = star.select(F.col("a").alias("centre"), F.col("b").alias("node"), (F.col("distance") <= REACH).alias("settled"), F.lit(INNER).alias("inside"))
+    far = asks.join(near, ["centre", "node"], "left").where("settled IS NULL OR NOT settled")
+    far = with_component(far.select("key", "node", "n", F.coalesce("inside", F.lit(OUTER)).alias("ring")), comp)
+    open_ = far.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("ring").alias("most")).where(f"lo <> hi AND most = {OUTER}").select("key")
+    far = stage(far.join(open_, "key", "left_semi"), "far")
+    ring = F.col("ring")
+    drawn = far.join(classes.select("node", "low"), "node").select("key", "node", "comp", "n", "ring", "low")
+    likely_far = block_pairs(drawn, "key", ring, OUTER - INNER, compare_signatures, num, den, INNER)
+    staged = [asks, likely, wanted, sets, star, more, far, likely_far]
+    if some(likely_far):
+        named = likely_far.select(F.col("a").alias("node")).distinct()
+        new = stage(classes.join(named.join(wanted.select("node"), "node", "left_anti"), "node").select("node", "rep_key"), "wanted")
+        fresh = stage(full_sets(docs, new, shingle), "sets")
+        whole = far.join(named, "node").join(sets.union(fresh), "node").select("key", "node", "comp", "n", "ring", "hashes")
+        found = block_pairs(whole, "key", ring, OUTER - INNER, compare_sets, num, den, INNER)
         if some(found):
-            comp = stage(components(None, links.union(found), "a", "b"), "components")
-    unstage(asks, likely, sets)
+            before, comp = comp, stage(components(None, links.union(found), "a", "b"), "components")
+            staged += [c for c in (before,) if c]
+        staged += [new, fresh, found]
+    unstage(*staged)
     return comp
 
 

@@ -172,3 +172,55 @@ def test_word_hashes_by_batch():
     finally:
         c.SPAN = span
     assert again == hashes
+
+
+def rows_written(monkeypatch):
+    """How many rows each staged table of link_classes has, by label."""
+    seen: dict[str, int] = {}
+    real = nd.stage
+
+    def counting(df, label):
+        out = real(df, label)
+        seen[label] = max(seen.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(nd, "stage", counting)
+    return seen
+
+
+def test_templates_below_the_limit_make_no_pairs(spark, monkeypatch):
+    """400 texts of which each two are alike by about 0.75: no links, and nothing that grows with their pairs is written."""
+    r = random.Random(2)
+    base = [f"b{i}" for i in range(400)]
+    rows = [(k, " ".join([*base, *(f"o{k}-{j}" for j in range(65))])) for k in range(400)]
+    # and texts that share most of it with them, but less with each other
+    rows += [(1000 + k, " ".join([*base[: 400 - r.randrange(60, 160)], *(f"s{k}-{j}" for j in range(40))])) for k in range(60)]
+    seen = rows_written(monkeypatch)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert answer(nd.near_duplicates(df, 3, 85, 100)) == brute(rows, 3, 85, 100)
+    assert max(seen.get(label, 0) for label in ("found", "far", "star", "likely")) < 30_000 and seen["found"] < 1000
+
+
+def test_members_outside_the_star_link(spark, monkeypatch):
+    """Pairs similar to each other and far from the text that most resemble are found, in blocks of any size."""
+    r = random.Random(8)
+    base = [f"b{i}" for i in range(300)]
+    rows = [(k, " ".join([*base, *(f"o{k}-{j}" for j in range(20))])) for k in range(20)]
+    for k in range(30):
+        own = [*base[: r.randrange(170, 215)], *(f"p{k}-{j}" for j in range(30))]
+        rows.append((100 + k, " ".join(own)))
+        own[5] = f"x{k}"
+        rows.append((200 + k, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 3, 85, 100)
+    assert answer(nd.near_duplicates(df, 3, 85, 100)) == want
+    monkeypatch.setattr(nd, "BLOCK", 3)
+    monkeypatch.setattr(nd, "BLOCK_BYTES", 5000)
+    assert answer(nd.near_duplicates(df, 3, 85, 100)) == want
+
+
+def test_one_very_long_text(spark):
+    long_text = " ".join(f"w{i % 70_000}" for i in range(300_000))
+    rows = [(1, long_text), (2, long_text + " more"), (3, "a b c d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert answer(nd.near_duplicates(df, 3, 85, 100)) == brute(rows, 3, 85, 100)
