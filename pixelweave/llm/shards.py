@@ -10,8 +10,12 @@ versions can be read that far back. A writer that loses the race for a version r
 again, if the runs it merged are still live. Only the driver touches manifests; rows move in Spark jobs, without a
 shuffle: a merged file is a coalesced read of its runs.
 
-Defined results: rows come back as they were, repeated ones too, with nulls and all columns; a run of no rows
-adds nothing; a store of no rows reads as an empty table with the columns of its first arrival; a table's own
+An arrival may bring other columns. The manifest holds the columns of all arrivals so far: new ones come last, and are null
+in rows that came without them; a type may widen (whole numbers to longer ones, those up to int and float to double), and older rows are read
+in the wider one. An arrival whose types don't go together with the store's is refused before anything is written.
+
+Defined results: rows come back as they were, repeated ones too, with nulls, very long texts and all columns; a run of no
+rows adds nothing; a store of no rows reads as an empty table with the columns of its first arrival; a table's own
 column named like the run folders keeps its name.
 """
 
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +42,36 @@ RETAIN = 10
 TRIES = 20
 
 
+#: Hours after which a folder that no manifest names is taken for that of a lost job.
+ORPHAN_HOURS = 24
+#: Types that may follow, from narrow to wide.
+WIDER = {"tinyint": ("smallint", "int", "bigint"), "smallint": ("int", "bigint"), "int": ("bigint", "double"), "float": ("double",)}
+
+
+def wider(a: T.DataType, b: T.DataType) -> T.DataType | None:
+    """The one of two types that holds the values of both; None if neither does."""
+    x, y = a.simpleString(), b.simpleString()
+    return a if x == y or x in WIDER.get(y, ()) else b if y in WIDER.get(x, ()) else None
+
+
+def evolved(old: T.StructType | None, new: T.StructType) -> T.StructType:
+    """The columns of both, those of old first; raises a TypeError where they don't go together."""
+    fields = {f.name: f.dataType for f in old} if old else {}
+    lower = {n.lower(): n for n in fields}
+    for f in new:
+        if (known := lower.setdefault(f.name.lower(), f.name)) != f.name:
+            raise TypeError(f"columns {known} and {f.name} differ in case alone")
+        kind = wider(fields.get(f.name, f.dataType), f.dataType)
+        if kind is None:
+            raise TypeError(f"column {f.name} is {fields[f.name].simpleString()}, not {f.dataType.simpleString()}")
+        fields[f.name] = kind
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+def read_schema(manifest: dict) -> T.StructType | None:
+    return T.StructType.fromJson(json.loads(manifest["schema"])) if manifest["schema"] else None
+
+
 class Conflict(RuntimeError):
     """Another writer has committed this version."""
 
@@ -104,9 +139,15 @@ class ShardStore:
         while column in own:
             column = "_" + column
         marked = rows.withColumnRenamed(arrival, column) if arrival else rows.withColumn(column, F.lit(0))
+        schema = rows.select(*own).schema
+        evolved(read_schema(self.manifest()), schema)
         runs = self._runs(marked, column)
-        schema = rows.select(*own).schema.json()
-        self.retry(lambda now: (now["runs"] + runs, now["schema"] or schema))
+        try:
+            self.retry(lambda now: (now["runs"] + runs, evolved(read_schema(now), schema).json()))
+        except TypeError:  # another writer has just brought a column of another type
+            for run in runs:
+                drop_path(self.spark, run["path"])
+            raise
 
     def retry(self, change) -> bool:
         """Commit the runs and schema that change() makes of the newest manifest, until no other writer is first; False if it makes none."""
@@ -141,7 +182,7 @@ class ShardStore:
         """Merge until no tier has fan_in runs; the number of manifests committed."""
         commits = 0
         while groups := self.merges((now := self.manifest())["runs"])[:MERGES_A_JOB]:
-            schema = T.StructType.fromJson(json.loads(now["schema"]))
+            schema = read_schema(now)
             column = "run"
             while column in schema.names:
                 column = "_" + column
@@ -174,9 +215,24 @@ class ShardStore:
             for v in old:
                 drop_path(self.spark, f"{self.path}/manifests/v{v:010d}.json")
 
+    def sweep(self, hours: float = ORPHAN_HOURS) -> int:
+        """Delete folders older than `hours` of which no readable manifest names a run: those of lost jobs. The number deleted."""
+        at = self._at(f"{self.path}/data")
+        fs = at.getFileSystem(self.conf)
+        if not fs.exists(at):
+            return 0
+        # folders first: what is committed meanwhile is in the manifests read after
+        old = [s.getPath().getName() for s in fs.listStatus(at) if time.time() - s.getModificationTime() / 1000 >= 3600 * hours]
+        versions = [int(n[1:11]) for n, _ in self._list(f"{self.path}/manifests") if n.startswith("v")]
+        live = {r["path"].rsplit("/", 2)[-2] for v in versions for r in self.manifest(v)["runs"]}
+        gone = [n for n in old if n not in live]
+        for name in gone:
+            drop_path(self.spark, f"{self.path}/data/{name}")
+        return len(gone)
+
     def read(self, version: int | None = None) -> DataFrame:
         found = self.manifest(version)
-        schema = T.StructType.fromJson(json.loads(found["schema"])) if found["schema"] else T.StructType([])
+        schema = read_schema(found) or T.StructType([])
         paths = [r["path"] for r in found["runs"]]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 

@@ -74,3 +74,38 @@ def test_append_tries_again(spark, tmp_path):
     store.commit = late
     store.append(rows)
     assert raced and store.read().count() == 2
+
+
+def test_columns_and_types_evolve(spark, tmp_path):
+    """A new column, a missing one, a wider type, repeated rows and a very long text, before and after compaction."""
+    store = shards.ShardStore(spark, f"file://{tmp_path}/evolving", fan_in=2)
+    long_text = "é" * 3_000_000
+    store.append(spark.createDataFrame([(1, 1, 0.5), (1, 1, 0.5), (None, None, None)], "id int, n smallint, x float"))
+    store.append(spark.createDataFrame([(2**40, "new", long_text)], "id long, extra string, text string"))
+    store.append(spark.createDataFrame([(3, 7, 0.25)], "id int, n int, x double"))
+    for _ in range(2):
+        got = store.read()
+        assert [(f.name, f.dataType.simpleString()) for f in got.schema] == [("id", "bigint"), ("n", "int"), ("x", "double"), ("extra", "string"), ("text", "string")]
+        rows = sorted((tuple(r) for r in got.collect()), key=str)
+        assert rows == sorted([(1, 1, 0.5, None, None), (1, 1, 0.5, None, None), (None, None, None, None, None), (2**40, None, None, "new", long_text), (3, 7, 0.25, None, None)], key=str)
+        store.compact()
+    assert len(store.manifest()["runs"]) == 1
+    assert [f.name for f in store.read(1).schema] == ["id", "n", "x"]
+
+
+def test_clashing_types_are_refused_before_writing(spark, tmp_path):
+    store = shards.ShardStore(spark, f"file://{tmp_path}/clash")
+    store.append(spark.createDataFrame([(1, "a")], "id long, t string"))
+    before = sorted((tmp_path / "clash" / "data").iterdir())
+    for rows in (spark.createDataFrame([("x",)], "id string"), spark.createDataFrame([(1,)], "T int"), spark.createDataFrame([([1],)], "t array<int>")):
+        with pytest.raises(TypeError):
+            store.append(rows)
+    assert sorted((tmp_path / "clash" / "data").iterdir()) == before and store.manifest()["version"] == 1
+
+
+def test_folders_of_lost_jobs_are_swept(spark, tmp_path):
+    store = shards.ShardStore(spark, f"file://{tmp_path}/swept")
+    store.append(spark.createDataFrame([(1,)], "id long"))
+    spark.createDataFrame([(2,)], "id long").write.parquet(f"{tmp_path}/swept/data/lost/run=0")
+    assert store.sweep() == 0 and store.sweep(0) == 1
+    assert [r.id for r in store.read().collect()] == [1] and len(list((tmp_path / "swept" / "data").iterdir())) == 1
