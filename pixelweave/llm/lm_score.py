@@ -10,8 +10,8 @@ Every n-gram is counted and kept, those that occur once at level 1, whatever the
 has BITS_PER_ENTRY for each entry. N-grams are dealt by hash to parts, one for each PART_BYTES of text, and each
 part has a filter of its own in the shared folder, so building it needs no large task. A filter of up to
 BROADCAST_BYTES in all is broadcast, and workers probe the distinct n-grams of many texts at once. A larger one
-stays where it is: chunks of texts ask each part for the levels of their distinct n-grams, packed in one row, and
-the answer is one byte for each, in order. Scores are the same either way.
+stays where it is: chunks of texts ask the parts for the levels of their distinct n-grams, packed in one row for each part
+that has any of them, and the answer is one byte for each, in order. Scores are the same either way.
 
 The base score needs exact counts. The most frequent tokens (at most HEAD of them) are broadcast; any other
 token of a text is looked up by a join on the token, where by construction no token is frequent.
@@ -81,13 +81,17 @@ class Tokens:
         return span_bytes(self.data, self.a[i], self.b[i])
 
 
+#: Low bits of a pair's hash, which tell the pairs of one context apart; the others are its context's.
+PAIR_BITS = np.uint64(30)
+
+
 def context(h: np.ndarray) -> np.ndarray:
-    """The 28 bits by which a word is known as context."""
-    return mix64(h) >> np.uint64(36)
+    """The 34 bits by which a word is known as context: of 10^8 distinct words one in 170 shares them with another, of 10^9 one in 17."""
+    return mix64(h) >> PAIR_BITS
 
 
 def pair(before: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return (context(before) << np.uint64(36)) | (mix64(before * np.uint64(0x9E3779B97F4A7C15) + h) >> np.uint64(28))
+    return (context(before) << PAIR_BITS) | (mix64(before * np.uint64(0x9E3779B97F4A7C15) + h) >> (np.uint64(64) - PAIR_BITS))
 
 
 COUNTS = "h long, token binary, c long"
@@ -223,25 +227,6 @@ def make_filter(h: np.ndarray, kind: np.ndarray, q: np.ndarray) -> tuple[int, by
     return bits, np.packbits(data, bitorder="little").tobytes()
 
 
-def build_filter(entries: DataFrame, bits: int) -> np.ndarray:
-    """The bits of entries(kind, h, q) by segments. For a single part, as make_filter() makes it of arrays."""
-
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        data = np.zeros(bits, np.uint8)
-        h, kind, q = group["h"].to_numpy().view(np.uint64), group["kind"].to_numpy().astype(np.uint64), group["q"].to_numpy()
-        for j in range(1, int(q.max()) + 1):
-            some = q >= j
-            for p in positions(h[some], j, kind[some], bits):
-                data[p] = 1
-        return pd.DataFrame({"segment": [key[0]], "bits": [np.packbits(data, bitorder="little").tobytes()]})
-
-    rows = entries.withColumn("segment", F.col("h").bitwiseAND(F.lit(SEGMENTS - 1))).groupBy("segment").applyInPandas(run, "segment long, bits binary").collect()
-    data = np.zeros(SEGMENTS * bits // 8, np.uint8)
-    for r in rows:
-        data[r["segment"] * bits // 8 : (r["segment"] + 1) * bits // 8] = np.frombuffer(r["bits"], np.uint8)
-    return data
-
-
 class Model:
     """The staged filters of all parts, their size, totals, and the most frequent tokens (HEAD at most)."""
 
@@ -262,7 +247,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
         c = np.bincount(at, np.concatenate([np.frombuffer(b, np.uint32) for b in group["c"]]))
         bits, data = make_filter(h, np.full(len(h), PAIRS), levels_of(c))
         # what each context's pairs take, for the parts of the contexts
-        ctx, at = np.unique(h >> np.uint64(36), return_inverse=True)
+        ctx, at = np.unique(h >> PAIR_BITS, return_inverse=True)
         mass = np.bincount(at, c - DISCOUNT, len(ctx)) if len(ctx) else np.empty(0)
         order, cut = deal(ctx, parts)
         ctx, mass = ctx[order], mass[order]
@@ -361,11 +346,11 @@ def chunk_scores(chunks: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for uid, *packed in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 c = unpacked_chunk(*packed)
-                asked = []
-                for u in (c.pairs, c.words, c.contexts):
-                    order, at = deal(u, parts)
-                    asked.append([pack(u[order[at[i] : at[i + 1]]]) for i in range(parts)])
-                yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([uid] * parts, pa.int64()), *(pa.array(x, pa.binary()) for x in asked)], ["part", "uid", "pairs", "words", "contexts"])
+                dealt = [(u, *deal(u, parts)) for u in (c.pairs, c.words, c.contexts)]
+                # only parts that are asked for something: no more rows than n-grams, however many parts
+                some = np.flatnonzero(sum(np.diff(at) for _, _, at in dealt)).tolist()
+                asked = [[pack(u[order[at[i] : at[i + 1]]]) for i in some] for u, order, at in dealt]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([uid] * len(some), pa.int64()), *(pa.array(x, pa.binary()) for x in asked)], ["part", "uid", "pairs", "words", "contexts"])
 
     def answer(key, group: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
         held = {bool(p): LogBloom(int(b), np.frombuffer(d, np.uint8), TOP) for p, b, d in zip(filters["pairs"], filters["bits"], filters["data"], strict=True)}
