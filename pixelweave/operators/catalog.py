@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelweave.operators.numbering import resume_after
+
 
 def place_of(session: Column) -> Column:
     return F.split_part(session, F.lit("_"), F.lit(2))
@@ -48,7 +50,7 @@ def resume_from(df: DataFrame, start: str, order: str) -> DataFrame:
     """Rows from position `start` on; all of them if it is not a number within range."""
     n = df.count()
     k = int(start) if start.isnumeric() and int(start) < n else 0
-    return df.orderBy(order).offset(k)
+    return resume_after(df, [order], k)
 
 
 def epoch_log(df: DataFrame, run: str, epoch: str, pos: str, loss: str) -> DataFrame:
@@ -106,3 +108,21 @@ def cosine(a: Column, b: Column) -> Column:
 def masked_mean(emb: DataFrame, by: str, vector: str = "embedding") -> DataFrame:
     """(by, i, mean): means of the vectors of each group, by component."""
     return emb.select(by, F.posexplode(vector).alias("i", "v")).groupBy(by, "i").agg(F.avg(F.col("v").cast("double")).alias("mean"))
+
+
+def contains_join(names: DataFrame, name: str, stems: DataFrame, stem: str) -> DataFrame:
+    """Rows of names and stems where the name contains the stem, each pair once.
+
+    A name is cut into its substrings of the stems' lengths, which meet the stems in an equi-join. The lengths, as many
+    as the longest stem has letters at most, are read first. An empty stem is in every name that is not null.
+    """
+    lengths = sorted(r.n for r in stems.where(F.col(stem).isNotNull()).select(F.length(stem).alias("n")).distinct().collect())
+
+    def pieces(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(name) - n + 1, F.lit(1)))
+        return F.when(F.length(name) >= n, F.transform(places, lambda i: F.substring(name, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    parts = [pieces(n) for n in lengths]
+    part = "_".join(["part", *names.columns, *stems.columns])
+    cut = names.where(F.col(name).isNotNull()).withColumn(part, F.explode(F.array_distinct(F.flatten(F.array(*parts))) if parts else F.array().cast("array<string>")))
+    return cut.join(stems, F.col(part) == F.col(stem)).drop(part)

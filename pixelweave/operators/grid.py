@@ -145,3 +145,32 @@ def resize_bilinear(logits: DataFrame, classes: int, h: int, w: int, height: int
 def label_of(values: Column) -> Column:
     """The class, from 1, of the largest value, the first of equals."""
     return F.array_position(values, F.array_max(values)).cast("int")
+
+
+def mosaic_window(x0: Column, y1: Column, height: Column, width: Column, mosaic: dict) -> dict[str, Column]:
+    """Where a tile, its upper left corner at (x0, y1), falls into a mosaic (left, top, a, e, height, width): offsets rounded to whole pixels.
+
+    row, col and row_end, col_end in the mosaic; row_skip, col_skip: what of the tile lies before the mosaic's first row
+    and column and is cut off. Nothing of the tile is inside where an end isn't beyond its beginning.
+    """
+    row, col = (F.floor((v - F.lit(float(start))) / F.lit(float(step)) + 0.5).cast("long") for v, start, step in ((y1, mosaic["top"], mosaic["e"]), (x0, mosaic["left"], mosaic["a"])))
+    zero = F.lit(0).cast("long")
+    out = {}
+    for name, at, size, most in (("row", row, height, mosaic["height"]), ("col", col, width, mosaic["width"])):
+        skip = F.greatest(zero, -at)
+        first = F.greatest(zero, at)
+        out |= {name: first, f"{name}_skip": skip, f"{name}_end": F.least(first + size.cast("long") - skip, F.lit(most).cast("long"))}
+    return out
+
+
+def decimate(px: DataFrame, factor: int, height: int, width: int, gt: dict, keys: tuple = ("scene",), value: str = "v", lo: float = 0.0, hi: float = 255.0) -> DataFrame:
+    """(keys, r, c, value, x, y): px(keys, r, c, value) in blocks of `factor`, averaged and clipped, with each block's upper left corner in the world.
+
+    The reduced raster has height // factor rows and width // factor columns, one at least; its affine is that of gt scaled by the true ratios,
+    so that a remainder at the far side stretches the pixels a little and is averaged into the last block.
+    """
+    h, w = max(1, height // factor), max(1, width // factor)
+    at = lambda c, n, size: F.least(F.floor(F.col(c) * n / size), F.lit(n - 1)).cast("int")
+    out = px.groupBy(*keys, at("r", h, height).alias("r"), at("c", w, width).alias("c")).agg(F.greatest(F.lit(lo), F.least(F.lit(hi), F.avg(value))).alias(value))
+    x, y = gt["c"] + F.col("c") * (gt["a"] * width / w), gt["f"] + F.col("r") * (gt["e"] * height / h)
+    return out.withColumn("x", x).withColumn("y", y)

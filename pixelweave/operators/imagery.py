@@ -38,10 +38,26 @@ def channel_stats(rgb: DataFrame, keys: tuple = ("tile",)) -> DataFrame:
     return rgb.groupBy(*keys).agg(*[F.avg(c).alias(f"avg_{c}") for c in CHANNELS], F.count("*").alias("pixels"))
 
 
+def colour_counts(rgb: DataFrame, keys: tuple = ("tile",)) -> DataFrame:
+    """(keys, r, g, b, n): pixels by colour; what statistics of an image need, from one pass over its pixels."""
+    return rgb.groupBy(*keys, *CHANNELS).agg(F.count("*").alias("n"))
+
+
+def counted_stats(counts: DataFrame, keys: tuple = ("tile",)) -> DataFrame:
+    """channel_stats() from colour_counts()."""
+    mean = lambda c: F.sum(F.col(c).cast("double") * F.col("n")) / F.sum(F.when(F.col(c).isNotNull(), F.col("n")))
+    return counts.groupBy(*keys).agg(*[mean(c).alias(f"avg_{c}") for c in CHANNELS], F.sum("n").alias("pixels"))
+
+
 def histogram(rgb: DataFrame, keys: tuple = ("tile",), bins: int = 256) -> DataFrame:
     """(keys, channel, bin, n): all bins, empty ones too."""
-    long = rgb.select(*keys, F.explode(F.create_map(*[x for c in CHANNELS for x in (F.lit(c), F.col(c))])).alias("channel", "v"))
-    counted = long.groupBy(*keys, "channel", F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.col("v"))).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return counted_histogram(colour_counts(rgb, keys), keys, bins)
+
+
+def counted_histogram(counts: DataFrame, keys: tuple = ("tile",), bins: int = 256) -> DataFrame:
+    """histogram() from colour_counts(): a colour makes three rows, a pixel none."""
+    long = counts.select(*keys, "n", F.explode(F.create_map(*[x for c in CHANNELS for x in (F.lit(c), F.col(c))])).alias("channel", "v"))
+    counted = long.groupBy(*keys, "channel", F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.col("v"))).cast("int").alias("bin")).agg(F.sum("n").alias("n"))
     every = counted.select(*keys, "channel").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     return every.join(counted, [*keys, "channel", "bin"], "left").select(*keys, "channel", "bin", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -89,11 +105,15 @@ def apply_matrix(m: dict[str, Column]) -> dict[str, Column]:
 
 
 def colour_matrix(rgb: DataFrame, keys: tuple = ("tile",)) -> DataFrame:
-    """(keys, r_gain, r_offset, ..., shift): the correction of each image from its own statistics. Tables of a row an image are left to the planner."""
-    stats = channel_stats(rgb, keys)
+    """(keys, r_gain, r_offset, ..., shift): the correction of each image from its own statistics. Tables of a row an image are left to the planner.
+
+    Means and the histogram after the turn both follow from the counts of colours, whose shuffle is made once.
+    """
+    counts = colour_counts(rgb, keys)
+    stats = counted_stats(counts, keys)
     shift = least_hue_shift(stats, keys)
-    turned = rgb.join(shift, list(keys)).withColumn("r", clamp(hue_shifted_red(F.col("r"), F.col("g"), F.col("b"), F.col("shift").cast("double"))))
-    hist = histogram(turned, keys).join(stats.select(*keys, "pixels"), list(keys))
+    turned = counts.join(shift, list(keys)).withColumn("r", clamp(hue_shifted_red(F.col("r"), F.col("g"), F.col("b"), F.col("shift").cast("double"))))
+    hist = counted_histogram(turned, keys).join(stats.select(*keys, "pixels"), list(keys))
     gaps = widest_gap(hist, F.col("pixels") / RARE_SHARE + RARE_MORE, (*keys, "channel"))
     gain, offset = gain_offset(F.col("low"), F.col("high"))
     wide = gaps.withColumn("gain", gain).withColumn("offset", offset).groupBy(*keys).pivot("channel", list(CHANNELS)).agg(F.first("gain").alias("gain"), F.first("offset").alias("offset"))

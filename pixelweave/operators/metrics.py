@@ -21,10 +21,9 @@ def label_universe(df: DataFrame, by: tuple = ()) -> DataFrame:
 
 def confusion(df: DataFrame, by: tuple = ()) -> DataFrame:
     """(by, gt, pred, n) dense over each group's labels."""
-    known = df.where("gt <> 0")
-    labels = label_universe(known, by)
+    n = df.where("gt <> 0").groupBy(*by, "gt", "pred").agg(F.count("*").alias("n"))
+    labels = label_universe(n, by)  # from the counts, whose shuffle is made once
     grid = labels.withColumnRenamed("label", "gt").join(labels.withColumnRenamed("label", "pred"), list(by)) if by else labels.withColumnRenamed("label", "gt").crossJoin(labels.withColumnRenamed("label", "pred"))
-    n = known.groupBy(*by, "gt", "pred").agg(F.count("*").alias("n"))
     return grid.join(n, [*by, "gt", "pred"], "left").select(*by, "gt", "pred", F.coalesce("n", F.lit(0)).alias("n"))
 
 

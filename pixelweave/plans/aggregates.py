@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pixelweave.operators import catalog, classify, imagery, masks, metrics, pandas_ops, spatial, views, vote
+from pixelweave.operators import catalog, classify, imagery, masks, metrics, pandas_ops, regions, spatial, views, vote
 from pixelweave.operators.views import table, with_views
 from pixelweave.plans.filters_joins import MOSAIC, aligned
 from pixelweave.plans.projections import STATS_SQL
 from pixelweave.plans.registry import query
+from pixelweave.plans.structures import islands_sql, region_sql
 
 KNOWN = "k AS (SELECT zone, gt, pred FROM labelled WHERE gt <> 0), lab AS (SELECT DISTINCT zone, label FROM (SELECT zone, gt AS label FROM k UNION ALL SELECT zone, pred FROM k) WHERE label <> 0), n AS (SELECT zone, gt, pred, count(*) AS n FROM k GROUP BY 1, 2, 3), cm AS (SELECT a.zone, a.label AS gt, b.label AS pred, coalesce(n.n, 0) AS n FROM lab a JOIN lab b ON a.zone = b.zone LEFT JOIN n ON n.zone = a.zone AND n.gt = a.label AND n.pred = b.label)"
 PER = "ro AS (SELECT zone, gt AS label, sum(n) AS support, sum(CASE WHEN gt = pred THEN n ELSE 0 END) AS tp FROM cm GROUP BY 1, 2), co AS (SELECT zone, pred AS label, sum(n) AS predicted FROM cm GROUP BY 1, 2), per AS (SELECT zone, label, tp, support, tp / (support + 1e-7) AS accuracy, tp / (support + predicted - tp + 1e-7) AS iou FROM ro JOIN co USING (zone, label))"
@@ -117,7 +119,16 @@ def agg19(spark, sf):
     return masks.mask_boxes(views.masks(spark, sf))
 
 
-@query("AGG20_convex_hull")
+HULL = """,,p AS MATERIALIZED (SELECT DISTINCT CAST(box_id % 5 AS VARCHAR) AS k, x0 AS x, y0 AS y FROM boxes),
+  h AS (WITH RECURSIVE t AS (SELECT k, 0 AS seq, min(row(x, y)) AS spot, min(row(x, y)) AS first, -pi() / 2 AS a, false AS done FROM p GROUP BY 1
+    UNION ALL SELECT k, seq + 1, arg_min(q, row(b, -far)), first, min(b), arg_min(q, row(b, -far)) = first FROM (
+      SELECT t.k, t.seq, t.first, t.a, row(p.x, p.y) AS q, (p.x - t.spot[1]) ** 2 + (p.y - t.spot[2]) ** 2 AS far, CASE WHEN atan2(p.y - t.spot[2], p.x - t.spot[1]) < -pi() / 2 THEN atan2(p.y - t.spot[2], p.x - t.spot[1]) + 2 * pi() ELSE atan2(p.y - t.spot[2], p.x - t.spot[1]) END AS b
+      FROM t JOIN p ON p.k = t.k AND row(p.x, p.y) <> t.spot WHERE NOT t.done) WHERE b >= a - 1e-12 GROUP BY k, seq, first)
+    SELECT * FROM t)
+  SELECT k, seq, spot[1] AS x, spot[2] AS y FROM h WHERE NOT done"""
+
+
+@query("AGG20_convex_hull", with_views("boxes", HULL))
 def agg20(spark, sf):
     b = views.boxes(spark, sf).select((F.col("box_id") % 5).cast("string").alias("k"), F.col("x0").alias("x"), F.col("y0").alias("y"))
     # only the ends of each row of points can be on the hull
@@ -188,14 +199,17 @@ def agg30b(spark, sf):
     return a.join(b, "vec_id").select("vec_id", F.round(catalog.cosine(F.col("embedding"), F.col("other")), 5).alias("cos"))
 
 
-@query("AGG31_components")
+@query("AGG31_components", region_sql("on_ = 1", "SELECT mask_id, CAST(dense_rank() OVER (PARTITION BY mask_id ORDER BY l) AS INT) AS component, area, min(r) AS top FROM lab JOIN area USING (mask_id, l) GROUP BY mask_id, l, area"))
 def agg31(spark, sf):
-    return pandas_ops.components(views.masks(spark, sf)).groupBy("mask_id", "component").agg(F.max("area").alias("area"), F.min("r").alias("top"))
+    """The regions of each mask, numbered in reading order of their first pixels."""
+    found = regions.Regions(views.masks(spark, sf).where("on_ <> 0")).areas
+    number = F.row_number().over(Window.partitionBy("mask_id").orderBy("region")).alias("component")
+    return found.select("mask_id", number, "area", regions.first_row(F.col("region")).alias("top"))
 
 
-@query("AGG31_remove_small")
+@query("AGG31_remove_small", region_sql("on_ = 1", islands_sql(3)))
 def agg31b(spark, sf):
-    return pandas_ops.remove_small(views.masks(spark, sf), 3)
+    return regions.remove_small(views.masks(spark, sf), 3)
 
 
 @query("AGG32_best_mask", "SELECT l_orderkey, arg_max(l_linenumber, row(l_discount, -l_linenumber)) AS l_linenumber, max(l_discount) AS l_discount FROM lineitem GROUP BY 1")

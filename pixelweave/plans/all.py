@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pixelweave.plans import aggregates, filters_joins, projections, rasters, sources_sinks, streams, structures, whole_rows, windows_scalars
+from pixelweave.plans import aggregates, filters_joins, projections, rasters, refined, sources_sinks, streams, structures, whole_rows, windows_scalars
 from pixelweave.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "filters_joins", "projections", "rasters", "sources_sinks", "streams", "structures", "whole_rows", "windows_scalars"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "filters_joins", "projections", "rasters", "refined", "sources_sinks", "streams", "structures", "whole_rows", "windows_scalars"]

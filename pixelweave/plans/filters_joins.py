@@ -98,9 +98,10 @@ def flt16(spark, sf):
     return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
 
 
-@query("FLT17_single_crs", with_views("orthos", "SELECT min(crs) AS crs FROM orthos WHERE place = 0"))
+@query("FLT17_single_crs", with_views("orthos", "SELECT crs, count(*) AS places FROM (SELECT place, min(crs) AS crs FROM orthos GROUP BY 1) GROUP BY 1"))
 def flt17(spark, sf):
-    return catalog.assert_single_crs(views.orthos(spark, sf).where("place = 0")) if views.orthos(spark, sf).where("place = 0").limit(1).count() else views.orthos(spark, sf).where("place = 0").agg(F.min("crs").alias("crs"))
+    """How many places there are of each CRS; a place with two raises."""
+    return catalog.assert_single_crs(views.orthos(spark, sf), ("place",)).groupBy("crs").agg(F.count("*").alias("places"))
 
 
 @query("FLT17_single_crs_places", with_views("orthos", "SELECT place, min(crs) AS crs FROM orthos GROUP BY 1"))
@@ -129,15 +130,15 @@ def jon01(spark, sf):
     return catalog.match_orthos(views.sessions(spark, sf), views.orthos(spark, sf)).select("session_id", "ortho_id", "crs")
 
 
-LAB = "SELECT r, c, min(cls) AS cls FROM prob WHERE scene = 'A' AND r < 16 AND c < 16 GROUP BY 1, 2"
+LAB = "SELECT scene, r, c, min(cls) AS cls FROM prob GROUP BY 1, 2, 3"
 
 
-@query("JON02_grid_snap", with_views("prob", f",,lab AS ({LAB}), px AS (SELECT scene, r, c FROM prob GROUP BY 1, 2, 3) SELECT px.scene, px.r, px.c, lab.cls FROM px JOIN lab ON lab.r = CAST(floor(px.r / 2) AS INT) AND lab.c = CAST(floor(px.c / 4) AS INT)"))
+@query("JON02_grid_snap", with_views("prob", f",,lab AS ({LAB}), px AS (SELECT scene, r, c FROM prob GROUP BY 1, 2, 3) SELECT px.scene, px.r, px.c, lab.cls FROM px JOIN lab ON lab.scene = px.scene AND lab.r = CAST(floor(px.r / 2) AS INT) AND lab.c = CAST(floor(px.c / 4) AS INT)"))
 def jon02(spark, sf):
     p = views.prob(spark, sf)
-    lab = p.where("scene = 'A' AND r < 16 AND c < 16").groupBy("r", "c").agg(F.min("cls").alias("cls"))
+    lab = p.groupBy("scene", "r", "c").agg(F.min("cls").alias("cls"))
     px = p.select("scene", "r", "c").distinct().withColumn("c0", F.col("c")).withColumn("c", F.floor(F.col("c") / 2).cast("int"))
-    return grid.upsample_labels(px, lab, 2, ("scene",), False).select("scene", "r", F.col("c0").alias("c"), "cls")
+    return grid.upsample_labels(px, lab, 2, ("scene",), False, ("scene",)).select("scene", "r", F.col("c0").alias("c"), "cls")
 
 
 @query("JON03_pair_examples", "SELECT d.doc_id, d.n_chars, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
@@ -259,14 +260,15 @@ def jon16(spark, sf):
     return o.join(table(spark, sf, "supplier"), "s_name").select("ortho_id", "s_suppkey")
 
 
-SMALL = "SELECT 'A' AS tile, r, c, CASE WHEN min(cls) > 1 THEN NULL ELSE max(CASE WHEN v > 30000 THEN 2 ELSE 1 END) END AS cls FROM prob WHERE scene = 'A' AND r < 12 AND c < 12 GROUP BY r, c"
+LABELS = "SELECT scene || '-' || CAST(r // 16 AS VARCHAR) AS tile, r, c, CASE WHEN min(cls) > 1 THEN NULL ELSE max(CASE WHEN v > 30000 THEN 2 ELSE 1 END) END AS cls FROM prob GROUP BY 1, 2, 3"
 
 
-@query("JON17_fill_nearest", with_views("prob", f",,t AS ({SMALL}), k AS (SELECT r, c, cls FROM t WHERE cls IS NOT NULL) SELECT t.tile, t.r, t.c, arg_min(k.cls, row((k.r - t.r) * (k.r - t.r) + (k.c - t.c) * (k.c - t.c), k.r, k.c)) AS cls FROM t LEFT JOIN k ON true GROUP BY 1, 2, 3"))
+@query("JON17_fill_nearest", with_views("prob", f",,t AS ({LABELS}), k AS (SELECT tile, r, c, cls FROM t WHERE cls IS NOT NULL) SELECT t.tile, t.r, t.c, arg_min(k.cls, row((k.r - t.r) * (k.r - t.r) + (k.c - t.c) * (k.c - t.c), k.r, k.c)) AS cls FROM t LEFT JOIN k ON k.tile = t.tile GROUP BY 1, 2, 3"))
 def jon17(spark, sf):
-    p = views.prob(spark, sf).where("scene = 'A' AND r < 12 AND c < 12").groupBy("r", "c")
-    t = p.agg(F.when(F.min("cls") <= 1, F.max(F.when(F.col("v") > 30000, 2).otherwise(1))).alias("cls")).withColumn("tile", F.lit("A"))
-    return nearest.fill_nearest(t.select("tile", "r", "c", "cls"))
+    """Halves of scenes, each filled from its own labels."""
+    half = F.concat_ws("-", "scene", F.floor(F.col("r") / 16).cast("string"))
+    t = views.prob(spark, sf).groupBy(half.alias("tile"), "r", "c").agg(F.when(F.min("cls") <= 1, F.max(F.when(F.col("v") > 30000, 2).otherwise(1))).alias("cls"))
+    return nearest.fill_nearest(t)
 
 
 SCENES = "SELECT scene AS tile, r, c, CASE WHEN min(cls) > 1 THEN NULL ELSE max(CASE WHEN v > 30000 THEN 2 ELSE 1 END) END AS cls FROM prob GROUP BY 1, 2, 3"
@@ -278,12 +280,12 @@ def jon17_scenes(spark, sf):
     return nearest.fill_nearest(t)
 
 
-@query("JON18_align_grids", with_views("prob", ",,lab AS (SELECT r, c, min(cls) AS cls FROM prob WHERE scene = 'N' GROUP BY 1, 2), px AS (SELECT DISTINCT r, c FROM prob WHERE scene = 'R') SELECT px.r, px.c, lab.cls FROM px LEFT JOIN lab ON lab.r = CAST(floor((px.r + 0.5) * 16 / 32) AS INT) AND lab.c = CAST(floor((px.c + 0.5) * 32 / 64) AS INT)"))
+@query("JON18_align_grids", with_views("prob", ",,lab AS (SELECT scene, r, c, min(cls) AS cls FROM prob GROUP BY 1, 2, 3), px AS (SELECT DISTINCT scene, r, c FROM prob) SELECT px.scene, px.r, px.c, lab.cls FROM px LEFT JOIN lab ON lab.scene = px.scene AND lab.r = CAST(floor((px.r + 0.5) * 16 / 32) AS INT) AND lab.c = CAST(floor((px.c + 0.5) * 32 / 64) AS INT)"))
 def jon18(spark, sf):
     p = views.prob(spark, sf)
-    lab = p.where("scene = 'N'").groupBy(F.col("r").alias("sr"), F.col("c").alias("sc")).agg(F.min("cls").alias("cls"))
-    px = p.where("scene = 'R'").select("r", "c").distinct().withColumn("sr", grid.snap(F.col("r"), 16, 32)).withColumn("sc", grid.snap(F.col("c"), 32, 64))
-    return px.join(lab, ["sr", "sc"], "left").select("r", "c", "cls")
+    lab = p.groupBy("scene", F.col("r").alias("sr"), F.col("c").alias("sc")).agg(F.min("cls").alias("cls"))
+    px = p.select("scene", "r", "c").distinct().withColumn("sr", grid.snap(F.col("r"), 16, 32)).withColumn("sc", grid.snap(F.col("c"), 32, 64))
+    return px.join(lab, ["scene", "sr", "sc"], "left").select("scene", "r", "c", "cls")
 
 
 @query("JON19_clip_polygon", with_views("prob", "SELECT scene, r, c, cls FROM prob WHERE c + 0.5 > 10.2 AND c + 0.5 < 40.7 AND r + 0.5 > 3.1 AND r + 0.5 < 20.9"))

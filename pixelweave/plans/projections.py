@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from pixelweave.operators import catalog, classify, grid, imagery, masks, spatial, views
+from pixelweave.operators import catalog, classify, crs, grid, imagery, masks, spatial, views
 from pixelweave.operators.views import table, with_views
 from pixelweave.plans.registry import query
 
@@ -153,11 +153,14 @@ def prj22(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", spatial.utm_zone(lon).alias("zone"), spatial.utm_epsg(lon, lat).cast("int").alias("epsg"))
 
 
-@query("PRJ23_utm_project")
+UTM = crs.utm_sql("(n_nationkey * 10.0 - 120)::DOUBLE", "(n_nationkey * 5.0 - 60)::DOUBLE", "(floor((n_nationkey * 10.0 + 60) / 6) + 1)", "n_nationkey < 12")
+
+
+@query("PRJ23_utm_project", f"SELECT n_nationkey, round({UTM[0]}, 3) AS east, round({UTM[1]}, 3) AS north FROM nation")
 def prj23(spark, sf):
-    lon, lat = F.col("n_nationkey") * 10.0 - 120, F.col("n_nationkey") * 5.0 - 60
-    e, n = spatial.utm_project(lon, lat)
-    return table(spark, sf, "nation").select("n_nationkey", F.round(e, 3).alias("east"), F.round(n, 3).alias("north"))
+    n = table(spark, sf, "nation").select("n_nationkey", (F.col("n_nationkey") * 10.0 - 120).alias("lon"), (F.col("n_nationkey") * 5.0 - 60).alias("lat"))
+    out = crs.reproject(n, "lon", "lat", F.lit(4326), spatial.utm_epsg(F.col("lon"), F.col("lat")), ("east", "north"))
+    return out.select("n_nationkey", F.round("east", 3).alias("east"), F.round("north", 3).alias("north"))
 
 
 @query("PRJ23_utm_round_trip", "SELECT p_partkey, round(CAST((p_partkey % 3600) / 10.0 - 180 + 0.01 AS DOUBLE), 6) AS lon, round(CAST((p_partkey % 160) - 79.5 AS DOUBLE), 6) AS lat FROM part")
@@ -196,9 +199,13 @@ def prj28(spark, sf):
     return views.orthos(spark, sf).select("ortho_id", h.alias("h"), w.alias("w"))
 
 
-@query("PRJ29_point_grid", "SELECT CAST(l.l AS INT) AS layer, round((i.i + 0.5) / (8 // CAST(power(2, l.l) AS INT)), 6) AS x, round((j.j + 0.5) / (8 // CAST(power(2, l.l) AS INT)), 6) AS y FROM (SELECT unnest(generate_series(0, 2)) AS l) l, (SELECT unnest(generate_series(0, 7)) AS i) i, (SELECT unnest(generate_series(0, 7)) AS j) j WHERE i.i < 8 // CAST(power(2, l.l) AS INT) AND j.j < 8 // CAST(power(2, l.l) AS INT)")
+@query("PRJ29_point_grid", with_views("boxes", ",,g AS (SELECT CAST(l.l AS INT) AS layer, (i.i + 0.5) / (8 // CAST(power(2, l.l) AS INT)) AS x, (j.j + 0.5) / (8 // CAST(power(2, l.l) AS INT)) AS y FROM (SELECT unnest(generate_series(0, 2)) AS l) l, (SELECT unnest(generate_series(0, 7)) AS i) i, (SELECT unnest(generate_series(0, 7)) AS j) j WHERE i.i < 8 // CAST(power(2, l.l) AS INT) AND j.j < 8 // CAST(power(2, l.l) AS INT)) SELECT box_id, layer, count(*) AS points, round(min(x0 + x * (x1 - x0)), 6) AS first_x, round(sum(y0 + y * (y1 - y0)), 4) AS sum_y FROM boxes, g GROUP BY 1, 2"))
 def prj29(spark, sf):
-    return masks.point_grid(spark, 8, 2, 2).select("layer", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    """The grid of points of each layer, laid over each box."""
+    g = masks.point_grid(spark, 8, 2, 2)
+    at = views.boxes(spark, sf).crossJoin(F.broadcast(g))  # 84 points, whatever the table
+    x, y = F.col("x0") + F.col("x") * (F.col("x1") - F.col("x0")), F.col("y0") + F.col("y") * (F.col("y1") - F.col("y0"))
+    return at.groupBy("box_id", "layer").agg(F.count("*").alias("points"), F.round(F.min(x), 6).alias("first_x"), F.round(F.sum(y), 4).alias("sum_y"))
 
 
 @query("PRJ30_crop_boxes", with_views("orthos", ",,l AS (SELECT ortho_id, width, height, 0 AS layer, 1 AS n, 0 AS ov FROM orthos UNION ALL SELECT ortho_id, width, height, 1, 2, CAST(floor(0.25 * least(width, height) * 2 / 2) AS BIGINT) FROM orthos), d AS (SELECT *, CAST(ceil((ov * (n - 1) + width) / n) AS BIGINT) AS cw, CAST(ceil((ov * (n - 1) + height) / n) AS BIGINT) AS ch FROM l) SELECT ortho_id, CAST(layer AS INT) AS layer, (cw - ov) * i.i AS x0, (ch - ov) * j.j AS y0, least((cw - ov) * i.i + cw, width) AS x1, least((ch - ov) * j.j + ch, height) AS y1 FROM d, (SELECT unnest([0, 1]) AS i) i, (SELECT unnest([0, 1]) AS j) j WHERE i.i < n AND j.j < n"))
@@ -228,11 +235,13 @@ def prj33(spark, sf):
     return views.masks(spark, sf).select("mask_id", "r", "c", F.when(F.col("on_") == 1, 10.0).otherwise(-10.0).alias("p"))
 
 
-@query("PRJ35_gaussian_kernel", "SELECT CAST(i.i AS INT) AS r, CAST(j.j AS INT) AS c, round(exp(-(power(i.i - 4, 2) / 8.0 + power(j.j - 4, 2) / 18.0)), 6) AS g FROM (SELECT unnest(generate_series(0, 8)) AS i) i, (SELECT unnest(generate_series(0, 8)) AS j) j")
+@query("PRJ35_gaussian_kernel", with_views("masks", ",,b AS (SELECT mask_id, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM masks WHERE on_ = 1 GROUP BY 1) SELECT m.mask_id, m.r, m.c, round(exp(-(power(m.r - (r0 + r1) / 2.0, 2) / (2 * power((r1 - r0 + 1) / 4.0, 2)) + power(m.c - (c0 + c1) / 2.0, 2) / (2 * power((c1 - c0 + 1) / 4.0, 2)))), 6) AS g FROM masks m JOIN b USING (mask_id)"))
 def prj35(spark, sf):
-    axis = F.sequence(F.lit(0), F.lit(8))
-    p = spark.range(1).select(F.explode(axis).alias("r")).withColumn("c", F.explode(axis))
-    return p.withColumn("g", F.round(F.exp(-(F.pow(F.col("r") - 4, F.lit(2)) / 8.0 + F.pow(F.col("c") - 4, F.lit(2)) / 18.0)), 6))
+    """A Gaussian over the box of each mask: its centre in the middle, a quarter of each side its deviation."""
+    m = views.masks(spark, sf)
+    b = m.where("on_ = 1").groupBy("mask_id").agg(*[f(c).alias(n) for f, c, n in ((F.min, "r", "r0"), (F.max, "r", "r1"), (F.min, "c", "c0"), (F.max, "c", "c1"))])
+    part = lambda v, lo, hi: F.pow(F.col(v) - (F.col(lo) + F.col(hi)) / 2, F.lit(2)) / (2 * F.pow((F.col(hi) - F.col(lo) + 1) / 4, F.lit(2)))
+    return m.join(b, "mask_id").select("mask_id", "r", "c", F.round(F.exp(-(part("r", "r0", "r1") + part("c", "c0", "c1"))), 6).alias("g"))
 
 
 @query("PRJ36_run_name", "SELECT event_id, left(event_type || '-' || strftime(ts, '%Y_%m_%d') || '_' || CAST(hour(ts) * 3600 + minute(ts) * 60 + CAST(floor(second(ts)) AS BIGINT) AS VARCHAR) || '-bs16', 96) AS run FROM events")
@@ -241,16 +250,21 @@ def prj36(spark, sf):
     return table(spark, sf, "events").select("event_id", F.substring(F.concat("event_type", F.lit("-"), F.date_format("ts", "yyyy_MM_dd"), F.lit("_"), sec.cast("string"), F.lit("-bs16")), 1, 96).alias("run"))
 
 
-@query("PRJ37_nearest_resize", with_views("prob", ",,l AS (SELECT r, c, min(cls) AS cls FROM prob WHERE scene = 'A' GROUP BY 1, 2), g AS (SELECT CAST(i.i AS INT) AS r, CAST(j.j AS INT) AS c FROM (SELECT unnest(generate_series(0, 47)) AS i) i, (SELECT unnest(generate_series(0, 47)) AS j) j) SELECT g.r, g.c, l.cls FROM g LEFT JOIN l ON l.r = CAST(floor((g.r + 0.5) * 32 / 48) AS INT) AND l.c = CAST(floor((g.c + 0.5) * 64 / 48) AS INT)"))
+@query("PRJ37_nearest_resize", with_views("prob", ",,l AS (SELECT scene, r, c, min(cls) AS cls FROM prob GROUP BY 1, 2, 3), g AS (SELECT scene, CAST(i.i AS INT) AS r, CAST(j.j AS INT) AS c FROM (SELECT DISTINCT scene FROM prob), (SELECT unnest(generate_series(0, 47)) AS i) i, (SELECT unnest(generate_series(0, 47)) AS j) j) SELECT g.scene, g.r, g.c, l.cls FROM g LEFT JOIN l ON l.scene = g.scene AND l.r = CAST(floor((g.r + 0.5) * 32 / 48) AS INT) AND l.c = CAST(floor((g.c + 0.5) * 64 / 48) AS INT)"))
 def prj37(spark, sf):
-    src = views.prob(spark, sf).where("scene = 'A'").groupBy("r", "c").agg(F.min("cls").alias("cls")).withColumnsRenamed({"r": "sr", "c": "sc"})
+    src = views.prob(spark, sf).groupBy("scene", "r", "c").agg(F.min("cls").alias("cls")).withColumnsRenamed({"r": "sr", "c": "sc"})
     axis = F.sequence(F.lit(0), F.lit(47))
-    g = spark.range(1).select(F.explode(axis).alias("r")).withColumn("c", F.explode(axis))
+    g = src.select("scene").distinct().withColumn("r", F.explode(axis)).withColumn("c", F.explode(axis))
     g = g.withColumn("sr", grid.snap(F.col("r"), 32, 48)).withColumn("sc", grid.snap(F.col("c"), 64, 48))
-    return g.join(src, ["sr", "sc"], "left").select("r", "c", "cls")
+    return g.join(src, ["scene", "sr", "sc"], "left").select("scene", "r", "c", "cls")
+
 
+DRAWN = "1 + (CAST('0x' || left(md5(tile || '{0}'), 8) AS BIGINT) / 4294967296.0::DOUBLE - 0.5::DOUBLE) * 0.5::DOUBLE"
 
-@query("PRJ38_colour_jitter")
+
+@query("PRJ38_colour_jitter", with_views("rgb", "SELECT tile, y, x, " + ", ".join(f"CAST(floor(greatest(0e0, least(255e0, {c} * ({DRAWN.format('light')}) * ({DRAWN.format(c)})))) AS INT) AS {c}" for c in "rgb") + " FROM rgb"))
 def prj38(spark, sf):
-    k = 1 + (F.rand(7) - 0.5) * 0.5
-    return views.rgb(spark, sf).select("tile", "y", "x", *[imagery.clamp(F.col(c) * k).alias(c) for c in imagery.CHANNELS])
+    """Each image lighter or darker, and each of its channels by a factor of its own, drawn from the image's name."""
+    drawn = lambda what: 1 + (F.conv(F.left(F.md5(F.concat("tile", F.lit(what))), F.lit(8)), 16, 10).cast("long") / 4294967296.0 - 0.5) * 0.5
+    return views.rgb(spark, sf).select("tile", "y", "x", *[imagery.clamp(F.col(c) * drawn("light") * drawn(c)).alias(c) for c in imagery.CHANNELS])
+

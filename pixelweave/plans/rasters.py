@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pixelweave.operators import grid, numbering, summed, suppress, views
 from pixelweave.operators.views import CLASSES, table, with_views
 from pixelweave.plans.registry import query
+from pixelweave.plans.windows_scalars import nms_sql
 from pixelweave.scratch import scratch_path, stage
 from pixelweave.sources import pyramid
 
@@ -39,15 +40,7 @@ def prj10_reduced(spark, sf):
     return resized(spark, sf, 20, 64)
 
 
-IOU = "greatest(0, least(a.x1, z.x1) - greatest(a.x0, z.x0)) * greatest(0, least(a.y1, z.y1) - greatest(a.y0, z.y0))"
-AREA = "({0}.x1 - {0}.x0) * ({0}.y1 - {0}.y0)"
-
-
-@query("WIN05_nms_rounds", with_views("boxes", f""",,b AS (SELECT box_id % 3 AS image, box_id, x0 % 150 AS x0, y0 % 150 AS y0, x0 % 150 + x1 - x0 AS x1, y0 % 150 + y1 - y0 AS y1, row_number() OVER (PARTITION BY box_id % 3 ORDER BY box_id * 13 % 101 / 101 DESC, box_id) AS n FROM boxes),
-  c AS MATERIALIZED (SELECT z.image, z.n, z.box_id, coalesce(list(a.box_id) FILTER (WHERE {IOU} > 0.3 * ({AREA.format('a')} + {AREA.format('z')} - {IOU})), []) AS better FROM b z LEFT JOIN b a ON a.image = z.image AND a.n < z.n GROUP BY 1, 2, 3),
-  g AS (WITH RECURSIVE t AS (SELECT image, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS kept FROM b GROUP BY 1
-    UNION ALL SELECT t.image, c.n, CASE WHEN list_has_any(t.kept, c.better) THEN t.kept ELSE list_append(t.kept, c.box_id) END FROM t JOIN c ON c.image = t.image AND c.n = t.n + 1) SELECT image, arg_max(kept, n) AS kept FROM t GROUP BY 1)
-  SELECT image, unnest(kept) AS box_id FROM g"""))
+@query("WIN05_nms_rounds", nms_sql("box_id % 3", "x0 % 150", "y0 % 150", 0.3))
 def win05_rounds(spark, sf):
     x, y = F.col("x0") % 150, F.col("y0") % 150
     b = views.boxes(spark, sf).select((F.col("box_id") % 3).alias("image"), "box_id", x.alias("x0"), y.alias("y0"), (x + F.col("x1") - F.col("x0")).alias("x1"), (y + F.col("y1") - F.col("y0")).alias("y1"), (F.col("box_id") * 13 % 101 / 101).alias("score"))

@@ -30,10 +30,12 @@ def agg31_tiles(spark, sf):
     return found.select("mask_id", "r", "c", regions.first_row(F.col("region")).alias("top"), regions.first_column(F.col("region")).alias("leftmost"), "area")
 
 
-ISLANDS = "SELECT m.mask_id, m.r, m.c, CASE WHEN a.area >= 12 OR b.l = a.l THEN 1 ELSE 0 END AS on_ FROM masks m LEFT JOIN lab USING (mask_id, r, c) LEFT JOIN area a ON a.mask_id = lab.mask_id AND a.l = lab.l LEFT JOIN (SELECT mask_id, arg_max(l, row(area, -l)) AS l FROM area GROUP BY 1 HAVING max(area) < 12) b ON b.mask_id = m.mask_id"
+def islands_sql(least: int) -> str:
+    """The masks without regions below `least` pixels, or with the largest alone where all are."""
+    return f"SELECT m.mask_id, m.r, m.c, CASE WHEN a.area >= {least} OR b.l = a.l THEN 1 ELSE 0 END AS on_ FROM masks m LEFT JOIN lab USING (mask_id, r, c) LEFT JOIN area a ON a.mask_id = lab.mask_id AND a.l = lab.l LEFT JOIN (SELECT mask_id, arg_max(l, row(area, -l)) AS l FROM area GROUP BY 1 HAVING max(area) < {least}) b ON b.mask_id = m.mask_id"
 
 
-@query("AGG31_islands_tiles", region_sql("on_ = 1", ISLANDS))
+@query("AGG31_islands_tiles", region_sql("on_ = 1", islands_sql(12)))
 def agg31_islands(spark, sf):
     return regions.remove_small(views.masks(spark, sf), 12, tile=TILE)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pixelweave.operators import catalog, classify, grid, imagery, masks, pandas_ops, spatial, views, vote
+from pixelweave.operators import catalog, classify, grid, imagery, masks, numbering, pandas_ops, spatial, suppress, views, vote
 from pixelweave.operators.views import table, with_views
 from pixelweave.plans.projections import hue_weight_sql
 from pixelweave.plans.registry import query
@@ -38,10 +38,21 @@ def win04(spark, sf):
     return catalog.epoch_log(e, "run", "epoch", "event_id", "loss").select("run", "epoch_no", "event_id")
 
 
-@query("WIN05_nms")
+def nms_sql(group: str, x: str, y: str, limit: float) -> str:
+    """The boxes that the greedy order keeps, one step of the recursion a box of each group."""
+    meet = "greatest(0, least(a.x1, z.x1) - greatest(a.x0, z.x0)) * greatest(0, least(a.y1, z.y1) - greatest(a.y0, z.y0))"
+    area = "({0}.x1 - {0}.x0) * ({0}.y1 - {0}.y0)"
+    return with_views("boxes", f""",,b AS (SELECT {group} AS image, box_id, {x} AS x0, {y} AS y0, {x} + x1 - x0 AS x1, {y} + y1 - y0 AS y1, row_number() OVER (PARTITION BY {group} ORDER BY box_id * 13 % 101 / 101 DESC, box_id) AS n FROM boxes),
+      c AS MATERIALIZED (SELECT z.image, z.n, z.box_id, coalesce(list(a.box_id) FILTER (WHERE {meet} > {limit} * ({area.format('a')} + {area.format('z')} - {meet})), []) AS better FROM b z LEFT JOIN b a ON a.image = z.image AND a.n < z.n GROUP BY 1, 2, 3),
+      g AS (WITH RECURSIVE t AS (SELECT image, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS kept FROM b GROUP BY 1
+        UNION ALL SELECT t.image, c.n, CASE WHEN list_has_any(t.kept, c.better) THEN t.kept ELSE list_append(t.kept, c.box_id) END FROM t JOIN c ON c.image = t.image AND c.n = t.n + 1) SELECT image, arg_max(kept, n) AS kept FROM t GROUP BY 1)
+      SELECT image, unnest(kept) AS box_id FROM g""")
+
+
+@query("WIN05_nms", nms_sql("'all'", "x0", "y0", 0.3))
 def win05(spark, sf):
     b = views.boxes(spark, sf).select(F.lit("all").alias("image"), "box_id", "x0", "y0", "x1", "y1", (F.col("box_id") * 13 % 101 / 101).alias("score"))
-    return pandas_ops.nms(b, "image", 0.3)
+    return suppress.suppress(b, "image", 0.3).select("image", "box_id")
 
 
 @query("WIN05_iou_pairs", with_views("boxes", ",,b AS (SELECT box_id, x0, y0, x1, y1, greatest(0.0, 0.0) AS z FROM boxes), p AS (SELECT a.box_id AS a, b.box_id AS b, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS s FROM b a JOIN b b ON a.box_id < b.box_id AND a.x0 < b.x1 AND a.x1 > b.x0 AND a.y0 < b.y1 AND a.y1 > b.y0) SELECT a, b, round(i / (s - i), 6) AS iou FROM p"))
@@ -81,12 +92,13 @@ def win10(spark, sf):
     return views.prob(spark, sf).groupBy("scene", w("r").alias("wr"), w("c").alias("wc"), (F.col("r") % 14).alias("ir"), (F.col("c") % 14).alias("ic")).agg(F.count("*").alias("n"))
 
 
-@query("WIN11_nearest_upsample", with_views("prob", ",,l AS (SELECT r, c, min(cls) AS cls FROM prob WHERE scene = 'A' AND r < 8 AND c < 8 GROUP BY 1, 2), g AS (SELECT CAST(i.i AS INT) AS r, CAST(j.j AS INT) AS c FROM (SELECT unnest(generate_series(0, 31)) AS i) i, (SELECT unnest(generate_series(0, 31)) AS j) j) SELECT g.r, g.c, l.cls FROM g JOIN l ON l.r = g.r // 4 AND l.c = g.c // 4"))
+@query("WIN11_nearest_upsample", with_views("prob", ",,l AS (SELECT r, c, min(cls) AS cls FROM prob GROUP BY 1, 2), o AS (SELECT unnest(generate_series(0, 1)) AS o) SELECT CAST(l.r * 2 + a.o AS INT) AS r, CAST(l.c * 2 + b.o AS INT) AS c, cls FROM l, o a, o b"))
 def win11(spark, sf):
-    lab = views.prob(spark, sf).where("scene = 'A' AND r < 8 AND c < 8").groupBy("r", "c").agg(F.min("cls").alias("cls"))
-    axis = F.sequence(F.lit(0), F.lit(31))
-    px = spark.range(1).select(F.lit("t").alias("k"), F.explode(axis).alias("r")).withColumn("c", F.explode(axis))
-    return grid.upsample_labels(px, lab, 4, ("k",), False).select("r", "c", "cls")
+    """Labels of all scenes on top of each other, at twice the size."""
+    lab = views.prob(spark, sf).groupBy("r", "c").agg(F.min("cls").alias("cls"))
+    axis = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) * 2 + 1)).alias(c)
+    px = lab.agg(F.max("r").alias("r"), F.max("c").alias("c")).select(F.lit("t").alias("k"), axis("r"), "c").select("k", "r", axis("c"))
+    return grid.upsample_labels(px, lab, 2, ("k",), False).select("r", "c", "cls")
 
 
 @query("WIN11_nearest_upsample_scenes", with_views("prob", ",,l AS (SELECT scene, r, c, min(cls) AS cls FROM prob GROUP BY 1, 2, 3), o AS (SELECT unnest(generate_series(0, 3)) AS o) SELECT scene, CAST(r * 4 + i.o AS INT) AS r, CAST(c * 4 + j.o AS INT) AS c, cls FROM l, o i, o j"))
@@ -99,7 +111,7 @@ def win11_scenes(spark, sf):
 
 @query("SRT01_sorted_listing", "SELECT s_suppkey, s_name, CAST(row_number() OVER (ORDER BY s_name) AS INT) AS place FROM supplier")
 def srt01(spark, sf):
-    return table(spark, sf, "supplier").select("s_suppkey", "s_name", F.row_number().over(Window.orderBy("s_name")).alias("place")).orderBy("s_name")
+    return numbering.number_rows(table(spark, sf, "supplier").select("s_suppkey", "s_name"), ["s_name"]).withColumn("place", F.col("place").cast("int"))
 
 
 @query("SRT02_resume", "SELECT o_orderkey FROM orders ORDER BY o_orderkey OFFSET 100")

@@ -1,4 +1,4 @@
-"""Sinks: partitioned Parquet for tiles and rasters, one CSV for lists, and idempotent stages."""
+"""Sinks: partitioned Parquet for tiles and rasters, CSV for lists, and idempotent stages."""
 
 from __future__ import annotations
 
@@ -16,8 +16,9 @@ def write_classified(raster: DataFrame, path: str, names: dict[int, str], cls: s
     tagged.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(rows: DataFrame, path: str, one_file: bool = False) -> None:
+    """A folder of CSV files, each with the header; one file through one task if asked, for short lists."""
+    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_once(rows: DataFrame, path: str) -> None:
