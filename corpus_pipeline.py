@@ -21,7 +21,12 @@ def own_name(docs: DataFrame, name: str) -> str:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts, texts without a letter, and those whose codeword is ambiguous."""
+    """Drops documents without a language: null texts, texts without a letter, and those whose codeword is ambiguous.
+
+    A text's prediction hangs on the text and the model alone: equal texts, repeated rows too, stay or go together, and texts
+    of any length are read whole. Where nothing can be learned (an empty table, no labels) no document has a language. A tie
+    between codewords is ambiguous. Null ids and sources and other columns, whatever their names, are kept as they are.
+    """
     model = language_id.train(docs)
     lang, unclear, score = (own_name(docs, n) for n in ("lang_pred", "ambiguous", "lang_score"))
     told = language_id.predict(docs, model, names=(lang, score, unclear))
@@ -29,7 +34,12 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document of the smallest id, once; of a group without ids one text."""
+    """Keeps of each group of near-duplicates the document of the smallest id, once; of a group without ids one text.
+
+    Null texts and texts without words resemble nothing and stay, but rows equal in id and text are one document. Of rows
+    with one id and different texts that are alike one stays. Texts of any length are compared whole; an empty table gives no rows; other
+    columns, whatever their names, are kept, of repeated rows those of any one.
+    """
     found = near_dup.near_duplicates(docs.select("doc_id", "text"))
     key = own_name(docs, "row_key")
     named = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("text_key").alias(key)).distinct()
