@@ -69,3 +69,31 @@ def test_shards_receive_what_their_source_is_due(spark):
     goal = mx.targets(list(size.values()), [(5, 2, 1)[i % 3] for i in range(7)])
     assert taken == dict(zip(size, mx.sainte_lague(goal, sum(size.values())), strict=True))
     assert taken["f"] == 9 and taken["g"] == 3
+
+
+def test_query_against_brute_force(spark, sf):
+    """Sizes, targets by plain resharing, and words taken, of every document of the table."""
+    import re
+
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").collect()
+    size = {r.doc_id: len(re.findall("[^\x20\x09-\x0d]+", r.text or "")) for r in rows}
+    names = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
+    of = {s: sum(size[r.doc_id] for r in rows if r.source == s) for s in names}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    goal, full = {}, set()
+    while True:
+        left = sum(of.values()) - sum(3 * of[s] for s in full)
+        goal = {s: 3 * of[s] if s in full else left * weight[s] / sum(weight[x] for x in names if x not in full) for s in names}
+        over = {s for s in names if s not in full and goal[s] > 3 * of[s]}
+        if not over:
+            break
+        full |= over
+    got = {r.doc_id: r for r in mx.op6_mixing(spark, sf).collect()}
+    assert set(got) == set(size) and all(got[d].size == n for d, n in size.items())
+    for s in names:
+        mine = [got[r.doc_id] for r in rows if r.source == s]
+        assert all(r.source_size == of[s] and abs(r.target - goal[s]) < 1e-6 * max(1, goal[s]) and 0 <= r.taken <= 3 * r.size for r in mine)
+        assert abs(sum(r.taken for r in mine) - goal[s]) <= 1
+        # whole rounds of the source, and one more of some: no document is favoured
+        times = goal[s] // of[s] if of[s] else 0
+        assert all(r.taken >= (times - 1) * r.size for r in mine)

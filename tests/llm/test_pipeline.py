@@ -45,3 +45,14 @@ def test_odd_documents(spark, sf):
     assert cp.mixing_stage(spark, clash, sf).columns == clash.columns
     out = cp.bpe_stage(spark, clash, sf).collect()
     assert sorted(r.n_tokens for r in out)[:1] == [0] and [r.doc_id for r in out].count(5) == 2 and len(out) == 6
+
+
+def test_near_dup_stage_on_odd_rows(spark, sf):
+    """What has no words stays; rows equal in id and text are one; names may clash; a very long text is compared whole."""
+    long_text = " ".join(f"w{i % 9000}" for i in range(60_000))
+    rows = [(1, None), (2, None), (3, ""), (4, " \t"), (4, " \t"), (5, long_text), (6, long_text + " end"), (7, "one two three four five six"), (7, "other words that stand for themselves alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row_key", F.lit(1)).withColumn("group", F.lit("g")).withColumn("component_id", F.lit(0))
+    one = cp.near_dup_stage(spark, docs, sf)
+    assert one.columns == docs.columns
+    got = sorted((r.doc_id, r.text or "") for r in one.collect())
+    assert got == sorted([(1, ""), (2, ""), (3, ""), (4, " \t"), (5, long_text), (7, rows[7][1]), (7, rows[8][1])])
