@@ -76,12 +76,12 @@ def cascade_delete(bad: DataFrame, on: str, *artefacts: DataFrame) -> list[DataF
 
 
 def early_stop(df: DataFrame, patience: int, run: str = "run", epoch: str = "epoch", loss: str = "loss") -> DataFrame:
-    """df with best (so far), waited (epochs since it was reached) and stop."""
-    w = Window.partitionBy(run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("best", F.min(loss).over(w))
-    prev = F.lag("best").over(Window.partitionBy(run).orderBy(epoch))
-    out = out.withColumn("improved", prev.isNull() | (F.col(loss) < prev)).withColumn("last", F.max(F.when(F.col("improved"), F.col(epoch))).over(w))
-    return out.withColumn("waited", F.col(epoch) - F.col("last")).withColumn("stop", F.col("waited") >= patience).drop("last", "improved")
+    """df with best (so far), waited (evaluations since it was reached, whatever their epochs) and stop."""
+    w = Window.partitionBy(run).orderBy(epoch)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumns({"best": F.min(loss).over(upto), "at": F.row_number().over(w)}).withColumn("before", F.lag("best").over(w))
+    out = out.withColumn("last", F.max(F.when(F.col("before").isNull() | (F.col(loss) < F.col("before")), F.col("at"))).over(upto))
+    return out.withColumn("waited", F.col("at") - F.col("last")).withColumn("stop", F.col("waited") >= patience).drop("at", "before", "last")
 
 
 def latest(df: DataFrame, key: str, what: str, when: str) -> DataFrame:

@@ -209,7 +209,7 @@ def jon08(spark, sf):
 @query("JON09_name_contains", "SELECT s.s_suppkey, r.r_regionkey FROM supplier s JOIN region r ON contains(s.s_name, CAST(r.r_regionkey AS VARCHAR))")
 def jon09(spark, sf):
     r = table(spark, sf, "region").select("r_regionkey", F.col("r_regionkey").cast("string").alias("stem"))
-    return table(spark, sf, "supplier").join(F.broadcast(r), F.contains("s_name", "stem")).select("s_suppkey", "r_regionkey")
+    return catalog.contains_join(table(spark, sf, "supplier"), "s_name", r, "stem").select("s_suppkey", "r_regionkey")
 
 
 MOSAIC = ",,nv AS (SELECT scene, r, c, cls, count(*) AS n FROM votes GROUP BY 1, 2, 3, 4), pm AS (SELECT scene, r, c, arg_max(cls, row(n, -cls)) AS cls FROM nv GROUP BY 1, 2, 3), nt AS (SELECT scene, r, c, cls, count(*) AS n FROM truth_votes GROUP BY 1, 2, 3, 4), tm AS (SELECT scene, r, c, arg_max(cls, row(n, -cls)) AS cls FROM nt GROUP BY 1, 2, 3)"

@@ -64,7 +64,7 @@ def win05b(spark, sf):
 DAILY = "SELECT event_type AS run, CAST(day(ts) AS INT) AS epoch, round(avg(value), 6) AS loss FROM events GROUP BY 1, 2"
 
 
-@query("WIN06_early_stop", f"WITH l AS ({DAILY}), b AS (SELECT *, min(loss) OVER (PARTITION BY run ORDER BY epoch) AS best FROM l), p AS (SELECT *, lag(best) OVER (PARTITION BY run ORDER BY epoch) AS prev FROM b), q AS (SELECT *, max(CASE WHEN prev IS NULL OR loss < prev THEN epoch END) OVER (PARTITION BY run ORDER BY epoch) AS last FROM p) SELECT run, epoch, loss, best, CAST(epoch - last AS INT) AS waited, epoch - last >= 10 AS stop FROM q")
+@query("WIN06_early_stop", f"WITH l AS ({DAILY}), b AS (SELECT *, min(loss) OVER (PARTITION BY run ORDER BY epoch) AS best FROM l), p AS (SELECT *, lag(best) OVER (PARTITION BY run ORDER BY epoch) AS prev FROM b), n AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY epoch) AS n FROM p), q AS (SELECT *, max(CASE WHEN prev IS NULL OR loss < prev THEN n END) OVER (PARTITION BY run ORDER BY epoch) AS last FROM n) SELECT run, epoch, loss, best, CAST(n - last AS INT) AS waited, n - last >= 10 AS stop FROM q")
 def win06(spark, sf):
     e = table(spark, sf, "events").groupBy(F.col("event_type").alias("run"), F.day("ts").alias("epoch")).agg(F.round(F.avg("value"), 6).alias("loss"))
     return catalog.early_stop(e, 10)

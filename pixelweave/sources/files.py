@@ -62,3 +62,8 @@ def list_rasters(spark: SparkSession, path: str) -> DataFrame:
     """(path, length) of .tif files below a folder, in order."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", "length").where(F.lower("path").endswith(".tif")).orderBy("path")
+
+
+def checked(df: DataFrame, content: str, expected: str, name: str = "intact") -> DataFrame:
+    """df with whether the MD5 of a text or binary column is the expected one (hex, any case); null where either is missing."""
+    return df.withColumn(name, F.md5(F.col(content).cast("binary")) == F.lower(expected))

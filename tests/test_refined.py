@@ -84,3 +84,10 @@ def test_names_that_contain_names(spark):
     want = sorted((a, b) for (a,) in [("banana",), ("an",), ("",), ("ba",)] for b in ("an", "a", "", "banana!", "an") if b in a)
     assert got == want
     assert catalog.contains_join(names, "a", stems.where("false"), "b").collect() == []
+
+
+def test_waiting_counts_evaluations(spark):
+    """Epochs with gaps: three evaluations without a gain are three, not ten."""
+    df = spark.createDataFrame([("a", e, x) for e, x in ((1, 3.0), (5, 2.0), (6, 2.5), (15, 2.0), (16, 2.1), (30, 1.0))], "run string, epoch int, loss double")
+    got = [(r.epoch, r.best, r.waited, r.stop) for r in catalog.early_stop(df, 3).orderBy("epoch").collect()]
+    assert got == [(1, 3.0, 0, False), (5, 2.0, 0, False), (6, 2.0, 1, False), (15, 2.0, 2, False), (16, 2.0, 3, True), (30, 1.0, 0, False)]
