@@ -36,11 +36,6 @@ def cover_tiles(px: DataFrame, tile: int, step: int, width: int, height: int) ->
     return px.withColumn("tile_x", F.explode(covering_origins(F.col("c"), tile, step, width))).withColumn("tile_y", F.explode(covering_origins(F.col("r"), tile, step, height)))
 
 
-def to_global(px: DataFrame) -> DataFrame:
-    """Tile-local r, c to raster r, c."""
-    return px.withColumn("r", F.col("tile_y") + F.col("r")).withColumn("c", F.col("tile_x") + F.col("c"))
-
-
 def pixel_to_world(r: Column, c: Column, gt: dict) -> tuple[Column, Column]:
     """World position of a pixel's centre under the affine a..f."""
     return gt["c"] + gt["a"] * (c + 0.5) + gt["b"] * (r + 0.5), gt["f"] + gt["d"] * (c + 0.5) + gt["e"] * (r + 0.5)

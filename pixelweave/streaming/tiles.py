@@ -40,8 +40,3 @@ def result_stream(out: DataFrame, target: str, checkpoint: str, mode: str = "app
     if mode == "append":
         return w.format("parquet").option("path", target).start()
     return w.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{target}/batch={batch}")).start()
-
-
-def windowed_counts(events: DataFrame, ts: str = "ts", size: str = "1 day", late: str = "1 hour", by: str = "event_type") -> DataFrame:
-    """An extension: event-time windows with a watermark."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, size), by).agg(F.count("*").alias("n"))
