@@ -1,6 +1,6 @@
 """Coordinates from one reference system to another: degrees (EPSG 4326) and the UTM zones (EPSG 326xx and 327xx).
 
-The transverse Mercator projection by the series in the third flattening to its fourth power, good to a micrometre, which holds well beyond a zone's border, so
+The transverse Mercator projection by the series in the third flattening to its fourth power, good to some micrometres, which holds well beyond a zone's border, so
 that points near it can be brought to the neighbouring zone. Latitudes come back by iteration-free series too.
 """
 
