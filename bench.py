@@ -9,7 +9,6 @@ import time
 HEADLINE = (
     "Q0_mosaic_accuracy", "AGG01_quantiles", "AGG03_argmax_class", "AGG06_plurality", "AGG12_pixel_accuracy", "AGG14_histogram", "PRJ07_quantile_stretch",
     "JON10_align_truth", "JON11_cover_tiles", "JON17_fill_nearest", "FLT10_intersects", "FLT02_blank_tiles", "WIN01_widest_gap", "WIN02_rle_encode", "AGG31_components", "UDF05_colour_correction",
-    "AGG31_components_tiles", "JON17_fill_nearest_mosaic", "FLT10_holed_intersects", "WIN05_nms_rounds", "AGG04_overlapping_tiles",
 )
 
 

@@ -107,6 +107,9 @@ def contract(edges: DataFrame, key: str, small: int = SMALL) -> DataFrame:
         left = nxt
         moves.append(move)
 
+    if not n and not moves:  # nothing touches across tiles
+        return left.select(key, F.col("u").alias("node"), F.col("v").alias("root"))
+
     def finish(frames):
         some = pd.concat([*frames, pd.DataFrame({key: [], "u": [], "v": []})])
         if len(some):
