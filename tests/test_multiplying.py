@@ -16,3 +16,13 @@ def test_strips_are_not_broadcast(spark):
     out = masks.expand_boxes(box, like, 64, 64, 0.5)
     assert "ShuffledHashJoin" in plan(out)
     assert {b.box_id: (b.x0, b.x1) for b in out.collect()} == dict.fromkeys(range(50), (8, 30))
+
+
+def test_masks_set_all_over_have_no_peak(spark, tmp_path):
+    """As in the SQL, where no unset pixel is there to measure from."""
+    from pixelweave.plans.all import QUERIES
+
+    at = ["id % 32 AS l_suppkey", "id div 32 AS l_partkey", "1 AS l_linenumber", "'O' AS l_linestatus", "50000.0D AS l_extendedprice"]
+    rows = spark.range(2048).selectExpr("'A' AS l_returnflag", *at).union(spark.range(2047).selectExpr("'N' AS l_returnflag", *at))
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert [(r.mask_id, r.r, r.c) for r in QUERIES["AGG33_distance_peak"](spark, str(tmp_path)).collect()] == [("N-1", 0, 0)]
