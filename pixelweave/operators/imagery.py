@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelweave.operators.fanout import spread_join
+
 CHANNELS = ("r", "g", "b")
 
 # Fixed values of the colour correction: least average red, largest hue shift, pixels of an image to each pixel that a
@@ -89,10 +91,10 @@ def apply_matrix(m: dict[str, Column]) -> dict[str, Column]:
 
 
 def colour_matrix(rgb: DataFrame, keys: tuple = ("tile",)) -> DataFrame:
-    """(keys, r_gain, r_offset, ..., shift): the correction of each image from its own statistics. Tables of a row an image are left to the planner."""
+    """(keys, r_gain, r_offset, ..., shift): the correction of each image from its own statistics. Pixels meet it in parts, so that no task reads a whole image."""
     stats = channel_stats(rgb, keys)
     shift = least_hue_shift(stats, keys)
-    turned = rgb.join(shift, list(keys)).withColumn("r", clamp(hue_shifted_red(F.col("r"), F.col("g"), F.col("b"), F.col("shift").cast("double"))))
+    turned = spread_join(rgb.select(*keys, *CHANNELS), shift, list(keys)).withColumn("r", clamp(hue_shifted_red(F.col("r"), F.col("g"), F.col("b"), F.col("shift").cast("double"))))
     hist = histogram(turned, keys).join(stats.select(*keys, "pixels"), list(keys))
     gaps = widest_gap(hist, F.col("pixels") / RARE_SHARE + RARE_MORE, (*keys, "channel"))
     gain, offset = gain_offset(F.col("low"), F.col("high"))
@@ -110,7 +112,7 @@ def colour_correct(rgb: DataFrame, keys: tuple = ("tile",)) -> DataFrame:
         "gr": zero, "gg": F.col("g_gain"), "gb": zero, "g0": F.col("g_offset"),
         "br": zero, "bg": zero, "bb": F.col("b_gain"), "b0": F.col("b_offset"),
     }
-    return rgb.join(m, list(keys)).withColumns(apply_matrix(mat)).select(*rgb.columns)
+    return spread_join(rgb, m, list(keys)).withColumns(apply_matrix(mat)).select(*rgb.columns)
 
 
 def blend(bg: Column, fg: Column, alpha: float) -> Column:

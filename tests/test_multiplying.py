@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pixelweave.operators import masks
+from pyspark.sql import functions as F
+
+from pixelweave.operators import fanout, imagery, masks
 
 
 def plan(df) -> str:
@@ -26,3 +28,14 @@ def test_masks_set_all_over_have_no_peak(spark, tmp_path):
     rows = spark.range(2048).selectExpr("'A' AS l_returnflag", *at).union(spark.range(2047).selectExpr("'N' AS l_returnflag", *at))
     rows.write.parquet(str(tmp_path / "lineitem.parquet"))
     assert [(r.mask_id, r.r, r.c) for r in QUERIES["AGG33_distance_peak"](spark, str(tmp_path)).collect()] == [("N-1", 0, 0)]
+
+
+def test_rows_of_one_key_are_dealt_out(spark):
+    """An image's pixels reach their correction in parts, and a place's rows are joined by many tasks."""
+    many = spark.range(4000).selectExpr("CASE WHEN id >= 0 THEN 't' END AS k", "id AS a")
+    out = fanout.spread_join(many, spark.createDataFrame([("t", 1), ("t", 2), ("u", 3)], "k string, b int"), ["k"])
+    assert out.columns == ["k", "a", "b"] and out.count() == 8000 and out.distinct().count() == 8000
+    assert out.select(F.spark_partition_id()).distinct().count() > 2
+    px = many.selectExpr("k AS tile", "a AS y", "CAST(a % 200 AS INT) AS r", "CAST(a % 90 AS INT) AS g", "CAST(a % 70 AS INT) AS b")
+    fixed = imagery.colour_correct(px)
+    assert fixed.count() == 4000 and fixed.select(F.spark_partition_id()).distinct().count() > 2
