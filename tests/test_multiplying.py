@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pixelweave.operators import fanout, imagery, masks
+from pixelweave.operators import catalog, fanout, imagery, masks
 
 
 def plan(df) -> str:
@@ -39,3 +39,12 @@ def test_rows_of_one_key_are_dealt_out(spark):
     px = many.selectExpr("k AS tile", "a AS y", "CAST(a % 200 AS INT) AS r", "CAST(a % 90 AS INT) AS g", "CAST(a % 70 AS INT) AS b")
     fixed = imagery.colour_correct(px)
     assert fixed.count() == 4000 and fixed.select(F.spark_partition_id()).distinct().count() > 2
+
+
+def test_many_to_many_joins_are_dealt_out(spark):
+    """One place of many sessions and orthos, one stem in all names: rows come from several tasks, each pair once."""
+    a = spark.range(300).selectExpr("id AS s", "CAST(id * 0 AS INT) AS place", "concat('n', id) AS name")
+    b = spark.range(40).selectExpr("id AS o", "CAST(id * 0 AS INT) AS place", "substring('nnn', 1, CAST(id % 1 + 1 AS INT)) AS stem")
+    for out in (catalog.match_orthos(a.drop("name"), b.drop("stem")), catalog.contains_join(a.drop("place"), "name", b.drop("place"), "stem")):
+        assert out.count() == out.select("s", "o").distinct().count() == 12000
+        assert out.select(F.spark_partition_id()).distinct().count() > 2
