@@ -58,7 +58,7 @@ def win05(spark, sf):
 @query("WIN05_iou_pairs", with_views("boxes", ",,b AS (SELECT box_id, x0, y0, x1, y1, greatest(0.0, 0.0) AS z FROM boxes), p AS (SELECT a.box_id AS a, b.box_id AS b, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS s FROM b a JOIN b b ON a.box_id < b.box_id AND a.x0 < b.x1 AND a.x1 > b.x0 AND a.y0 < b.y1 AND a.y1 > b.y0) SELECT a, b, round(i / (s - i), 6) AS iou FROM p"))
 def win05b(spark, sf):
     b = views.boxes(spark, sf).withColumn("image", F.lit("all"))
-    return masks.pairwise_iou(b, "image").select("a", "b", F.round("iou", 6).alias("iou"))
+    return masks.pairwise_iou(b, "image", digits=6).select("a", "b", "iou")
 
 
 DAILY = "SELECT event_type AS run, CAST(day(ts) AS INT) AS epoch, round(avg(value), 6) AS loss FROM events GROUP BY 1, 2"

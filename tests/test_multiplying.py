@@ -60,3 +60,20 @@ def test_equal_boxes_are_swept_together(spark, monkeypatch):
     got = {r.box_id: (r.area, r.covered) for r in polygons.coverage(boxes, polygons.cover_cells(edges, ("feature_id",)), keys=("feature_id",)).where("area > 0").collect()}
     assert seen == [5]
     assert got == {k: ((4.0, 4.0, 2.0)[k % 5], k % 5 < 2) for k in range(500) if k % 5 < 3}
+
+
+def test_pairs_of_equal_boxes(spark):
+    """Copies are compared with others once, and each pair comes once, whatever the sizes."""
+    kinds = [(0.0, 0.0, 4.0, 4.0), (2.0, 2.0, 300.0, 300.0), (3.0, 3.0, 5.0, 5.5), (299.0, 299.0, 299.5, 299.25), (9.0, 9.0, 9.0, 12.0)]
+    rows = [(g, k, *kinds[(k * 7 + g) % 5]) for g in range(2) for k in range(30)]
+    df = spark.createDataFrame(rows, "image int, box_id int, x0 double, y0 double, x1 double, y1 double")
+    want = {}
+    for g, k, *a in rows:
+        for h, m, *b in rows:
+            w, t = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+            if g == h and k < m and w > 0 and t > 0:
+                want[g, k, m] = round(w * t / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * t), 6)
+    out = masks.pairwise_iou(df, "image", digits=6)
+    got = out.collect()
+    assert len(got) == len(want) and {(r.image, r.a, r.b): r.iou for r in got} == want
+    assert "BroadcastExchange" not in plan(out)
