@@ -13,37 +13,41 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.operators.masks import iou
+from pixelweave.operators.masks import iou, meeting_boxes, with_level
+from pixelweave.operators.numbering import number_rows
 from pixelweave.scratch import drop, stage
 
 #: Conflicts below which the rest is settled at once, in one task: some 10 MB.
 SMALL = 200_000
+#: Boxes of the first batch, and how many times as many boxes are done after the next.
+FIRST, FACTOR = 4096, 4
 
 
-def conflicts(boxes: DataFrame, group: str, limit: float, key: str = "box_id", score: str = "score") -> DataFrame:
-    """(group, better, worse): pairs of boxes(group, key, score, x0, y0, x1, y1) whose overlap exceeds limit > 0.
-
-    The better one has the higher score, of equals the smaller key. Overlap bounds the ratio of sizes, so that a box looks for
-    others in cells of its own size and of a few sizes above.
-    """
-    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    b = boxes.where("x1 > x0 AND y1 > y0").select(group, key, score, "x0", "y0", "x1", "y1").withColumn("k", F.ceil(F.log2(side)).cast("int"))
+def _up(limit: float):
+    """Levels on which a box looks for others: overlap bounds the ratio of sizes."""
     above = max(1, math.ceil(math.log2(1 / limit)))
+    return lambda k: F.sequence(k, k + above)
 
-    def cells(lo: int, hi: int):
-        def at(k):
-            s = F.pow(F.lit(2.0), k)
-            span = lambda a, z: F.sequence(F.floor(F.col(a) / s), F.floor(F.col(z) / s))
-            return F.flatten(F.transform(span("x0", "x1"), lambda i: F.transform(span("y0", "y1"), lambda j: F.struct(k.alias("ck"), i.alias("ci"), j.alias("cj")))))
 
-        return F.explode(F.flatten(F.transform(F.sequence(F.lit(lo), F.lit(hi)), lambda d: at((F.col("k") + d).cast("int")))))
+def conflicts(boxes: DataFrame, group: str, limit: float, key: str = "box_id", score: str = "score") -> DataFrame:
+    """(group, better, worse): pairs of boxes(group, key, score, x0, y0, x1, y1) whose overlap exceeds limit > 0.
 
-    big = b.withColumn("p", cells(0, 0)).select(group, "p.*", *[F.col(c).alias(f"a_{c}") for c in (key, score, "k", "x0", "y0", "x1", "y1")])
-    small = b.withColumn("p", cells(0, above)).select(group, "p.*", *[F.col(c).alias(f"b_{c}") for c in (key, score, "k", "x0", "y0", "x1", "y1")])
-    met = big.join(small, [group, "ck", "ci", "cj"]).where((F.col("b_k") < F.col("a_k")) | (F.col(f"a_{key}") < F.col(f"b_{key}"))).where(iou() > limit)
+    The better one has the higher score, of equals the smaller key. A box looks for others in cells of its own size and of a
+    few sizes above.
+    """
+    b = with_level(boxes.select(group, key, score, "x0", "y0", "x1", "y1"))
+    met = meeting_boxes(b, b, group, _up(limit)).where((F.col("b_k") < F.col("a_k")) | (F.col(f"a_{key}") < F.col(f"b_{key}"))).where(iou() > limit)
     first = (F.col(f"a_{score}") > F.col(f"b_{score}")) | ((F.col(f"a_{score}") == F.col(f"b_{score}")) & (F.col(f"a_{key}") < F.col(f"b_{key}")))
     a, z = F.col(f"a_{key}"), F.col(f"b_{key}")
-    return met.select(group, F.when(first, a).otherwise(z).alias("better"), F.when(first, z).otherwise(a).alias("worse")).distinct()
+    return met.select(group, F.when(first, a).otherwise(z).alias("better"), F.when(first, z).otherwise(a).alias("worse"))
+
+
+def beaten(boxes: DataFrame, kept: DataFrame, group: str, limit: float, key: str = "box_id") -> DataFrame:
+    """(group, key) of boxes that overlap by more than limit with one of kept; there are few such for any box, as kept ones don't overlap so."""
+    b, k = (with_level(d.select(group, key, "x0", "y0", "x1", "y1")) for d in (boxes, kept))
+    larger = meeting_boxes(k, b, group, _up(limit)).where(iou() > limit).select(group, F.col(f"b_{key}").alias(key))
+    smaller = meeting_boxes(b, k, group, _up(limit)).where("b_k < a_k").where(iou() > limit).select(group, F.col(f"a_{key}").alias(key))
+    return larger.union(smaller).distinct()
 
 
 def settle(frames):
@@ -72,11 +76,8 @@ def settle(frames):
     yield pd.DataFrame({group: [g for g, _ in gone], "worse": [z for _, z in gone]})
 
 
-def suppress(boxes: DataFrame, group: str = "image", limit: float = 0.7, key: str = "box_id", score: str = "score", small: int = SMALL) -> DataFrame:
-    """boxes that greedy suppression keeps: best score first, of equals the smaller key, each group by itself.
-
-    A box may have any other columns; keys are unique within their group. Boxes without extent overlap with none and stay.
-    """
+def rounds(boxes: DataFrame, group: str, limit: float, key: str, score: str, small: int) -> list[DataFrame]:
+    """Tables (group, key) of the boxes that go, by rounds over the graph of conflicts."""
     left = stage(conflicts(boxes, group, limit, key, score), "conflicts")
     gone = []
     while (n := left.count()) > small:
@@ -90,6 +91,39 @@ def suppress(boxes: DataFrame, group: str = "image", limit: float = 0.7, key: st
     if n:
         kind = lambda c: left.schema[c].dataType.simpleString()
         gone.append(left.repartition(1).mapInPandas(settle, f"`{group}` {kind(group)}, worse {kind('worse')}"))
-    for g in gone:
-        boxes = boxes.join(g.withColumnRenamed("worse", key), [group, key], "left_anti")
-    return boxes
+    return [g.withColumnRenamed("worse", key) for g in gone]
+
+
+def suppress(boxes: DataFrame, group: str = "image", limit: float = 0.7, key: str = "box_id", score: str = "score", small: int = SMALL, first: int = FIRST) -> DataFrame:
+    """boxes that greedy suppression keeps: best score first, of equals the smaller key, each group by itself.
+
+    A box may have any other columns; keys are unique within their group. Boxes without extent overlap with none and stay.
+    Of equal boxes the best alone matters: what it meets, the others meet, and where it is kept they go. The rest is taken in
+    batches, the best `first` boxes, then those up to FACTOR times as many, and so on; a batch loses what overlaps with
+    boxes that are kept already, and is settled by itself. So dense places don't make all pairs of their boxes.
+    """
+    fields = [group, key, score, "x0", "y0", "x1", "y1"]
+    solid = F.coalesce(F.expr("x1 > x0 AND y1 > y0") & F.col(group).isNotNull(), F.lit(False))
+    some = boxes.where(solid).select(*fields)
+    if limit < 1:
+        place = [group, "x0", "y0", "x1", "y1"]
+        some = some.groupBy(*place, score).agg(F.min(key).alias(key)).groupBy(*place).agg(F.max_by(F.struct(key, score), F.struct(score)).alias("b")).select(group, f"b.{key}", f"b.{score}", "x0", "y0", "x1", "y1")
+    some = stage(some, "boxes")
+    n = some.count()
+    if n > first:
+        numbered = number_rows(some, [F.desc(score), key], "at")
+    done, size, kept = 0, first, None
+    while done < n:
+        batch = some if n <= first else numbered.where((F.col("at") > done) & (F.col("at") <= size)).drop("at")
+        if kept is not None:
+            batch = stage(batch.join(beaten(batch, kept, group, limit, key), [group, key], "left_anti"), "batch")
+        gone = rounds(batch, group, limit, key, score, small)
+        for g in gone[1:]:
+            gone[0] = gone[0].union(g)
+        stay = stage(batch.join(gone[0], [group, key], "left_anti") if gone else batch, "kept")
+        kept = stay if kept is None else kept.union(stay)
+        done, size = size, size * FACTOR
+    if kept is None:
+        return boxes.where(~solid)
+    mark = "_".join(["kept", *boxes.columns])
+    return boxes.join(kept.select(group, key, F.lit(True).alias(mark)), [group, key], "left").where(F.col(mark) | ~solid).select(*boxes.columns)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from pixelweave.operators import catalog, fanout, imagery, masks, polygons
+from pixelweave.operators import catalog, fanout, imagery, masks, polygons, suppress
 
 
 def plan(df) -> str:
@@ -77,3 +78,19 @@ def test_pairs_of_equal_boxes(spark):
     got = out.collect()
     assert len(got) == len(want) and {(r.image, r.a, r.b): r.iou for r in got} == want
     assert "BroadcastExchange" not in plan(out)
+
+
+def test_suppression_in_batches(spark, monkeypatch):
+    """Equal boxes make no conflicts, and batches keep what one graph of all conflicts keeps."""
+    from tests.test_rasters import greedy
+
+    rng = np.random.default_rng(5)
+    kinds = [(float(x), float(y), float(x + s), float(y + s)) for x, y, s in zip(rng.integers(0, 30, 60), rng.integers(0, 30, 60), rng.integers(0, 12, 60), strict=True)]
+    rows = [(k % 2, k, float(rng.integers(0, 9)), *kinds[int(rng.integers(0, 60))]) for k in range(300)]
+    df = spark.createDataFrame(rows, "image int, box_id int, score double, x0 double, y0 double, x1 double, y1 double")
+    sizes = []
+    whole = suppress.rounds
+    monkeypatch.setattr(suppress, "rounds", lambda b, *rest: sizes.append(b.count()) or whole(b, *rest))
+    got = sorted((r.image, r.box_id) for r in suppress.suppress(df, "image", 0.3, first=16).collect())
+    assert got == greedy(rows, 0.3)
+    assert sizes[0] == 16 and len(sizes) == 3 and sum(sizes) < 120
