@@ -51,6 +51,37 @@ def test_many_to_many_joins_are_dealt_out(spark):
         assert out.select(F.spark_partition_id()).distinct().count() > 2
 
 
+def test_runs_keep_rows_whole(spark, monkeypatch):
+    """Runs of two rows, blocks of three: nulls, equal rows, two keys, columns of one name and sides without columns, as by a plain join."""
+    monkeypatch.setattr(fanout, "RUN", 2)
+    monkeypatch.setattr(fanout, "BLOCK", 3)
+    nan = float("nan")
+    a = spark.createDataFrame([(1.0, "p", 1), (1.0, "p", None), (1.0, "p", None), (nan, "p", 2), (None, "p", 3), (2.0, "q", 4), (2.0, None, 5)], "k double, l string, v int")
+    b = spark.createDataFrame([(1.0, "p", i, "w") for i in (1, 2, 3, 3, None, None, 4)] + [(nan, "p", 5, None), (None, "p", 6, "w"), (3.0, "q", 7, "w")], "k double, l string, v int, w string")
+    told = lambda df: sorted(map(str, df.toDF(*[f"c{i}" for i in range(len(df.columns))]).collect()))
+    got = fanout.run_join(a, b, ["k", "l"])
+    assert got.columns == ["k", "l", "v", "v", "w"] and told(got) == told(a.join(b, ["k", "l"])) and got.count() == 22
+    for x, y in ((a.drop("v"), b), (a, b.drop("v", "w"))):
+        assert told(fanout.run_join(x, y, ["k", "l"])) == told(x.join(y, ["k", "l"]))
+    assert told(fanout.run_join(a, b.drop("v"), ["k", "l"], ["w", "v"])) == told(a.join(b.drop("v"), ["k", "l"]).select("w", "v"))
+    assert fanout.run_join(a, b.where("false"), ["k", "l"]).count() == 0
+
+
+def test_pieces_that_are_no_stems_do_not_travel(spark, monkeypatch):
+    """Of a name's pieces those that equal a stem go to the join; the same pairs come out where all pieces go."""
+    names = spark.range(60).selectExpr("id AS n", "format_string('name%04d', id) AS name")
+    stems = spark.range(30).selectExpr("id AS s", "right(format_string('%04d', id * 5), 2) AS stem")
+    seen = []
+    whole = catalog.run_join
+    monkeypatch.setattr(catalog, "run_join", lambda many, *rest: seen.append(many.count()) or whole(many, *rest))
+    some = catalog.contains_join(names, "name", stems, "stem", ["n", "s"])
+    monkeypatch.setattr(catalog, "STEMS", 0)
+    every = catalog.contains_join(names, "name", stems, "stem", ["n", "s"])
+    want = sorted((n, s) for n in range(60) for s in range(30) if f"{s * 5:04d}"[-2:] in f"name{n:04d}")
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, every.collect())) == want
+    assert seen[0] < seen[1] / 2
+
+
 def test_equal_boxes_are_swept_together(spark, monkeypatch):
     """Many copies of few boxes: each of them gets its area, and the sweep sees a box once."""
     edges = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 0.0), (1, 10.0, 0.0, 10.0, 10.0), (1, 10.0, 10.0, 0.0, 10.0), (1, 0.0, 10.0, 0.0, 0.0)], "feature_id int, ax double, ay double, bx double, by double")
