@@ -51,6 +51,16 @@ def test_many_to_many_joins_are_dealt_out(spark):
         assert out.select(F.spark_partition_id()).distinct().count() > 2
 
 
+def test_pairs_take_few_bytes(spark, tmp_path):
+    """Sessions and orthos of one place: in runs their pairs compress; in another order each takes bytes of its own."""
+    a = spark.range(4000).selectExpr("id AS session_id", "CASE WHEN id >= 0 THEN 1 END AS place", "CAST(id AS STRING) AS session")
+    b = spark.range(1500).selectExpr("id * 7 AS ortho_id", "CASE WHEN id >= 0 THEN 1 END AS place", "'x' AS crs")
+    catalog.match_orthos(a.drop("session"), b).select("session_id", "ortho_id", "crs").write.parquet(str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == out.distinct().count() == 6_000_000
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 1_500_000
+
+
 def test_runs_keep_rows_whole(spark, monkeypatch):
     """Runs of two rows, blocks of three: nulls, equal rows, two keys, columns of one name and sides without columns, as by a plain join."""
     monkeypatch.setattr(fanout, "RUN", 2)
